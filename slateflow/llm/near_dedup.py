@@ -8,12 +8,14 @@ values generate the overlaps:
   under are its rarest ones, as many as make a pair over the threshold meet (prefix filtering over
   the sketches: exact while the sets fit into the sketches, else with ``SLACK`` standard deviations to
   spare). Passages that many otherwise different documents share are frequent and so come last.
-* In each list every member is first compared with a few hubs; members that are in one component by
-  then need no comparison among themselves. Only what is left between different components of a list is
-  compared pair by pair, so a family of near copies costs time in proportion to its size.
-
-A pair passes the union-sketch estimate (with ``SLACK`` to spare) and is then confirmed on the full
-sets. Components come from minimum labels with pointer jumping; nothing is gathered on the driver.
+* In each list every member is first compared with a hub: a pair passes the union-sketch estimate (with
+  ``SLACK`` to spare) and is then confirmed on the full sets. Members that are in one component by then
+  need no comparison among themselves.
+* Lists with one hub form a group. Groups in which several components are left are cut into blocks of
+  about ``BLOCK`` members; each pair of blocks compares its full sets, of different components only, and
+  reports no more links than connect them. So pairs are never rows, and a hot group is many tasks.
+
+Components come from minimum labels with pointer jumping; nothing is gathered on the driver.
 """
 
 from __future__ import annotations
@@ -36,7 +38,12 @@ PERCENT = 75
 SKETCH = 128
 #: Standard deviations that sampled overlaps may fall short of their mean.
 SLACK = 4.5
-HUBS = 4
+#: Hubs that the lists of one family have at most.
+HUBS = 2
+#: Members of a block.
+BLOCK = 256
+#: Columns of an incidence matrix that are multiplied at a time.
+COLUMNS = 4096
 
 
 def prefix_length(n: int, k: int = SKETCH, percent: int = PERCENT) -> int:
@@ -122,20 +129,81 @@ def near_links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     index = cut(keys.select("doc_id", "n_shingles", F.explode(F.slice("shared", 1, F.col("take"))).alias("s")).select("doc_id", "n_shingles", "s.value"))
     rank = F.struct(F.xxhash64("doc_id", F.pmod("value", F.lit(HUBS))).alias("h"), "doc_id")
     hubs = cut(index.groupBy("value").agg(F.min(rank).alias("hub"), F.count("*").alias("n")).where("n > 1").select("value", F.col("hub.doc_id").alias("hub")))
-    stars = index.join(hubs, "value").where("doc_id <> hub").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
+    members = cut(index.join(hubs, "value").select("hub", "doc_id").distinct())
+    stars = members.where("doc_id <> hub").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
     links = cut(linked(stars, reps, docs))
     labels = components(links)
-    named = index.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("value", "doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("label"))
-    named = cut(named.join(hubs, "value"))
-    mixed = cut(named.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("value"))
-    left = named.join(mixed, "value", "left_semi").where("doc_id <> hub")
-    one, two = left.alias("x"), left.alias("y")
-    apart = (F.col("x.value") == F.col("y.value")) & (F.col("x.label") < F.col("y.label")) & (F.least("x.n_shingles", "y.n_shingles") * 100 >= F.greatest("x.n_shingles", "y.n_shingles") * PERCENT)
-    rest = one.join(two, apart).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
-    more = linked(rest, reps, docs)
+    named = cut(members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("hub", "doc_id", F.coalesce("label", "doc_id").alias("label")))
+    open_ = cut(named.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("hub", "n"))
+    more = links_between(cut(named.join(open_, "hub")), docs)
     return components(cut(links.unionByName(more)))
 
 
+def links_between(groups: DataFrame, docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that join the labels of each group (hub, n members, doc_id, label) as all its links would."""
+    wanted = groups.select("doc_id").distinct()
+    sets = cut(full_sets(docs.join(wanted, "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    mine = groups.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).join(sets, "doc_id")
+    met = mine.select("hub", "doc_id", "label", "shingles", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select("hub", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "doc_id", "label", "shingles")
+    keys = ["hub", "lo", "hi"]
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([held, rows]) if held is not None and held.num_rows else rows
+            key = np.stack([rows.column(k).to_numpy().astype(np.int64) for k in keys])
+            edges = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), rows.num_rows]
+            for at, end in zip(edges[:-2], edges[1:-1]):
+                yield _compare_blocks(rows.slice(at, end - at))
+            held = rows.slice(edges[-2])
+        if held is not None and held.num_rows:
+            yield _compare_blocks(held)
+
+    return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+
+def _compare_blocks(rows: pa.Table) -> pa.RecordBatch:
+    """The links that join different labels across (or, in one block, within) the blocks of a pair, as a spanning forest."""
+    ids, labels, mine = (rows.column(c).to_numpy() for c in ("doc_id", "label", "mine"))
+    lists = rows.column("shingles").combine_chunks()
+    off = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1] if isinstance(lists, pa.ListArray) else lists.offsets.to_numpy()
+    values = lists.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]]
+    size = np.diff(off)
+    _, column, times = np.unique(values, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(ids)), size)
+    met = times[column] > 1
+    column, row = (np.cumsum(times > 1) - 1)[column[met]], row[met]
+    common = np.zeros((len(ids), len(ids)), np.float32)
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (at, at + COLUMNS))
+        part = np.zeros((len(ids), COLUMNS), np.float32)
+        part[row[a:b], column[a:b] - at] = 1
+        common += part @ part.T
+    close = common * 100 >= (size[:, None] + size[None, :] - common) * PERCENT
+    close &= labels[:, None] != labels[None, :]
+    close &= np.triu(np.ones_like(close), 1) if rows.column("lo")[0] == rows.column("hi")[0] else (mine[:, None] < mine[None, :])
+    up = {int(x): int(x) for x in labels}
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    links = []
+    for i, j in np.argwhere(close):
+        x, y = root(int(labels[i])), root(int(labels[j]))
+        if x != y:
+            up[x] = y
+            links.append((int(ids[i]), int(ids[j])))
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in links], pa.int64()), pa.array([p[1] for p in links], pa.int64())], ["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``.
 
