@@ -88,16 +88,14 @@ def estimate(a: Column, b: Column, k: int = SKETCH) -> Column:
     return F.size(F.array_intersect(F.array_intersect(low, a), b)) / F.size(low)
 
 
-def linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int = SKETCH, percent: int = PERCENT) -> DataFrame:
+def linked(pairs: DataFrame, listed: DataFrame, sets: DataFrame, k: int = SKETCH, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) that the union sketch lets pass and the full sets confirm."""
-    side = lambda name: reps.select(F.col("doc_id").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}"))
+    side = lambda name: listed.select(F.col("doc_id").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}"))
     t = percent / 100
     least = t - SLACK * math.sqrt(t * (1 - t) / k)
     near = pairs.join(side("a"), "a").join(side("b"), "b")
     fits = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (estimate(F.col("s_a"), F.col("s_b"), k) >= least)
-    near = cut(near.where(fits).select("a", "b", "n_a", "n_b"))
-    wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = cut(full_sets(docs.join(wanted, "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
+    near = cut(near.where(fits).select("a", "b"))
     one = lambda name: sets.select(F.col("doc_id").alias(name), F.col("shingles").alias(f"set_{name}"))
     both = near.join(one("a"), "a").join(one("b"), "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
@@ -124,25 +122,25 @@ def near_links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     shared = cut(listed.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"))
     by_doc = listed.join(shared, "value").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("shared"))
     # values that nobody else retains fill the prefix first
-    keys = reps.select("doc_id", "n_shingles", "prefix", F.size("sketch").alias("m")).join(by_doc, "doc_id")
-    keys = keys.withColumn("take", F.col("prefix") - (F.col("m") - F.size("shared"))).where("take > 0")
-    index = cut(keys.select("doc_id", "n_shingles", F.explode(F.slice("shared", 1, F.col("take"))).alias("s")).select("doc_id", "n_shingles", "s.value"))
+    keys = reps.join(by_doc, "doc_id").withColumn("take", F.col("prefix") - (F.size("sketch") - F.size("shared"))).where("take > 0")
+    keys = cut(keys.select("doc_id", "n_shingles", "sketch", F.transform(F.slice("shared", 1, F.col("take")), lambda x: x["value"]).alias("values")))
+    index = keys.select("doc_id", F.explode("values").alias("value"))
     rank = F.struct(F.xxhash64("doc_id", F.pmod("value", F.lit(HUBS))).alias("h"), "doc_id")
     hubs = cut(index.groupBy("value").agg(F.min(rank).alias("hub"), F.count("*").alias("n")).where("n > 1").select("value", F.col("hub.doc_id").alias("hub")))
     members = cut(index.join(hubs, "value").select("hub", "doc_id").distinct())
     stars = members.where("doc_id <> hub").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
-    links = cut(linked(stars, reps, docs))
+    wanted = members.select("doc_id").distinct()
+    sets = cut(full_sets(docs.join(wanted, "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
+    links = cut(linked(stars, keys.select("doc_id", "n_shingles", "sketch"), sets))
     labels = components(links)
     named = cut(members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("hub", "doc_id", F.coalesce("label", "doc_id").alias("label")))
     open_ = cut(named.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("hub", "n"))
-    more = links_between(cut(named.join(open_, "hub")), docs)
+    more = links_between(cut(named.join(open_, "hub")), sets)
     return components(cut(links.unionByName(more)))
 
 
-def links_between(groups: DataFrame, docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) that join the labels of each group (hub, n members, doc_id, label) as all its links would."""
-    wanted = groups.select("doc_id").distinct()
-    sets = cut(full_sets(docs.join(wanted, "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
+def links_between(groups: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that join the labels of each group (hub, n members, doc_id, label) as all links of its ``sets`` would."""
     blocks = F.ceil(F.col("n") / block).cast("int")
     mine = groups.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).join(sets, "doc_id")
     met = mine.select("hub", "doc_id", "label", "shingles", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
