@@ -154,6 +154,6 @@ def test_blocks_connect_what_all_pairs_connect(spark, block):
     rows = [(i, t) for i, t in corpus(5) if t]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     groups = spark.createDataFrame([(1, len(rows), i, i) for i, _ in rows], "hub long, n long, doc_id long, label long")
-    found = near_dedup.components(near_dedup.links_between(groups, docs, block))
+    found = near_dedup.components(near_dedup.links_between(groups, near_dedup.full_sets(docs), block))
     label = {r.node: r.label for r in found.collect()}
     assert {i: label.get(i, i) for i, _ in rows} == {i: c for i, (_, c) in brute_components(rows).items()}
