@@ -1,6 +1,322 @@
-"""The registered queries of the layout operators, with SQL that computes the same."""
+"""The registered queries of the layout operators, with SQL that computes the same.
+
+The given tables hold no slides, so boxes, sizes and colours are derived from their columns by the same
+arithmetic on both sides; every query reads its whole tables.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import geometry as G
+from ..functions import text as T
+from ..operators import color, layout, matching, typography
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def read(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def boxes(spark, sf_dir: str) -> DataFrame:
+    d = lambda c: c.cast("double")
+    return read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("slide"),
+        (F.col("l_linenumber").cast("long") * 100000000 + F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000).alias("ord"),
+        d((F.col("l_partkey") * 7) % 600).alias("x"),
+        d((F.col("l_suppkey") * 13 + F.col("l_linenumber") * 17) % 160).alias("y"),
+        d(F.col("l_quantity").cast("int") % 60 + 20).alias("width"),
+        d(F.col("l_partkey") % 9 + 10).alias("height"),
+    )
+
+
+BOXES = """b AS (SELECT l_orderkey AS slide, CAST(l_linenumber AS BIGINT) * 100000000 + l_partkey * 1000 + l_suppkey % 1000 AS ord, CAST((l_partkey * 7) % 600 AS DOUBLE) AS x,
+  CAST((l_suppkey * 13 + l_linenumber * 17) % 160 AS DOUBLE) AS y, CAST(CAST(l_quantity AS INT) % 60 + 20 AS DOUBLE) AS width,
+  CAST(l_partkey % 9 + 10 AS DOUBLE) AS height FROM lineitem)"""
+SQL_CLEAN = r"trim(regexp_replace({}, '[\s\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}\x0b]+', ' ', 'g'), ' ')"
+
+
+def sql_key(c: str) -> str:
+    return SQL_CLEAN.format(r"regexp_replace(replace(lower(" + SQL_CLEAN.format(c) + r"), 'ß', 'ss'), '[^\p{L}\p{N}_\s%./:+-]', '', 'g')")
+
+
+@query(f"SELECT doc_id, {SQL_CLEAN.format('text')} AS cleaned FROM documents")
+def clean_text(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.clean(F.col("text")).alias("cleaned"))
+
+
+@query(f"SELECT doc_id, md5(k) AS key_md5, CAST(len(list_distinct(list_filter(string_split(k, ' '), lambda t: t <> ''))) AS INT) AS n_tokens FROM (SELECT doc_id, {sql_key('text')} AS k FROM documents)")
+def match_normalize_tokens(spark, sf_dir):
+    k = T.match_key(F.col("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", k.alias("k")).select("doc_id", F.md5("k").alias("key_md5"), F.size(T.tokens(F.col("k"))).alias("n_tokens"))
+
+
+@query("SELECT min(doc_id) AS doc_id, md5(replace(lower(text), 'ß', 'ss')) AS key_md5 FROM documents WHERE text IS NOT NULL GROUP BY replace(lower(text), 'ß', 'ss')")
+def stable_dedupe_casefold(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.md5(F.replace(F.lower("text"), F.lit("ß"), F.lit("ss"))).alias("key_md5"))
+    # the first of each key is a minimum, which is combined before the shuffle
+    return rows.groupBy("key_md5").agg(F.min("doc_id").alias("doc_id"))
+
+
+_SCRIPTS = ["한글 title", "English title", "日本語", "カナ", "x"]
+
+
+@query(
+    r"""WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents UNION ALL SELECT conv_id || '-' || turn, text FROM conversations
+  UNION ALL SELECT * FROM (VALUES ('s0', '한글 title'), ('s1', 'English title'), ('s2', '日本語'), ('s3', 'カナ'), ('s4', 'x')))
+SELECT id, regexp_matches(text, '[\x{1100}-\x{11ff}\x{3130}-\x{318f}\x{ac00}-\x{d7a3}]') AS korean,
+  regexp_matches(text, '[\x{1100}-\x{11ff}\x{2e80}-\x{303f}\x{3040}-\x{30ff}\x{3130}-\x{318f}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7a3}\x{f900}-\x{faff}]') AS cjk,
+  CASE WHEN regexp_matches(text, '[\x{1100}-\x{11ff}\x{3130}-\x{318f}\x{ac00}-\x{d7a3}]') THEN 'ko' ELSE 'en' END AS language FROM t"""
+)
+def script_language_tag(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    rows = rows.unionByName(read(spark, sf_dir, "conversations").select(F.concat("conv_id", F.lit("-"), "turn").alias("id"), "text"))
+    rows = rows.unionByName(spark.createDataFrame([(f"s{i}", s) for i, s in enumerate(_SCRIPTS)], "id string, text string"))
+    t = F.col("text")
+    return rows.select("id", T.has_korean(t).alias("korean"), T.has_cjk(t).alias("cjk"), T.language(t).alias("language"))
+
+
+@query(r"SELECT doc_id, array_to_string(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?'), ';') AS digits FROM documents")
+def digit_lists(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(T.digit_list(F.col("text")), ";").alias("digits"))
+
+
+def _scored(spark, sf_dir) -> DataFrame:
+    """Turns (a slide's rows) with the expected texts of their slide: the items of its residue class."""
+    turns = read(spark, sf_dir, "conversations").select((F.col("conv_id") % 20).alias("deck"), "conv_id", "turn", T.match_key(F.col("text")).alias("said"))
+    wanted = read(spark, sf_dir, "benchmark").select((F.col("item_id") % 20).alias("deck"), "item_id", T.match_key(F.col("text")).alias("expected"))
+    rows = turns.join(wanted, "deck")
+    a, b = T.tokens(F.col("said")), T.tokens(F.col("expected"))
+    return rows.select("conv_id", "turn", "item_id", (T.overlap(a, b) + T.containment(F.col("said"), F.col("expected"))).alias("score"))
+
+
+_SQL_SCORED = f"""c AS (SELECT conv_id % 20 AS deck, conv_id, turn, {sql_key('text')} AS said FROM conversations),
+w AS (SELECT item_id % 20 AS deck, item_id, {sql_key('text')} AS expected FROM benchmark),
+k AS (SELECT conv_id, turn, item_id, said, expected, list_distinct(list_filter(string_split(said, ' '), lambda t: t <> '')) AS a,
+       list_distinct(list_filter(string_split(expected, ' '), lambda t: t <> '')) AS b FROM c JOIN w USING (deck)),
+s AS (SELECT conv_id, turn, item_id, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a, b))::DOUBLE / greatest(len(a), len(b)) END
+       + CASE WHEN said <> '' AND expected <> '' AND (contains(said, expected) OR contains(expected, said)) THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END AS score FROM k)"""
+
+
+@query(f"WITH {_SQL_SCORED} SELECT conv_id, turn, item_id, round(score, 9) AS score FROM s")
+def token_overlap_join(spark, sf_dir):
+    return _scored(spark, sf_dir).withColumn("score", F.round("score", 9))
+
+
+@query()
+def exclusive_assignment(spark, sf_dir):
+    out = matching.assign_exclusively(_scored(spark, sf_dir), ["conv_id"], "turn", "item_id", "score", 0.1)
+    return out.withColumn("score", F.round("score", 9))
+
+
+@query()
+def fuzzy_candidates(spark, sf_dir):
+    turns = read(spark, sf_dir, "conversations").where("turn = 0").select((F.col("conv_id") % 20).alias("deck"), "conv_id", T.match_key(F.col("text")).alias("said"))
+    wanted = read(spark, sf_dir, "benchmark").select((F.col("item_id") % 20).alias("deck"), "item_id", T.match_key(F.col("text")).alias("expected"))
+    return turns.join(wanted, "deck").select("conv_id", "item_id", F.round(T.similarity(F.col("said"), F.col("expected")), 9).alias("score"))
+
+
+@query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS joined, count(*) AS n_lines FROM conversations WHERE text <> '' GROUP BY conv_id")
+def ordered_concat(spark, sf_dir):
+    lines = F.sort_array(F.collect_list(F.struct("turn", "text")))
+    rows = read(spark, sf_dir, "conversations").where("text <> ''").groupBy("conv_id").agg(lines.alias("l"), F.count("*").alias("n_lines"))
+    return rows.select("conv_id", F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("joined"), "n_lines")
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(round_even(l_quantity / 96 * 914400, 0) AS BIGINT) AS emu, l_quantity / 96 * 72.0 AS pt, floor(l_quantity / 7 / 0.5::DOUBLE + 0.5::DOUBLE) * 0.5::DOUBLE AS step FROM lineitem")
+def px_to_emu_pt(spark, sf_dir):
+    q = F.col("l_quantity")
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", G.px_to_emu(q).alias("emu"), G.px_to_pt(q).alias("pt"), G.font_step(q / 7).alias("step"))
+
+
+@query(f"WITH {BOXES} SELECT slide, min(x) AS x, min(y) AS y, max(x + width) - min(x) AS width, max(y + height) - min(y) AS height FROM b GROUP BY slide")
+def rect_union(spark, sf_dir):
+    return layout.union_rect(boxes(spark, sf_dir), ["slide"])
+
+
+_SQL_ROWS = f"""{BOXES}, e AS (SELECT *, min(y) OVER w AS top, max(y + height) OVER w AS bottom, count(*) OVER w AS n FROM b WINDOW w AS (PARTITION BY slide)),
+k AS (SELECT slide, any_value(top) AS top, unnest(generate_series(0, CAST(max(round_even(bottom - top, 0)) AS INT))) AS k FROM e GROUP BY slide),
+empty AS (SELECT k.slide, k.top, k.k, k.k - row_number() OVER (PARTITION BY k.slide ORDER BY k.k) AS run FROM k
+  WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.slide = k.slide AND k.top + k.k >= b.y AND k.top + k.k <= b.y + b.height)),
+seps AS (SELECT slide, (min(top + k) + max(top + k)) / 2 AS sep FROM empty GROUP BY slide, run),
+p AS (SELECT e.slide, e.ord, e.x, e.y, e.width, e.height, CASE WHEN n <= 1 OR bottom - top < 5 THEN 0 ELSE (SELECT count(*) FROM seps s WHERE s.slide = e.slide AND s.sep < e.y + e.height / 2) END AS passed FROM e),
+r AS (SELECT *, dense_rank() OVER (PARTITION BY slide ORDER BY passed) AS row_no FROM p)"""
+
+
+@query(f"WITH {_SQL_ROWS} SELECT slide, ord, CAST(row_no AS INT) AS row_no FROM r")
+def row_split_gaps(spark, sf_dir):
+    return layout.split_rows(boxes(spark, sf_dir), ["slide"], "ord").select("slide", "ord", "row_no")
+
+
+@query(f"WITH {_SQL_ROWS} SELECT slide, ord, CAST(row_number() OVER (PARTITION BY slide ORDER BY row_no, x, ord) AS INT) AS read_no FROM r")
+def reading_order(spark, sf_dir):
+    return layout.reading_order(boxes(spark, sf_dir), ["slide"], "ord").select("slide", "ord", "read_no")
+
+
+@query(
+    f"""WITH {BOXES}, l AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lag(width) OVER w AS pw, lag(height) OVER w AS ph FROM b WINDOW w AS (PARTITION BY slide ORDER BY x, ord)),
+n AS (SELECT *, CASE WHEN px IS NULL OR height > width * 1.4 OR ph > pw * 1.4
+  OR (greatest(0, least(px + pw, x + width) - greatest(px, x)) >= least(width, pw) * 0.25 AND abs((y + height / 2) - (py + ph / 2)) >= least(height, ph) * 0.35)
+  OR greatest(height, ph) / greatest(1, least(height, ph)) > 1.15 OR x - (px + pw) > greatest(24, least(height, ph) * 0.8) THEN 1 ELSE 0 END AS new FROM l)
+SELECT slide, ord, CAST(sum(new) OVER (PARTITION BY slide ORDER BY x, ord ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cluster_no FROM n"""
+)
+def line_cluster_sessions(spark, sf_dir):
+    return layout.cluster_lines(boxes(spark, sf_dir), ["slide"], "ord").select("slide", "ord", "cluster_no")
+
+
+@query()
+def paragraph_merge(spark, sf_dir):
+    rows = boxes(spark, sf_dir).withColumn("text", F.when(F.col("ord") % 7 == 0, "- item").otherwise("line"))
+    return layout.merge_paragraphs(rows, ["slide"], "ord").select("slide", "ord", "paragraph_no")
+
+
+@query(f"SELECT doc_id, source || ':' || CASE WHEN length({SQL_CLEAN.format('text')}) >= 24 THEN 'body' ELSE 'label' END AS family FROM documents")
+def font_family_label(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", typography.family_label(F.col("source"), F.col("text"), F.lit(1)).alias("family"))
+
+
+@query("SELECT p_brand, floor(median(CAST(p_size AS DOUBLE)) / 0.5::DOUBLE + 0.5::DOUBLE) * 0.5::DOUBLE AS token FROM part GROUP BY p_brand")
+def font_token_median(spark, sf_dir):
+    return read(spark, sf_dir, "part").groupBy("p_brand").agg(G.font_step(F.median(F.col("p_size").cast("double"))).alias("token"))
+
+
+@query()
+def font_token_partition(spark, sf_dir):
+    return typography.font_tokens(read(spark, sf_dir, "part").select("p_brand", F.col("p_size").cast("double").alias("size")), ["p_brand"], "size")
+
+
+@query("SELECT p_partkey, (SELECT arg_min(t, [abs(t - p_size), t]) FROM (VALUES (8.0::DOUBLE), (12.0), (16.5), (24.0), (36.0)) v(t)) AS token FROM part")
+def nearest_token(spark, sf_dir):
+    tokens = F.array(*(F.lit(float(t)) for t in (8, 12, 16.5, 24, 36)))
+    return read(spark, sf_dir, "part").select("p_partkey", typography.nearest_token(F.col("p_size").cast("double"), tokens).alias("token"))
+
+
+@query(
+    """WITH p AS (SELECT l_orderkey AS deck, CAST(l_linenumber AS BIGINT) * 100000000 + l_partkey * 1000 + l_suppkey % 1000 AS slide, 800 + l_partkey % 5 * 100 AS w, 600 + l_suppkey % 3 * 100 AS h, CAST(l_quantity AS DOUBLE) AS q FROM lineitem),
+f AS (SELECT *, first_value(w) OVER v / greatest(1, w)::DOUBLE AS sx, first_value(h) OVER v / greatest(1, h)::DOUBLE AS sy FROM p WINDOW v AS (PARTITION BY deck ORDER BY slide))
+SELECT deck, slide, round(q * 3 * sx, 6) AS x, round(q * 2 * sy, 6) AS y, round(q * least(sx, sy), 6) AS font_size FROM f"""
+)
+def scale_to_first(spark, sf_dir):
+    q = F.col("l_quantity").cast("double")
+    rows = read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("deck"), (F.col("l_linenumber").cast("long") * 100000000 + F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000).alias("slide"), (F.col("l_partkey") % 5 * 100 + 800).alias("slide_width"),
+        (F.col("l_suppkey") % 3 * 100 + 600).alias("slide_height"), (q * 3).alias("x"), (q * 2).alias("y"), q.alias("font_size"),
+    )
+    out = typography.scale_to_first(rows, "deck", "slide")
+    return out.select("deck", "slide", *(F.round(c, 6).alias(c) for c in ("x", "y", "font_size")))
+
+
+@query("SELECT c_custkey, arg_max(o_orderkey, o_orderkey) AS result, c_mktsegment FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey, c_mktsegment")
+def detection_ocr_join(spark, sf_dir):
+    results = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("result"))
+    return matching.last_result_join(read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), results, ["c_custkey"], "result")
+
+
+@query("SELECT l_orderkey, round(avg(CASE WHEN l_linenumber % 3 <> 0 THEN l_discount END), 9) AS confidence FROM lineitem GROUP BY l_orderkey")
+def mean_confidence(spark, sf_dir):
+    some = F.when(F.col("l_linenumber") % 3 != 0, F.col("l_discount"))
+    return read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.round(F.avg(some), 9).alias("confidence"))
+
+
+@query("SELECT o_orderkey AS box_id, CASE WHEN o_orderkey % 4 = 0 THEN 'new' WHEN o_orderkey % 7 % 3 <= 1 THEN 'kept' ELSE 'moved' END AS change FROM orders")
+def baseline_change(spark, sf_dir):
+    k = F.col("o_orderkey")
+    base = read(spark, sf_dir, "orders").select(k.alias("box_id"), *(((k * m) % 500).cast("double").alias(c) for c, m in (("x", 3), ("y", 5), ("width", 7), ("height", 11))))
+    edited = base.withColumn("x", F.col("x") + (F.col("box_id") % 7 % 3).cast("double"))
+    return matching.changed_boxes(edited, base.where("box_id % 4 <> 0"), "box_id").select("box_id", "change")
+
+
+@query(
+    """WITH a AS (SELECT p_partkey AS patch, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part WHERE p_partkey % 2 = 0),
+b AS (SELECT p_partkey AS shape, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part WHERE p_partkey % 3 = 0)
+SELECT p_brand, CAST(k AS INT) AS k, patch, shape FROM a JOIN b USING (p_brand, k)"""
+)
+def patch_kth_match(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    patches = part.where("p_partkey % 2 = 0").select("p_brand", F.col("p_partkey").alias("patch"))
+    shapes = part.where("p_partkey % 3 = 0").select("p_brand", F.col("p_partkey").alias("shape"))
+    return matching.kth_match(patches, shapes, ["p_brand"], "patch", "shape")
+
+
+_RGB = "SELECT vec_id, label, floor(abs(embedding[1]::DOUBLE) * 1000) % 256 AS r, floor(abs(embedding[2]::DOUBLE) * 1000) % 256 AS g, floor(abs(embedding[3]::DOUBLE) * 1000) % 256 AS b FROM embeddings"
+
+
+def rgb(spark, sf_dir) -> DataFrame:
+    c = lambda i: (F.floor(F.abs(F.get("embedding", F.lit(i)).cast("double")) * 1000) % 256).cast("double")
+    return read(spark, sf_dir, "embeddings").select("vec_id", "label", c(0).alias("r"), c(1).alias("g"), c(2).alias("b"))
+
+
+@query(f"SELECT vec_id, round(sqrt((r - 128) * (r - 128) + (g - 128) * (g - 128) + (b - 128) * (b - 128)), 6) AS distance, round(r * 0.299 + g * 0.587 + b * 0.114, 6) AS luminance FROM ({_RGB})")
+def rgb_distance_luminance(spark, sf_dir):
+    r, g, b = F.col("r"), F.col("g"), F.col("b")
+    grey = (F.lit(128.0),) * 3
+    return rgb(spark, sf_dir).select("vec_id", F.round(G.rgb_distance((r, g, b), grey), 6).alias("distance"), F.round(G.luminance(r, g, b), 6).alias("luminance"))
+
+
+@query(
+    f"""WITH p AS (SELECT *, r * r + g * g + b * b AS d FROM ({_RGB})), k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d DESC, vec_id) AS k, count(*) OVER (PARTITION BY label) AS n FROM p)
+SELECT label, median(r) AS r, median(g) AS g, median(b) AS b, count(*) AS support FROM k WHERE k <= greatest(24, ceil(n * 0.35)) GROUP BY label"""
+)
+def strongest_pixels_median(spark, sf_dir):
+    rows = rgb(spark, sf_dir).withColumn("d", F.col("r") * F.col("r") + F.col("g") * F.col("g") + F.col("b") * F.col("b"))
+    return color.strongest_median(rows, ["label"], "d", "vec_id")
+
+
+@query(
+    f"""WITH p AS (SELECT label AS token, floor(avg(r)) AS pr, floor(avg(g)) AS pg, floor(avg(b)) AS pb FROM ({_RGB}) GROUP BY label),
+d AS (SELECT vec_id, token, sqrt((r - pr) * (r - pr) + (g - pg) * (g - pg) + (b - pb) * (b - pb)) AS d FROM ({_RGB}) c, p),
+k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, token) AS k FROM d)
+SELECT vec_id, token AS nearest, CASE WHEN d <= 18 THEN token END AS snapped FROM k WHERE k = 1"""
+)
+def palette_snap(spark, sf_dir):
+    pixels = rgb(spark, sf_dir)
+    palette = pixels.groupBy(F.col("label").alias("token")).agg(*(F.floor(F.avg(c)).cast("double").alias(f"p{c}") for c in "rgb"))
+    return color.snap_to_palette(pixels, palette).select("vec_id", "nearest", "snapped")
+
+
+@query()
+def palette_cluster(spark, sf_dir):
+    return color.palette_clusters(rgb(spark, sf_dir).withColumn("support", F.lit(1)), ["label"], "vec_id").select("vec_id", "label", "cluster_no")
+
+
+@query(
+    r"""SELECT page_id, CASE WHEN regexp_matches(lower(url), '\.pdf$') THEN 'pdf' WHEN regexp_matches(lower(url), '\.(png|jpe?g|webp|bmp|tiff?)$') THEN 'image' ELSE 'unknown' END AS kind,
+  CASE WHEN trim(regexp_replace(url, '[^A-Za-z0-9._-]+', '-', 'g'), '.-') = '' THEN 'upload' ELSE trim(regexp_replace(url, '[^A-Za-z0-9._-]+', '-', 'g'), '.-') END AS stem FROM pages"""
+)
+def upload_kind_filename(spark, sf_dir):
+    u = F.col("url")
+    return read(spark, sf_dir, "pages").select("page_id", T.upload_kind(u).alias("kind"), T.file_stem(u).alias("stem"))
+
+
+@query("SELECT doc_id, 'slide-' || lpad(CAST(row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS VARCHAR), 8, '0') AS label FROM documents")
+def deck_numbering(spark, sf_dir):
+    number = F.row_number().over(Window.partitionBy("source", "lang").orderBy("doc_id"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("slide-"), F.lpad(number.cast("string"), 8, "0")).alias("label"))
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS status, count(*) AS n_events FROM events GROUP BY user_id")
+def job_status_latest(spark, sf_dir):
+    return read(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("status"), F.count("*").alias("n_events"))
+
+
+@query("SELECT page_id, sha256(html) AS sha FROM pages")
+def content_sha(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", F.sha2("html", 256).alias("sha"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_field_extract(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
