@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,33 +67,42 @@ def reading_order(boxes: DataFrame, keys: list[str], order: str) -> DataFrame:
 def merge_paragraphs(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Add paragraph_no: each row, by (y, x), joins the best-scoring open paragraph or opens one.
 
-    The choice depends on earlier ones (a paragraph's last row and running extent), so this is a grouped map over the
-    rows of one detection. ``text`` decides on bullets.
+    The choice depends on earlier ones (a paragraph's last row and running extent), so the rows of one detection are
+    gathered, in order, and decided in Arrow batches of many detections. ``text`` decides on bullets.
     """
-    rows = rows.withColumn("_bullet", starts_bullet(F.col("text")))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_bullet") + ", paragraph_no int"
-
-    def assign(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["y", "x", order], kind="stable")
-        open_: list[dict] = []
-        out = []
-        for r in group.itertuples():
-            x, y, w, h, bullet = r.x, r.y, r.width, r.height, getattr(r, "_bullet", None)
-            best, best_score = None, None
-            for i, p in enumerate(open_):
-                score = _fit(p, x, y, w, h, group.at[r.Index, "_bullet"])
-                if score is not None and (best_score is None or score > best_score):
-                    best, best_score = i, score
-            if best is None:
-                open_.append({"last": (x, y, w, h), "x": x, "right": x + w})
-                out.append(len(open_))
-            else:
-                p = open_[best]
-                p["last"], p["x"], p["right"] = (x, y, w, h), min(p["x"], x), max(p["right"], x + w)
-                out.append(best + 1)
-        return group.drop(columns="_bullet").assign(paragraph_no=out)
-
-    return rows.groupBy(*keys).applyInPandas(assign, schema)
+    own = [c for c in rows.columns if c not in keys]
+    line = F.struct("y", "x", order, F.struct("x", "y", "width", "height", starts_bullet(F.col("text")).alias("bullet")).alias("box"), F.struct(*own).alias("own"))
+    grouped = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    grouped = grouped.select(*keys, F.transform("lines", lambda r: r["own"]).alias("own"), F.transform("lines", lambda r: r["box"]).alias("boxes"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in grouped.schema.fields if f.name != "boxes") + ", numbers array<int>"
+
+    def run(batches):
+        for batch in batches:
+            numbers = pa.array([_paragraphs(b) for b in batch.column("boxes").to_pylist()], pa.list_(pa.int32()))
+            kept = [c for c in batch.schema.names if c != "boxes"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), numbers], [*kept, "numbers"])
+
+    found = grouped.mapInArrow(run, schema)
+    return found.select(*keys, F.explode(F.arrays_zip("own", "numbers")).alias("r")).select(*keys, "r.own.*", F.col("r.numbers").alias("paragraph_no")).select(*rows.columns, "paragraph_no")
+
+
+def _paragraphs(boxes: list[dict]) -> list[int]:
+    open_: list[dict] = []
+    out = []
+    for r in boxes:
+        x, y, w, h = r["x"], r["y"], r["width"], r["height"]
+        best, best_score = None, None
+        for i, p in enumerate(open_):
+            score = _fit(p, x, y, w, h, r["bullet"])
+            if score is not None and (best_score is None or score > best_score):
+                best, best_score = i, score
+        if best is None:
+            best = len(open_)
+            open_.append({"x": x, "right": x + w})
+        p = open_[best]
+        p["last"], p["x"], p["right"] = (x, y, w, h), min(p["x"], x), max(p["right"], x + w)
+        out.append(best + 1)
+    return out
 
 
 def _fit(p: dict, x: float, y: float, w: float, h: float, bullet: bool) -> float | None:

@@ -80,7 +80,7 @@ def font_tokens(rows: DataFrame, keys: list[str], size: str, ratio: float = LABE
     """tokens (array) per family. Only sizes and their counts enter the group."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        values = [v for v, n in zip(group[size], group["_n"]) for _ in range(min(int(n), 4))]
+        values = [v for v, n in zip(group[size], group["_n"]) for _ in range(int(n))]
         return pd.DataFrame({**{k: [group[k].iloc[0]] for k in keys}, "tokens": [partition_sizes(values, ratio)]})
 
     counted = rows.groupBy(*keys, size).agg(F.count("*").alias("_n"))

@@ -195,7 +195,7 @@ def font_token_median(spark, sf_dir):
 
 @query()
 def font_token_partition(spark, sf_dir):
-    return typography.font_tokens(read(spark, sf_dir, "part").select("p_brand", F.col("p_size").cast("double").alias("size")), ["p_brand"], "size")
+    return typography.font_tokens(read(spark, sf_dir, "part").select("p_brand", "p_type", F.col("p_size").cast("double").alias("size")), ["p_brand", "p_type"], "size")
 
 
 @query("SELECT p_partkey, (SELECT arg_min(t, [abs(t - p_size), t]) FROM (VALUES (8.0::DOUBLE), (12.0), (16.5), (24.0), (36.0)) v(t)) AS token FROM part")
