@@ -73,9 +73,11 @@ def sketches(docs: DataFrame, n: int = SHINGLE_WORDS, k: int = SKETCH) -> DataFr
 
 
 def full_sets(docs: DataFrame, n: int = SHINGLE_WORDS) -> DataFrame:
+    """doc_id, shingles (ascending, so that a slice of them is the sketch) of each row."""
+
     def run(batches):
         for batch in batches:
-            sets = [W.shingle_set(words, n) for _, words in W.documents_words(batch.column(1))]
+            sets = [np.sort(W.shingle_set(words, n).view(np.int64)) for _, words in W.documents_words(batch.column(1))]
             if sets:
                 yield pa.RecordBatch.from_arrays([batch.column(0), W.list_column(sets, pa.int64())], ["doc_id", "shingles"])
 
@@ -88,9 +90,9 @@ def estimate(a: Column, b: Column, k: int = SKETCH) -> Column:
     return F.size(F.array_intersect(F.array_intersect(low, a), b)) / F.size(low)
 
 
-def linked(pairs: DataFrame, listed: DataFrame, sets: DataFrame, k: int = SKETCH, percent: int = PERCENT) -> DataFrame:
+def linked(pairs: DataFrame, sets: DataFrame, k: int = SKETCH, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) that the union sketch lets pass and the full sets confirm."""
-    side = lambda name: listed.select(F.col("doc_id").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}"))
+    side = lambda name: sets.select(F.col("doc_id").alias(name), F.size("shingles").alias(f"n_{name}"), F.slice("shingles", 1, k).alias(f"s_{name}"))
     t = percent / 100
     least = t - SLACK * math.sqrt(t * (1 - t) / k)
     near = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -122,16 +124,16 @@ def near_links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     shared = cut(listed.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"))
     by_doc = listed.join(shared, "value").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("shared"))
     # values that nobody else retains fill the prefix first
-    keys = reps.join(by_doc, "doc_id").withColumn("take", F.col("prefix") - (F.size("sketch") - F.size("shared"))).where("take > 0")
-    keys = cut(keys.select("doc_id", "n_shingles", "sketch", F.transform(F.slice("shared", 1, F.col("take")), lambda x: x["value"]).alias("values")))
-    index = keys.select("doc_id", F.explode("values").alias("value"))
+    keys = reps.select("doc_id", "prefix", F.size("sketch").alias("m")).join(by_doc, "doc_id")
+    keys = keys.withColumn("take", F.col("prefix") - (F.col("m") - F.size("shared"))).where("take > 0")
+    index = cut(keys.select("doc_id", F.explode(F.slice("shared", 1, F.col("take"))).alias("s")).select("doc_id", "s.value"))
     rank = F.struct(F.xxhash64("doc_id", F.pmod("value", F.lit(HUBS))).alias("h"), "doc_id")
     hubs = cut(index.groupBy("value").agg(F.min(rank).alias("hub"), F.count("*").alias("n")).where("n > 1").select("value", F.col("hub.doc_id").alias("hub")))
     members = cut(index.join(hubs, "value").select("hub", "doc_id").distinct())
     stars = members.where("doc_id <> hub").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
     wanted = members.select("doc_id").distinct()
     sets = cut(full_sets(docs.join(wanted, "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
-    links = cut(linked(stars, keys.select("doc_id", "n_shingles", "sketch"), sets))
+    links = cut(linked(stars, sets))
     labels = components(links)
     named = cut(members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("hub", "doc_id", F.coalesce("label", "doc_id").alias("label")))
     open_ = cut(named.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("hub", "n"))
