@@ -119,7 +119,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_links(reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """node, label over representatives (doc_id, n_shingles, prefix, sketch; materialised)."""
+    """node, label over representatives (doc_id, prefix, sketch; materialised)."""
     listed = reps.select("doc_id", F.explode("sketch").alias("value"))
     shared = cut(listed.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"))
     by_doc = listed.join(shared, "value").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("shared"))
@@ -132,7 +132,8 @@ def near_links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     members = cut(index.join(hubs, "value").select("hub", "doc_id").distinct())
     stars = members.where("doc_id <> hub").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
     wanted = members.select("doc_id").distinct()
-    sets = cut(full_sets(docs.join(wanted, "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
+    # one row an id is left before the sets are made: the join's partitioning serves, and no set is shuffled
+    sets = cut(full_sets(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])))
     links = cut(linked(stars, sets))
     labels = components(links)
     named = cut(members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("hub", "doc_id", F.coalesce("label", "doc_id").alias("label")))
@@ -212,10 +213,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     takes the component of its equal texts, or null. Equal sets of any number meet through one representative.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    drawn = cut(sketches(docs))
+    # sketches are drawn twice and written once: the first pass keeps only what finds equal sets
+    drawn = cut(sketches(docs).select("doc_id", "n_shingles", "set_key"))
     some = drawn.where("n_shingles > 0")
-    groups = cut(resolve(some.select("doc_id", "n_shingles", "set_key"), "set_key", keep="min").select("doc_id", "n_shingles", F.col("keep_id").alias("rep"), "kept"))
-    reps = cut(some.join(groups.where("kept and doc_id is not null").select("doc_id"), "doc_id", "left_semi"))
+    groups = cut(resolve(some, "set_key", keep="min").select("doc_id", "n_shingles", F.col("keep_id").alias("rep"), "kept"))
+    first = groups.where("kept and doc_id is not null").select("doc_id")
+    reps = cut(sketches(docs).select("doc_id", "prefix", "sketch").where(F.size("sketch") > 0).join(first, "doc_id", "left_semi"))
     labels = near_links(reps, docs)
     named = groups.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     out = named.select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
