@@ -8,18 +8,20 @@ Count tables hold 64-bit n-gram hashes. N-grams that are in many documents would
 go first: a sample of documents names candidates (at most ``FREQUENT``, as a document of bounded size holds
 few frequent n-grams), all documents count them exactly with map-side sums, and tasks look them up
 from a broadcast. The sample chooses the route only. All other n-grams are exploded, partitioned by
-hash, counted where they meet and summed back per document.
+hash range and counted where they meet, and the counts are joined back to their documents, which sum their
+scores. Most n-grams of most documents are rare, so these lines are nearly all that moves: they travel packed by
+task and part of the hash range, and a count goes back without its n-gram, as both sides know their order.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import cut, text_of
+from .common import shuffle_width, text_of
 
 ALPHA = 0.4
 #: Frequent n-grams kept aside at most, and the share of the sampled documents from which on one counts as frequent.
@@ -52,10 +54,10 @@ def _frequent(docs: DataFrame) -> np.ndarray:
             sets = [g for _, g, _ in _counted(batch.column(1))]
             if sets:
                 values, n = np.unique(np.concatenate(sets), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(np.where(np.arange(len(n)) == 0, len(sets), 0), pa.int64())], ["gram", "n", "rows"])
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
 
-    found = cut(picked.mapInArrow(run, "gram long, n long, rows long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")))
-    rows = found.agg(F.sum("rows")).first()[0] or 0
+    found = picked.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    rows = picked.count()
     top = found.where(F.col("n") > max(2, rows * FREQUENT_SHARE)).orderBy(F.desc("n"), "gram").limit(FREQUENT).select("gram")
     return np.sort(np.array([r[0] for r in top.collect()], np.int64).view(np.uint64))
 
@@ -88,114 +90,177 @@ def _exact(docs: DataFrame, grams: np.ndarray) -> tuple[np.ndarray, int]:
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, log_score (sum of natural logs), mean_log_score of each row.
 
-    Null texts count as empty; texts without words score 0.0 and have a null mean. Repeated rows
-    are documents of their own and lend each other their counts. No rows give no rows.
+    Null texts count as empty; texts without words score 0.0 and have a null mean. Rows that repeat an id
+    are one document to the counts: they don't vouch for each other, and each is scored by itself. Rows
+    without an id are told apart by their texts. No rows give no rows.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     grams = _frequent(docs)
     counts, total = _exact(docs, grams)
     shared = docs.sparkSession.sparkContext.broadcast((grams, counts))
-    # a document is told apart by its id and text, so that rows that share an id stay apart
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text", "doc_id")
+    width = shuffle_width(docs.sparkSession)
+    bits = max(1, (width - 1).bit_length())
+    keyed = docs.select(F.coalesce("doc_id", F.xxhash64("text")).alias("id"), "doc_id", "text")
+    asked = keyed.select("id", "text").mapInArrow(_asker(shared, bits), _PACKED)
+    told = asked.repartition(width, "part").mapInArrow(_teller(width), "dest int, " + _PACKED)
+    dest = F.pmod("id", F.lit(width)).cast("int").alias("dest")
+    rows = told.unionByName(keyed.select(dest, "id", "doc_id", "text"), allowMissingColumns=True)
+    # of each destination, what was told comes first, then its documents by id
+    rows = rows.repartition(width, "dest").sortWithinPartitions("dest", F.col("part").asc_nulls_last(), "id").select("dest", *_FIELDS, "id", "doc_id", "text")
+    scored = rows.mapInArrow(_scorer(shared, total), "doc_id long, n_words long, log_score double")
+    return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
+
+
+#: N-grams travel packed: a part of the hash range, the documents in it with how many n-grams each has there, the n-grams and a count of each.
+_FIELDS = ["part", "ids", "lines", "grams", "n"]
+_PACKED = "part int, ids array<long>, lines array<int>, grams array<long>, n array<int>"
+#: N-grams that a task holds before it sends them.
+HELD = 1 << 20
+
+
+def _packed(cuts: list[tuple], **more) -> pa.RecordBatch:
+    """One row per (part, ids, grams, n), whose lines are in order of id."""
+    ids = [np.unique(c[1], return_counts=True) for c in cuts]
+    columns = {"part": pa.array([c[0] for c in cuts], pa.int32()), "ids": W.list_column([i for i, _ in ids], pa.int64()), "lines": W.list_column([m for _, m in ids], pa.int32())}
+    columns |= {"grams": W.list_column([c[2] for c in cuts], pa.int64()), "n": W.list_column([c[3] for c in cuts], pa.int32())}
+    return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32()) for k, v in more.items()} | columns)
+
+
+def _runs(values: np.ndarray):
+    """(value, slice) of each run of equal values."""
+    edges = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+    return [(int(values[a]), slice(a, b)) for a, b in zip(edges[:-1], edges[1:]) if b > a]
+
+
+def _held_out(known: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where in ``known`` each of ``g`` would be, and whether it is there."""
+    if not len(known):
+        return np.zeros(len(g), np.int64), np.zeros(len(g), bool)
+    at = np.minimum(np.searchsorted(known, g), len(known) - 1)
+    return at, known[at] == g
+
+
+def _asker(shared, bits: int):
+    """Explodes texts into n-grams that tasks don't know, dealt by the top bits of the hash."""
+
+    def send(held):
+        ids, grams, n = (np.concatenate(c) for c in zip(*held))
+        part = (grams >> np.uint64(64 - bits)).astype(np.int32)
+        order = np.lexsort((ids, part))
+        ids, grams, n, part = ids[order], grams[order], n[order], part[order]
+        return _packed([(p, ids[at], grams[at], n[at]) for p, at in _runs(part)])
 
     def run(batches):
-        known, seen = shared.value
+        known, held, lines = shared.value[0], [], 0
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            for i, (_, g, c) in enumerate(_counted(batch.column(1))):
+                ask = ~_held_out(known, g)[1]
+                held.append((np.full(int(ask.sum()), keys[i]), g[ask], c[ask]))
+                lines += len(held[-1][1])
+                if lines >= HELD:
+                    yield send(held)
+                    held, lines = [], 0
+        if lines:
+            yield send(held)
+
+    return run
+
+
+def _teller(width: int):
+    """The count tables joined to the n-grams that asked: of each, how often other documents have it, in order of document and n-gram."""
 
-        def corpus(g):
-            """Corpus counts of frequent n-grams, -1 where one must be looked up by shuffle."""
-            if not len(known):
-                return np.full(len(g), -1, np.int64)
-            at = np.minimum(np.searchsorted(known, g), len(known) - 1)
-            return np.where(known[at] == g, seen[at], -1)
+    def run(batches):
+        parts = {}
+        for batch in batches:
+            for row, part in enumerate(batch.column(0).to_pylist()):
+                ids, lines, grams, n = (batch.column(k)[row].values.to_numpy() for k in range(1, 5))
+                parts.setdefault(part, []).append((np.repeat(ids, lines), grams.view(np.uint64), n))
+        for part in sorted(parts):
+            ids, grams, n = (np.concatenate(c) for c in zip(*parts.pop(part)))
+            order = np.lexsort((grams, ids))
+            ids, grams, n = ids[order], grams[order], n[order]
+            first = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (grams[1:] != grams[:-1]))))
+            ids, grams, own = ids[first], grams[first], np.add.reduceat(n.astype(np.int64), first)
+            _, entry = np.unique(grams, return_inverse=True)
+            others = np.bincount(entry, own).astype(np.int64)[entry] - own
+            dest = (ids % width).astype(np.int32)
+            order = np.argsort(dest, kind="stable")
+            ids, others, dest = ids[order], others[order], dest[order]
+            runs = _runs(dest)
+            yield _packed([(part, ids[at], np.zeros(0, np.int64), others[at]) for _, at in runs], dest=[d for d, _ in runs])
+
+    return run
+
+
+def _scorer(shared, total: int):
+    """Sums each document's scores once what its n-grams asked has been told."""
+
+    def score_id(rows, told, known, seen, out):
+        every = [np.concatenate(_grams(words)) for _, words in rows]
+        g, own = np.unique(np.concatenate(every), return_counts=True)
+        at, is_known = _held_out(known, g)
+        others = np.zeros(len(g), np.int64)
+        others[is_known] = seen[at[is_known]] - own[is_known]
+        others[~is_known] = told
+        floor = np.log(total + 1.0)
+        for (doc_id, words), mine in zip(rows, every):
+            n = others[np.searchsorted(g, mine)]
+            one, two = n[: len(words)], n[len(words) :]
+            alone = np.log(one + 1.0) - floor
+            each = np.where(two > 0, np.log(np.maximum(two, 1)) - np.log(np.maximum(one[:-1], 1)), np.log(ALPHA) + alone[1:])
+            out.append((doc_id, len(words), float(alone[0] + each.sum()) if len(words) else 0.0))
+
+    def run(batches):
+        known, seen = shared.value
+        now, answers, table, waiting, waiting_id = None, [], None, [], None
+        nothing = np.zeros(0, np.int64)
+
+        def sorted_answers():
+            if not answers:
+                return nothing, np.zeros(1, np.int64), nothing
+            ids, part, n = (np.concatenate(c) for c in zip(*answers))
+            order = np.lexsort((part, ids))
+            found, start = np.unique(ids[order], return_index=True)
+            return found, np.append(start, len(ids)), n[order]
+
+        def settle(out):
+            if waiting:
+                found, start, n = table
+                at = int(np.searchsorted(found, waiting_id))
+                told = n[start[at] : start[at + 1]] if at < len(found) and found[at] == waiting_id else nothing
+                score_id(waiting, told, known, seen, out)
+                waiting.clear()
 
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            cols = [[] for _ in _LINE]
-            for i, words in W.documents_words(batch.column(1)):
-                for c, parts in zip(cols, zip(*_lines(words, keys[i], corpus, total))):
-                    c.append(np.concatenate(parts))
-            if cols[0]:
-                kinds = (pa.int64(), pa.int32(), pa.float32(), pa.int8(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(W.list_column(c, k) for c, k in zip(cols, kinds))], ["key", "doc_id", *_LINE])
-
-    lines = keyed.mapInArrow(run, "key long, doc_id long, gram array<long>, n array<int>, x array<float>, kind array<tinyint>, w array<long>, nw array<int>, p array<long>, np array<int>")
-    lines = lines.select("key", "doc_id", F.explode(F.arrays_zip(*_LINE)).alias("l")).select("key", "doc_id", "l.*")
-    together = Window.partitionBy("gram")
-    counting = F.col("kind").isin(WORD_LINE, PAIR_LINE)
-    met = lines.select("*", F.coalesce(F.sum(F.when(counting, F.col("n"))).over(together), F.lit(0)).alias("all"), F.min(F.when(F.col("kind") == WORD_LINE, F.col("key"))).over(together).alias("speaker"))
-    others = F.col("all") - F.col("n")
-    value = (
-        F.when(F.col("kind") == DOC_LINE, F.col("x"))
-        .when(F.col("kind") == WORD_LINE, -F.col("x") * F.log(F.greatest(others, F.lit(1))))
-        .when(F.col("kind") == FIRST_LINE, F.log(others + 1))
-        .otherwise(F.col("n") * F.when(others > 0, F.log(others)).otherwise(F.col("x")))
-    ).cast("double")
-    backs_off = (F.col("kind") == PAIR_LINE) & (others == 0)
-    part = lambda gram, use, times, own, total, v, n, copies: F.struct(gram.cast("long").alias("gram"), F.lit(use).alias("use"), times.cast("long").alias("times"), own.cast("long").alias("own"), total.cast("long").alias("total"), v.alias("v"), n.cast("long").alias("n"), copies.cast("long").alias("copies"))
-    none, zero = F.lit(None), F.lit(0)
-    is_doc = F.col("kind") == DOC_LINE
-    parts = F.array(
-        part(none, 0, zero, zero, zero, value, F.when(is_doc, F.col("n")).otherwise(0), F.when(is_doc, 1).otherwise(0)),
-        F.when(backs_off & (F.col("w") != 0), part(F.col("w"), 1, F.col("n"), F.col("nw"), zero, F.lit(0.0), zero, zero)),
-        F.when(backs_off & (F.col("p") != 0), part(F.col("p"), 2, F.col("n"), F.col("np"), zero, F.lit(0.0), zero, zero)),
-        F.when((F.col("kind") == WORD_LINE) & (F.col("key") == F.col("speaker")), part(F.col("gram"), 3, zero, zero, F.col("all"), F.lit(0.0), zero, zero)),
-    )
-    open_ = met.select("key", "doc_id", F.explode(F.filter(parts, lambda q: q.isNotNull())).alias("q")).select("key", "doc_id", "q.*")
-    open_ = open_.groupBy("key", "doc_id", "gram", "use", "own").agg(F.sum("times").alias("times"), F.max("total").alias("total"), F.sum("v").alias("v"), F.sum("n").alias("n"), F.sum("copies").alias("copies"))
-    # words that back-off needs and tasks don't hold: one line per word speaks for its count
-    told = open_.withColumn("all", F.max("total").over(Window.partitionBy(F.coalesce("gram", "key"))))
-    more = F.when(F.col("use") == 1, F.col("times") * F.log(F.col("all") - F.col("own") + 1)).when(F.col("use") == 2, F.col("times") * F.log(F.greatest(F.col("all") - F.col("own"), F.lit(1))))
-    sums = told.groupBy("key", "doc_id").agg(F.sum(F.col("v") + F.coalesce(more, F.lit(0.0))).alias("v"), F.sum("n").alias("n"), F.sum("copies").alias("copies"))
-    each = sums.select("doc_id", F.expr("n div copies").alias("n_words"), (F.col("v") / F.col("copies")).alias("log_score"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return each.select("doc_id", "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log_score"))
-
-
-_LINE = ["gram", "n", "x", "kind", "w", "nw", "p", "np"]
-#: What a line stands for: a document and what is known of it, a word (its count as a context is x), a bigram (x is what backing off scores), a first word.
-DOC_LINE, WORD_LINE, PAIR_LINE, FIRST_LINE = 0, 1, 2, 3
-
-
-def _block(gram, n, x, kind, w=None, nw=None, p=None, np_=None):
-    m = len(gram)
-    nothing = np.zeros(m, np.uint64)
-    some = lambda a, t: np.zeros(m, t) if a is None else a.astype(t)
-    return (gram, n.astype(np.int32), x.astype(np.float32), np.full(m, kind, np.int8), nothing if w is None else w, some(nw, np.int32), nothing if p is None else p, some(np_, np.int32))
-
-
-def _lines(words: np.ndarray, key: int, corpus, total: int) -> list[tuple[np.ndarray, ...]]:
-    """A document's lines, as blocks of columns; what frequent n-grams decide is summed in the first."""
-    own_line = lambda base: _block(np.array([key], np.int64).view(np.uint64), np.array([len(words)]), np.array([base]), DOC_LINE)
-    if not len(words):
-        return [own_line(0.0)]
-    one, two = _grams(words)
-    own1, inv1, n1 = np.unique(one, return_inverse=True, return_counts=True)
-    all1 = corpus(own1)
-    known1 = all1 >= 0
-    other1 = np.where(known1, all1 - n1, 0)
-    as_context = np.bincount(inv1[:-1], minlength=len(own1))
-    base = -float(as_context @ np.where(known1, np.log(np.maximum(other1, 1)), 0.0))
-    blocks = []
-    ask = ~known1
-    if ask.any():
-        blocks.append(_block(own1[ask], n1[ask], as_context[ask], WORD_LINE))
-    floor = -np.log(total + 1.0)
-    scored = floor + np.where(known1, np.log(other1 + 1.0), 0.0)  # a word alone, but for its count if that is to be looked up
-    w0 = inv1[0]
-    base += float(scored[w0])
-    if ask[w0]:
-        blocks.append(_block(own1[w0 : w0 + 1], n1[w0 : w0 + 1], np.zeros(1), FIRST_LINE))
-    if len(two):
-        own2, at2, n2 = np.unique(two, return_index=True, return_counts=True)
-        all2 = corpus(own2)
-        p, w = inv1[at2], inv1[at2 + 1]
-        direct = all2 - n2 > 0
-        base += float(n2 @ np.where(direct, np.log(np.maximum(all2 - n2, 1)), 0.0))
-        q = ~direct
-        if q.any():
-            p, w = p[q], w[q]
-            back = np.log(ALPHA) + scored[w] + np.where(known1[p], np.log(np.maximum(other1[p], 1)), 0.0)
-            blocks.append(_block(own2[q], n2[q], back, PAIR_LINE, np.where(known1[w], np.uint64(0), own1[w]), np.where(known1[w], 0, n1[w]), np.where(known1[p], np.uint64(0), own1[p]), np.where(known1[p], 0, n1[p])))
-    return [own_line(base), *blocks]
+            out = []
+            dest, part, ids = (batch.column(k).to_pylist() for k in (0, 1, 6))
+            doc_ids, texts = batch.column(7).to_pylist(), W.documents_words(batch.column(8))
+            for row, words in texts:
+                if dest[row] != now:
+                    settle(out)
+                    now, answers, table = dest[row], [], None
+                if part[row] is not None:
+                    mine, lines, n = (batch.column(k)[row].values.to_numpy() for k in (2, 3, 5))
+                    answers.append((np.repeat(mine, lines), np.full(len(n), part[row]), n.astype(np.int64)))
+                    continue
+                if table is None:
+                    table, answers = sorted_answers(), []
+                if waiting and ids[row] != waiting_id:
+                    settle(out)
+                waiting_id = ids[row]
+                waiting.append((doc_ids[row], words.copy()))
+            yield _rows(out)
+        out = []
+        settle(out)
+        yield _rows(out)
+
+    return run
+
+
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    ids, words, scores = zip(*out) if out else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.int64()), pa.array(scores, pa.float64())], ["doc_id", "n_words", "log_score"])
 
 
 def op7_stupid_backoff(spark, sf_dir: str) -> DataFrame:

@@ -39,6 +39,30 @@ def test_scores_equal_brute_force(spark):
         assert g.n_words == want[g.doc_id][0] and g.log_score == pytest.approx(want[g.doc_id][1], rel=1e-5, abs=1e-3)
 
 
+def test_repeated_and_missing_ids(spark):
+    rows = [(1, "a b c"), (1, "a b d"), (1, "a b c"), (2, "a b"), (None, "c d"), (None, "b c d"), (3, None), (4, " "), (5, "a b c")]
+    got = lm_score.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert len(got) == len(rows)
+    keys = [i if i is not None else t for i, t in rows]
+    docs = [(t or "").split() for _, t in rows]
+    want = []
+    for k, w in zip(keys, docs):
+        one, two = Counter(), Counter()
+        for other, v in zip(keys, docs):
+            if other != k:
+                one.update(v)
+                two.update(zip(v, v[1:]))
+        total = sum(map(len, docs))
+        alone = lambda x: math.log((one[x] + 1) / (total + 1))  # noqa: B023, E731
+        score = alone(w[0]) if w else 0.0
+        for p, x in zip(w, w[1:]):
+            score += math.log(two[p, x] / one[p]) if two[p, x] else math.log(lm_score.ALPHA) + alone(x)
+        want.append((len(w), round(score, 6)))
+    assert sorted((g.n_words, round(g.log_score, 6)) for g in got) == sorted(want)
+    assert all((g.mean_log_score is None) == (g.n_words == 0) for g in got)
+    assert lm_score.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_mix_meets_its_targets(spark):
     r = random.Random(8)
     rows = [(i, r.choice(["a", "a", "a", "b", "c", None]), " ".join("w" * r.choice([1, 3, 40]))) for i in range(400)] + [(900, "d", None), (901, "e", "")]
