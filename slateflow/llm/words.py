@@ -72,6 +72,16 @@ def word_hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
         row = end
 
 
+def text_slices(column: pa.Array) -> Iterator[list[str]]:
+    """The texts of a column in runs of rows that fill about ``SLICE`` bytes; null is empty."""
+    _, off = text_buffer(column)
+    row, n = 0, len(off) - 1
+    while row < n:
+        end = max(row + 1, int(np.searchsorted(off, off[row] + SLICE, "right")) - 1)
+        yield [t or "" for t in column.slice(row, end - row).to_pylist()]
+        row = end
+
+
 def _hash_slice(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     if not n:
