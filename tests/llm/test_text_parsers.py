@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from slateflow.llm import fingerprint, html_text, lm_score, mixing, pii, quality
@@ -73,6 +74,7 @@ def test_schedules_integrate_to_their_weights():
     assert [mixing.integral(k) for k in mixing.SCHEDULES] == [3, 1, 2]
 
 
-def test_word_lines_of_an_empty_text():
-    (block,) = lm_score._lines(np.zeros(0, np.uint64), 5, None, 10)
-    assert block[3].tolist() == [lm_score.DOC_LINE] and block[1].tolist() == [0]
+def test_counted_grams_of_empty_texts():
+    counted = lm_score._counted(pa.array(["", None, "one"]))
+    assert [(n, grams.tolist(), counts.tolist()) for n, grams, counts in counted[:2]] == [(0, [], [])] * 2
+    assert counted[2][0] == 1 and counted[2][2].tolist() == [1]
