@@ -157,3 +157,13 @@ def test_blocks_connect_what_all_pairs_connect(spark, block):
     found = near_dedup.components(near_dedup.links_between(groups, near_dedup.full_sets(docs), block))
     label = {r.node: r.label for r in found.collect()}
     assert {i: label.get(i, i) for i, _ in rows} == {i: c for i, (_, c) in brute_components(rows).items()}
+
+
+def test_tokens_stay_the_same_when_rare_units_are_forgotten(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 30)
+    words = packing.WordTokens(packing.vocabulary_path())
+    for k in range(12):
+        texts = [f"the common part, told again {chr(97 + k) * 3} {chr(98 + i) * (k + 1)} {k * 7919 + i}" for i in range(6)] + ["", "ünïcode 字"]
+        for text, ids in zip(texts, words.encode_many(texts)):
+            assert ids.tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert "common" in words.known
