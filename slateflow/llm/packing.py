@@ -4,7 +4,9 @@ Texts are tokenised in Arrow batches, each distinct word once (the vocabulary di
 marks first, and no token spans two). Pieces, without their tokens, are dealt out evenly to tasks of bounded size, and
 each task packs its own: the largest piece left opens a sequence, undominated fillings for it are
 enumerated, and branch and bound over those choices drops what wastes more than the incumbent; the
-incumbents are best-fit solutions. A group packed into its lower bound of sequences is done at once.
+incumbents are best-fit solutions. A group packed into its lower bound of sequences is done at once. A group too
+large for the search to get to a packing is packed by a dive, which takes the fullest filling met each time, and the
+search improves batches of its worst-filled sequences.
 """
 
 from __future__ import annotations
@@ -26,8 +28,12 @@ END_TOKEN = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces that one task packs.
 GROUP = 20_000
-#: Nodes of the search for one group, and fillings tried for one sequence.
+#: Nodes of one search, and fillings tried for one sequence.
 NODES, FILLINGS = 2_000, 8
+#: Pieces that one search takes on (it needs a node for each sequence to get to a packing), and searches in a row without gain that end it.
+BATCH, TRIES = 300, 6
+#: Steps towards the fullest filling of a sequence in a dive.
+STEPS = 400
 #: Units whose tokens a worker remembers; beyond it, those that no later texts had are forgotten.
 REMEMBERED = 300_000
 
@@ -209,13 +215,113 @@ def fillings(sizes: list[int], counts: dict[int, int], room: int, most: int) ->
     return keep or ([min(found)[1]] if found else [()])
 
 
+def lower_bound(lengths: list[int], capacity: int) -> int:
+    """Sequences that any packing needs: what exceeds half a sequence stands apart, the rest fills up what it leaves.
+
+    The largest of the bounds over all k by which pieces under k are left out and those over capacity - k stand alone.
+    """
+    if not lengths:
+        return 0
+    n = np.sort(np.array(lengths, np.int64))
+    sums = np.concatenate(([0], np.cumsum(n)))
+    half = np.searchsorted(n, capacity // 2, "right")
+    k = np.concatenate(([0], np.unique(n[:half])))
+    low, alone = np.searchsorted(n, k, "left"), np.searchsorted(n, capacity - k, "right")
+    room = (alone - half) * capacity - (sums[alone] - sums[half])
+    return int((len(n) - half + np.maximum(0, -((room - (sums[half] - sums[low])) // capacity))).max())
+
+
+def positions(packing: list[tuple[int, ...]], lengths: list[int]) -> list[list[int]]:
+    places: dict[int, list[int]] = {}
+    for i, n in enumerate(lengths):
+        places.setdefault(n, []).append(i)
+    return [[places[s].pop() for s in f] for f in packing]
+
+
+def fullest(sizes: list[int], counts: dict[int, int], room: int) -> tuple[int, ...]:
+    """The filling of ``room`` that leaves least of those met in STEPS steps, large pieces first; ``sizes`` ascend."""
+    best: tuple[int, ...] = ()
+    least, steps = room, STEPS
+
+    def extend(top: int, left: int, chosen: tuple[int, ...]) -> None:
+        nonlocal best, least, steps
+        for k in range(bisect_right(sizes, left, 0, top) - 1, -1, -1):
+            if not least or steps <= 0:
+                return
+            steps -= 1
+            s = sizes[k]
+            if counts[s] > chosen.count(s):
+                if left - s < least:
+                    best, least = (*chosen, s), left - s
+                if left - s >= sizes[0]:
+                    extend(k + 1, left - s, (*chosen, s))
+
+    extend(len(sizes), room, ())
+    return best
+
+
+def dive(lengths: list[int], capacity: int) -> list[list[int]]:
+    """Positions by sequence; each opens with the largest piece left and takes the fullest filling for it."""
+    counts: dict[int, int] = {}
+    for n in lengths:
+        counts[n] = counts.get(n, 0) + 1
+    sizes, out = sorted(counts), []
+
+    def take(s: int) -> None:
+        counts[s] -= 1
+        if not counts[s]:
+            del sizes[bisect_right(sizes, s) - 1]
+
+    while sizes:
+        filling = (sizes[-1],)
+        take(sizes[-1])
+        while sizes and (f := fullest(sizes, counts, capacity - sum(filling))):
+            filling += f
+            for s in f:
+                take(s)
+        out.append(filling)
+    return positions(out, lengths)
+
+
 def bin_completion(lengths: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
-    """Positions by sequence, as few sequences as the search finds; never more than best fit."""
+    """Positions by sequence, as few sequences as the search finds; never more than best fit.
+
+    A group of up to BATCH pieces is searched whole. A larger one is packed by a dive as well, and the better
+    packing's worst-filled sequences are searched in batches, with ``nodes`` each, until TRIES in a row gain nothing.
+    """
     incumbent = best_fit(lengths, capacity)
-    total = sum(lengths)
-    bound = -(-total // capacity)
+    bound = lower_bound(lengths, capacity)
     if len(incumbent) <= bound or nodes <= 0:
         return incumbent
+    if len(lengths) <= BATCH:
+        return search(lengths, capacity, incumbent, bound, nodes)
+    incumbent = min(incumbent, dive(lengths, capacity), key=len)
+    failed = 0
+    while len(incumbent) > bound and failed < TRIES:
+        incumbent.sort(key=lambda members: sum(lengths[i] for i in members))
+        # the worst filled always, then others of the batch from further up at each failure
+        size = at = 0
+        taken: list[int] = []
+        while at < len(incumbent) and size + len(incumbent[at]) <= BATCH:
+            size += len(incumbent[at])
+            taken.append(at)
+            at += 1 if size < BATCH // 2 else 1 + failed
+        members = [i for k in taken for i in incumbent[k]]
+        part = [lengths[i] for i in members]
+        fewest = lower_bound(part, capacity)
+        better = search(part, capacity, [()] * len(taken), fewest, nodes) if fewest < len(taken) else [()] * len(taken)
+        if len(better) < len(taken):
+            gone = set(taken)
+            incumbent = [m for k, m in enumerate(incumbent) if k not in gone] + [[members[i] for i in f] for f in better]
+            failed = 0
+        else:
+            failed += 1
+    return incumbent
+
+
+def search(lengths: list[int], capacity: int, incumbent: list, bound: int, nodes: int) -> list[list[int]]:
+    """Branch and bound for fewer sequences than ``incumbent``, which is returned if ``nodes`` nodes find none."""
+    total = sum(lengths)
     counts: dict[int, int] = {}
     for n in lengths:
         counts[n] = counts.get(n, 0) + 1
@@ -264,12 +370,7 @@ def bin_completion(lengths: list[int], capacity: int, nodes: int = NODES) -> lis
             waste -= capacity - sum(last)
             continue
         stack.append((options(), 0))
-    if best is None:
-        return incumbent
-    places: dict[int, list[int]] = {}
-    for i, n in enumerate(lengths):
-        places.setdefault(n, []).append(i)
-    return [[places[s].pop() for s in f] for f in best]
+    return incumbent if best is None else positions(best, lengths)
 
 
 def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:

@@ -124,6 +124,40 @@ def test_bin_completion_beats_best_fit():
     assert len(packing.bin_completion([x for x in lengths], 90)) == 2
 
 
+@pytest.mark.parametrize("low,high", [(300, 1500), (800, 2600)])
+def test_large_group_beats_best_fit(low, high):
+    r = random.Random(low)
+    lengths = [r.randint(low, high) for _ in range(packing.GROUP)]
+    fit, got, bound = packing.best_fit(lengths, 4096), packing.bin_completion(lengths, 4096), packing.lower_bound(lengths, 4096)
+    assert sorted(i for b in got for i in b) == list(range(len(lengths)))
+    assert all(sum(lengths[i] for i in b) <= 4096 for b in got)
+    assert bound <= len(got) < len(fit)
+
+
+def test_batches_improve_a_group_that_the_dive_leaves(monkeypatch):
+    monkeypatch.setattr(packing, "dive", packing.best_fit)
+    r = random.Random(0)
+    lengths = [r.randint(200, 400) for _ in range(600)]
+    got = packing.bin_completion(lengths, 1000)
+    assert sorted(i for b in got for i in b) == list(range(len(lengths)))
+    assert all(sum(lengths[i] for i in b) <= 1000 for b in got)
+    assert packing.lower_bound(lengths, 1000) <= len(got) < len(packing.best_fit(lengths, 1000))
+
+
+def test_lower_bound_holds():
+    r = random.Random(8)
+    for _ in range(200):
+        # packings without room to spare, so that the fewest sequences are known
+        whole, lengths = r.randint(1, 12), []
+        for _ in range(whole):
+            cuts = sorted(r.sample(range(1, 60), r.randint(0, 4)))
+            lengths += [b - a for a, b in zip([0, *cuts], [*cuts, 60])]
+        assert packing.lower_bound(lengths, 60) == whole
+        some = [n for n in lengths if r.random() < 0.7]
+        assert -(-sum(some) // 60) <= packing.lower_bound(some, 60) <= whole
+    assert packing.lower_bound([31] * 5, 60) == 5 and packing.lower_bound([], 60) == 0
+
+
 def test_packing_edges_and_round_trip(spark):
     from tokenizers import Tokenizer
 
