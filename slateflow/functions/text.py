@@ -63,7 +63,15 @@ def containment(a: Column, b: Column) -> Column:
 def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     from difflib import SequenceMatcher
 
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+    matchers: dict[str, SequenceMatcher] = {}  # each keeps what it learned of its second text
+    out = []
+    for x, y in zip(a, b):
+        m = matchers.get(y)
+        if m is None:
+            m = matchers[y] = SequenceMatcher(None, "", y)
+        m.set_seq1(x)
+        out.append(m.ratio())
+    return pd.Series(out, dtype="float64")
 
 
 def sequence_ratio(a: Column, b: Column) -> Column:

@@ -116,17 +116,31 @@ def token_overlap_join(spark, sf_dir):
     return _scored(spark, sf_dir).withColumn("score", F.round("score", 9))
 
 
+def _all_pairs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Every turn, and every turn with every item: conv_id, turn, said, a and item_id, expected, b; null texts are empty."""
+    key = F.coalesce(T.match_key(F.col("text")), F.lit(""))
+    # spread out, as a pair costs far more than a turn
+    turns = read(spark, sf_dir, "conversations").repartition(4 * spark.sparkContext.defaultParallelism).select("conv_id", "turn", key.alias("said")).withColumn("a", T.tokens(F.col("said")))
+    items = read(spark, sf_dir, "benchmark").select("item_id", key.alias("expected")).withColumn("b", T.tokens(F.col("expected")))
+    return turns, turns.crossJoin(items)
+
+
 @query()
 def exclusive_assignment(spark, sf_dir):
-    out = matching.assign_exclusively(_scored(spark, sf_dir), ["conv_id"], "turn", "item_id", "score", 0.1)
+    turns, pairs = _all_pairs(spark, sf_dir)
+    score = T.overlap(F.col("a"), F.col("b")) + T.containment(F.col("said"), F.col("expected"))
+    scored = pairs.select("conv_id", "turn", "item_id", score.alias("score")).where("score > 0")
+    # a turn that nothing matches is reported without a candidate
+    unmatched = turns.select("conv_id", "turn", F.lit(None).cast(scored.schema["item_id"].dataType).alias("item_id"), F.lit(0.0).alias("score"))
+    out = matching.assign_exclusively(scored.unionByName(unmatched), ["conv_id"], "turn", "item_id", "score", 0.1)
     return out.withColumn("score", F.round("score", 9))
 
 
 @query()
 def fuzzy_candidates(spark, sf_dir):
-    turns = read(spark, sf_dir, "conversations").where("turn = 0").select((F.col("conv_id") % 20).alias("deck"), "conv_id", T.match_key(F.col("text")).alias("said"))
-    wanted = read(spark, sf_dir, "benchmark").select((F.col("item_id") % 20).alias("deck"), "item_id", T.match_key(F.col("text")).alias("expected"))
-    return turns.join(wanted, "deck").select("conv_id", "item_id", F.round(T.similarity(F.col("said"), F.col("expected")), 9).alias("score"))
+    """Pairs without a common token have a similarity too, so no pair is left out."""
+    _, pairs = _all_pairs(spark, sf_dir)
+    return pairs.select("conv_id", "turn", "item_id", F.round(T.similarity(F.col("said"), F.col("expected")), 9).alias("score"))
 
 
 @query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS joined, count(*) AS n_lines FROM conversations WHERE text <> '' GROUP BY conv_id")

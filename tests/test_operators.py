@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from slateflow.functions import geometry, text
 from slateflow.operators import color, layout, matching, typography
+from slateflow.plans import catalogue
 
 
 def one(spark, expr):
@@ -109,3 +111,42 @@ def test_palette(spark):
 def test_language_and_math(spark):
     assert one(spark, text.language(F.lit("가"))) == "ko"
     assert math.isclose(one(spark, geometry.luminance(F.lit(10.0), F.lit(20.0), F.lit(30.0))), 18.15)
+
+
+def key_of(t):
+    return " ".join(re.sub(r"[^\w\s%./:+-]", "", " ".join((t or "").lower().split())).split())
+
+
+def similarity_of(a, b):
+    from difflib import SequenceMatcher
+
+    if not a or not b:
+        return 0.0, 0.0
+    x, y, inside = set(a.split()), set(b.split()), 0.05 * (a in b or b in a)
+    shared = len(x & y) / max(len(x), len(y))
+    digits = [re.findall(r"\d+(?:\.\d+)?", t) for t in (a, b)]
+    mixed = min(1.0, SequenceMatcher(None, a, b).ratio() * 0.7 + shared * 0.3 + 0.08 * (digits[0] == digits[1] != []) + inside)
+    return (1.0 if a == b else mixed), shared + inside
+
+
+def test_every_turn_meets_every_item(spark, tmp_path):
+    r = random.Random(6)
+    vocabulary = [f"{a}{b}" for a in "bcdfg" for b in ("an", "or", "ee", "12", "3.5")]
+    items = [(i, " ".join(r.choice(vocabulary) for _ in range(r.randint(1, 80)))) for i in range(23)] + [(40, "ore"), (41, "--"), (42, ""), (43, None)]
+    turns = [(c, t, " ".join(r.choice(vocabulary) for _ in range(r.randint(1, 60)))) for c in range(9) for t in range(r.randint(1, 5))]
+    # quotes of items of other residues and in later turns, an item inside a word, texts that share no word with any, and none
+    turns += [(30, 0, items[7][1]), (30, 1, items[7][1]), (30, 2, items[3][1] + ", Bee!"), (31, 0, "xorey"), (31, 1, "zzz"), (31, 2, "an orr"), (32, 1, ""), (32, 3, None)]
+    spark.createDataFrame(turns, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    score = {(c, t, i): similarity_of(key_of(x), key_of(y)) for c, t, x in turns for i, y in items}
+    got = catalogue.QUERIES["fuzzy_candidates"](spark, str(tmp_path)).collect()
+    assert len(got) == len(score)
+    assert {(q.conv_id, q.turn, q.item_id): q.score for q in got} == pytest.approx({k: s for k, (s, _) in score.items()}, abs=2e-9)
+    want, used = {}, defaultdict(set)
+    for c, t, _ in sorted(turns, key=lambda x: x[:2]):
+        loss, item = min(((-score[c, t, i][1], i) for i, _ in items if i not in used[c] and score[c, t, i][1] > 0), default=(0.0, None))
+        want[c, t] = (item, pytest.approx(-loss, abs=2e-9), -loss >= 0.1)
+        if -loss >= 0.1:
+            used[c].add(item)
+    got = {(q.conv_id, q.turn): (q.item_id, q.score, q.applied) for q in catalogue.QUERIES["exclusive_assignment"](spark, str(tmp_path)).collect()}
+    assert got == want and got[30, 0] == (7, 1.05, True) and got[31, 1] == (None, 0.0, False)
