@@ -22,9 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Elements within a line of text; all others are blocks.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr td th".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr td th noscript object math".split())
+#: Elements of formulas.
+INLINE |= frozenset("maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation".split())
 #: Elements whose content isn't text of the page.
-RAW = frozenset("script style noscript template textarea title svg iframe object select math".split())
+RAW = frozenset("script style template textarea title svg iframe select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag closes open elements of these kinds.
 CLOSES = {"li": {"li", "p"}, "tr": {"tr"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "option": {"option"}, "thead": {"thead", "tbody"}, "tbody": {"thead", "tbody"}}
@@ -94,6 +96,7 @@ def parse(page: str, tree: Tree) -> list[tuple[int, str]]:
     runs: list[tuple[int, str]] = []
     here, pos, chars, link = root, 0, 0, 0
     text: list[str] = []
+    endless: set[str] = set()
     search = _TOKEN.search
 
     def close_run() -> None:
@@ -122,9 +125,14 @@ def parse(page: str, tree: Tree) -> list[tuple[int, str]]:
             continue
         tag = tag.lower()
         if tag in RAW:
-            if not slash:
+            if not slash and tag not in endless and not (tag == "svg" and attributes.endswith("/")):
                 end = _raw_end(tag).search(page, pos)
-                pos = end.end() if end else len(page)
+                if end:
+                    pos = end.end()
+                elif tag in ("script", "style"):
+                    pos = len(page)
+                else:  # the tag alone is left out, not the rest of the page
+                    endless.add(tag)
             continue
         if tag in INLINE:
             if tag == "a":

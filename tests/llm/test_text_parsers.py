@@ -55,6 +55,20 @@ def test_main_text():
     assert html_text.extract_many([page, ""], model) == ["Title & more\nOne two.\nThree four", ""]
 
 
+def test_text_around_embedded_elements_stays():
+    def text_of(page):
+        return [t for _, t in html_text.parse(page, html_text.Tree())]
+
+    assert text_of('<p>One <svg width="1"/>two</p><p>three</p>') == ["One two", "three"]
+    assert text_of("<p>One <svg><text>x</text></svg>two</p>") == ["One two"]
+    assert text_of("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold <math/>so</p>") == ["Let x=1 hold so"]
+    assert text_of("<p>One <object data=a>two</object> <noscript>three</noscript> <object>four</p><p>five</p>") == ["One two three four", "five"]
+    for tag in ("select", "iframe", "template", "textarea", "title", "svg"):
+        assert text_of(f"<p>One <{tag}>two</p><p>three <{tag}>four</p>") == ["One two", "three four"]
+        assert text_of(f"<p>One <{tag}>two</{tag}></p><p>three</p>") == ["One", "three"]
+    assert text_of("<p>One</p><script>var two") == ["One"]
+
+
 def test_chunks_cover_the_text():
     for n in (0, 1, 64, 319, 320, 321, 576, 577, 5000):
         data = np.arange(n) % 256
