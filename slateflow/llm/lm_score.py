@@ -1,267 +1,159 @@
 """Stupid-backoff scores against the corpus itself, computed relationally.
 
-Each document is scored with counts of all documents but itself: a bigram seen elsewhere scores
-``c(p, w) / c(p)``, else the word backs off to ``ALPHA * c(w) / N``, add-one smoothed so that a word
-met nowhere else is scored too. The log scores are summed per document.
-
-Count tables hold 64-bit n-gram hashes. N-grams that are in many documents would meet in one task, so they
-go first: a sample of documents names candidates (at most ``FREQUENT``, as a document of bounded size holds
-few frequent n-grams), all documents count them exactly with map-side sums, and tasks look them up
-from a broadcast. The sample chooses the route only. All other n-grams are exploded, partitioned by
-hash range and counted where they meet, and the counts are joined back to their documents, which sum their
-scores. Most n-grams of most documents are rare, so these lines are nearly all that moves: they travel packed by
-task and part of the hash range, and a count goes back without its n-gram, as both sides know their order.
+A bigram that at least two documents have scores ``c(p, w) / c(p)``; any other word backs off to ``ALPHA * c(w) / N``.
+A document's first word follows the empty word, which counts once per document. Counts are the whole corpus's: a bigram
+that one document alone has would vouch only for itself and so is not in the tables. Log scores are summed per document.
+
+All of it is Catalyst's:
+
+* One pass counts the words; the ``WORDS`` most frequent at most form a dictionary of small codes. A pair of two such words
+  is one long, so that a line of the large exchange is a key and a document. The dictionary chooses encodings only.
+* Bigrams that a sample of documents names as frequent (``HOT`` at most) are counted exactly in the same pass. Their lines are
+  dealt by document and scored from a broadcast, so that no hot bigram meets in one task. The sample chooses the route only.
+* All other bigrams are exploded and partitioned by hash: of the pair, or of its rare word. Where they meet they are
+  counted, and so are the rare words, as each occurrence of a word ends one bigram. A pair of two rare words is sent
+  to both. Scores are summed per document before and after the last, small exchange.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import words as W
-from .common import shuffle_width, text_of
+from .common import ascii_lower, shuffle_width, stored, text_of
 
 ALPHA = 0.4
-#: Frequent n-grams kept aside at most, and the share of the sampled documents from which on one counts as frequent.
-FREQUENT, FREQUENT_SHARE = 200_000, 0.0005
-#: One document in so many is sampled for candidates.
-SAMPLE = 16
-_PAIR = np.uint64(0xA24BAED4963EE407)
-
-
-def _grams(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unigram hashes and bigram hashes, told apart by their mixing."""
-    return W.mix64(words ^ _PAIR), W.grams(words, 2)
-
-
-def _counted(column) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(words, distinct n-gram hashes, counts) per row."""
-    out = []
-    for _, words in W.documents_words(column):
-        one, two = _grams(words)
-        out.append((len(words), *np.unique(np.concatenate((one, two)), return_counts=True)))
-    return out
-
-
-def _frequent(docs: DataFrame) -> np.ndarray:
-    """Hashes of at most FREQUENT n-grams, ascending."""
-    picked = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0)
-
-    def run(batches):
-        for batch in batches:
-            sets = [g for _, g, _ in _counted(batch.column(1))]
-            if sets:
-                values, n = np.unique(np.concatenate(sets), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
-
-    found = picked.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    rows = picked.count()
-    top = found.where(F.col("n") > max(2, rows * FREQUENT_SHARE)).orderBy(F.desc("n"), "gram").limit(FREQUENT).select("gram")
-    return np.sort(np.array([r[0] for r in top.collect()], np.int64).view(np.uint64))
-
-
-def _exact(docs: DataFrame, grams: np.ndarray) -> tuple[np.ndarray, int]:
-    """Counts of ``grams`` over all documents, and the number of words."""
-    shared = docs.sparkSession.sparkContext.broadcast(grams)
-
-    def run(batches):
-        known = shared.value
-        total, words_seen = np.zeros(len(known) + 1, np.int64), 0
-        for batch in batches:
-            for _, words, _off in W.word_hashes(batch.column(1)):
-                words_seen += len(words)
-            for n, g, c in _counted(batch.column(1)):
-                at = np.searchsorted(known, g)
-                hit = (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == g) if len(known) else np.zeros(len(g), bool)
-                total[at[hit]] += c[hit]
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], words_seen))], ["at", "n"])
-
-    rows = docs.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(len(grams), np.int64)
-    for at, n in rows:
-        if at >= 0:
-            counts[at] = n
-    return counts, next((n for at, n in rows if at < 0), 0)
+#: Words with a code, and bigrams counted ahead of the exchange, at most; both are broadcast.
+WORDS, HOT = 1 << 19, 1 << 16
+#: One document in so many is sampled for candidates of HOT, which this many lines of the sample have at least.
+SAMPLE, LEAST = 64, 3
+#: The id that rows without one share.
+NO_ID = -(1 << 63)
+#: What a line of the exchange is: a pair of coded words, a hot bigram, one that ends or starts with a rare word, and the two lines of a pair of rare words.
+CODED, BUSY, ENDS, STARTS, BOTH_END, BOTH_START = range(6)
+#: Of the key's 64 bits, a pair of codes takes the top ones: beside the document's low bytes, all that varies in a line is then one run.
+_P, _W, _MASK = 44, 24, (1 << 20) - 1
+
+
+def bigrams(docs: DataFrame) -> DataFrame:
+    """doc, p, w: hashes of each two successive words; the empty word stands before the first."""
+    words = F.concat(F.array(F.lit("")), F.filter(F.split(ascii_lower(F.col("text")), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    hashed = docs.select("doc", F.transform(words, lambda w: F.xxhash64(w)).alias("h"))
+    pairs = F.arrays_zip(F.col("h").alias("p"), F.slice("h", 2, F.size("h")).alias("w"))
+    return hashed.select("doc", F.inline(pairs)).where("w is not null")
+
+
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The rows of the largest ``n``, ``most`` at most; counts within an eighth of an octave stand or fall together."""
+    size = F.floor(F.log2("n") * 8)
+    left, least = most, None
+    for row in counts.groupBy(size.alias("size")).agg(F.count("*").alias("rows")).orderBy(F.desc("size")).collect():  # 512 rows at most
+        left -= row["rows"]
+        if left < 0:
+            break
+        least = row["size"]
+    return counts.where(size >= least) if least is not None else counts.where(F.lit(False))
+
+
+def hot_candidates(docs: DataFrame) -> DataFrame:
+    """pair, p, w: bigrams that several documents of the sample have, HOT at most."""
+    sample = bigrams(docs.where(F.pmod(F.xxhash64("doc", "text"), F.lit(SAMPLE)) == 0))
+    counted = sample.groupBy("p", "w").agg(F.count("*").alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).where(f"lo <> hi and n >= {LEAST}")
+    return stored(most_frequent(stored(counted.select(F.xxhash64("p", "w").alias("pair"), "p", "w", "n")), HOT).select("pair", "p", "w"))
+
+
+def count_tables(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The dictionary (h, code, log_n), the hot bigrams (pair, hot, log_score), and the number of words."""
+    candidates = hot_candidates(docs)
+    pairs = bigrams(docs).withColumn("pair", F.xxhash64("p", "w")).join(F.broadcast(candidates.select("pair", F.lit(True).alias("hot"))), "pair", "left")
+    unit = lambda kind, key: F.struct(F.lit(kind).cast("byte").alias("kind"), F.col(key).alias("key"))
+    word, context, pair = unit(0, "w"), unit(1, "p"), unit(2, "pair")
+    at_start = F.col("p") == F.xxhash64(F.lit(""))
+    units = F.when(F.col("hot") & at_start, F.array(word, context, pair)).when(F.col("hot"), F.array(word, pair)).when(at_start, F.array(word, context)).otherwise(F.array(word))
+    counts = stored(pairs.select(F.inline(units)).groupBy("kind", "key").agg(F.count("*").alias("n")))
+    total = counts.where("kind = 0").agg(F.sum("n")).first()[0] or 0
+    top = most_frequent(counts.where("kind = 0").select(F.col("key").alias("h"), "n"), WORDS)
+    log_n = F.log(F.col("n").cast("double")).alias("log_n")
+    # WORDS rows and HOT rows at most are numbered in one task
+    coded = top.select("h", F.row_number().over(Window.orderBy("h")).cast("long").alias("code"), log_n)
+    words = stored(coded.unionByName(counts.where("kind = 1").select(F.col("key").alias("h"), F.lit(0).cast("long").alias("code"), log_n)))
+    hot = candidates.join(counts.where("kind = 2").select(F.col("key").alias("pair"), log_n), "pair")
+    hot = hot.join(words.select(F.col("h").alias("p"), F.col("log_n").alias("log_p")), "p").join(words.select(F.col("h").alias("w")), "w")
+    return words, stored(hot.select("pair", F.row_number().over(Window.orderBy("pair")).cast("long").alias("hot"), (F.col("log_n") - F.col("log_p")).alias("log_score"))), total
+
+
+def exchange_lines(docs: DataFrame, words: DataFrame, hot: DataFrame) -> DataFrame:
+    """key, doc, other, kind: a line for each occurrence of a bigram, two for a pair of rare words."""
+    code = lambda c: F.broadcast(words.select(F.col("h").alias(c), F.col("code").alias(f"c{c}")))
+    pairs = bigrams(docs).join(code("p"), "p", "left").join(code("w"), "w", "left").withColumn("pair", F.xxhash64("p", "w"))
+    pairs = pairs.join(F.broadcast(hot.select("pair", "hot")), "pair", "left")
+    line = lambda key, other, kind: F.struct(key.alias("key"), other.alias("other"), F.lit(kind).cast("byte").alias("kind"))
+    p, w, cp, cw = (F.col(c) for c in ("p", "w", "cp", "cw"))
+    lines = (
+        F.when(F.col("hot").isNotNull(), F.array(line(F.col("doc"), F.col("hot"), BUSY)))
+        .when(cp.isNotNull() & cw.isNotNull(), F.array(line(F.shiftleft(cp, _P) + F.shiftleft(cw, _W), F.lit(0).cast("long"), CODED)))
+        .when(cp.isNotNull(), F.array(line(w, cp, ENDS)))
+        .when(cw.isNotNull(), F.array(line(p, cw, STARTS)))
+        .otherwise(F.array(line(w, p, BOTH_END), line(p, w, BOTH_START)))
+    )
+    return pairs.select("doc", F.inline(lines)).select("key", "doc", "other", "kind")
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, log_score (sum of natural logs), mean_log_score of each row.
+    """doc_id, n_words, log_score (sum of natural logs), mean_log_score of each document.
 
-    Null texts count as empty; texts without words score 0.0 and have a null mean. Rows that repeat an id
-    are one document to the counts: they don't vouch for each other, and each is scored by itself. Rows
-    without an id are told apart by their texts. No rows give no rows.
+    A document is all rows of one id: repeated ids are parts of one document, rows without an id are parts of another (no row
+    may have the id -2^63), and one row is returned for each. Null texts count as empty; documents without words score 0.0 and
+    have a null mean. No rows give no rows.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    grams = _frequent(docs)
-    counts, total = _exact(docs, grams)
-    shared = docs.sparkSession.sparkContext.broadcast((grams, counts))
-    width = shuffle_width(docs.sparkSession)
-    bits = max(1, (width - 1).bit_length())
-    keyed = docs.select(F.coalesce("doc_id", F.xxhash64("text")).alias("id"), "doc_id", "text")
-    asked = keyed.select("id", "text").mapInArrow(_asker(shared, bits), _PACKED)
-    told = asked.repartition(width, "part").mapInArrow(_teller(width), "dest int, " + _PACKED)
-    dest = F.pmod("id", F.lit(width)).cast("int").alias("dest")
-    rows = told.unionByName(keyed.select(dest, "id", "doc_id", "text"), allowMissingColumns=True)
-    # of each destination, what was told comes first, then its documents by id
-    rows = rows.repartition(width, "dest").sortWithinPartitions("dest", F.col("part").asc_nulls_last(), "id").select("dest", *_FIELDS, "id", "doc_id", "text")
-    scored = rows.mapInArrow(_scorer(shared, total), "doc_id long, n_words long, log_score double")
-    return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
-
-
-#: N-grams travel packed: a part of the hash range, the documents in it with how many n-grams each has there, the n-grams and a count of each.
-_FIELDS = ["part", "ids", "lines", "grams", "n"]
-_PACKED = "part int, ids array<long>, lines array<int>, grams array<long>, n array<int>"
-#: N-grams that a task holds before it sends them.
-HELD = 1 << 20
-
-
-def _packed(cuts: list[tuple], **more) -> pa.RecordBatch:
-    """One row per (part, ids, grams, n), whose lines are in order of id."""
-    ids = [np.unique(c[1], return_counts=True) for c in cuts]
-    columns = {"part": pa.array([c[0] for c in cuts], pa.int32()), "ids": W.list_column([i for i, _ in ids], pa.int64()), "lines": W.list_column([m for _, m in ids], pa.int32())}
-    columns |= {"grams": W.list_column([c[2] for c in cuts], pa.int64()), "n": W.list_column([c[3] for c in cuts], pa.int32())}
-    return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32()) for k, v in more.items()} | columns)
-
-
-def _runs(values: np.ndarray):
-    """(value, slice) of each run of equal values."""
-    edges = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
-    return [(int(values[a]), slice(a, b)) for a, b in zip(edges[:-1], edges[1:]) if b > a]
-
-
-def _held_out(known: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where in ``known`` each of ``g`` would be, and whether it is there."""
-    if not len(known):
-        return np.zeros(len(g), np.int64), np.zeros(len(g), bool)
-    at = np.minimum(np.searchsorted(known, g), len(known) - 1)
-    return at, known[at] == g
-
-
-def _asker(shared, bits: int):
-    """Explodes texts into n-grams that tasks don't know, dealt by the top bits of the hash."""
-
-    def send(held):
-        ids, grams, n = (np.concatenate(c) for c in zip(*held))
-        part = (grams >> np.uint64(64 - bits)).astype(np.int32)
-        order = np.lexsort((ids, part))
-        ids, grams, n, part = ids[order], grams[order], n[order], part[order]
-        return _packed([(p, ids[at], grams[at], n[at]) for p, at in _runs(part)])
-
-    def run(batches):
-        known, held, lines = shared.value[0], [], 0
-        for batch in batches:
-            keys = batch.column(0).to_numpy()
-            for i, (_, g, c) in enumerate(_counted(batch.column(1))):
-                ask = ~_held_out(known, g)[1]
-                held.append((np.full(int(ask.sum()), keys[i]), g[ask], c[ask]))
-                lines += len(held[-1][1])
-                if lines >= HELD:
-                    yield send(held)
-                    held, lines = [], 0
-        if lines:
-            yield send(held)
-
-    return run
-
-
-def _teller(width: int):
-    """The count tables joined to the n-grams that asked: of each, how often other documents have it, in order of document and n-gram."""
-
-    def run(batches):
-        parts = {}
-        for batch in batches:
-            for row, part in enumerate(batch.column(0).to_pylist()):
-                ids, lines, grams, n = (batch.column(k)[row].values.to_numpy() for k in range(1, 5))
-                parts.setdefault(part, []).append((np.repeat(ids, lines), grams.view(np.uint64), n))
-        for part in sorted(parts):
-            ids, grams, n = (np.concatenate(c) for c in zip(*parts.pop(part)))
-            order = np.lexsort((grams, ids))
-            ids, grams, n = ids[order], grams[order], n[order]
-            first = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (grams[1:] != grams[:-1]))))
-            ids, grams, own = ids[first], grams[first], np.add.reduceat(n.astype(np.int64), first)
-            _, entry = np.unique(grams, return_inverse=True)
-            others = np.bincount(entry, own).astype(np.int64)[entry] - own
-            dest = (ids % width).astype(np.int32)
-            order = np.argsort(dest, kind="stable")
-            ids, others, dest = ids[order], others[order], dest[order]
-            runs = _runs(dest)
-            yield _packed([(part, ids[at], np.zeros(0, np.int64), others[at]) for _, at in runs], dest=[d for d, _ in runs])
-
-    return run
-
-
-def _scorer(shared, total: int):
-    """Sums each document's scores once what its n-grams asked has been told."""
-
-    def score_id(rows, told, known, seen, out):
-        every = [np.concatenate(_grams(words)) for _, words in rows]
-        g, own = np.unique(np.concatenate(every), return_counts=True)
-        at, is_known = _held_out(known, g)
-        others = np.zeros(len(g), np.int64)
-        others[is_known] = seen[at[is_known]] - own[is_known]
-        others[~is_known] = told
-        floor = np.log(total + 1.0)
-        for (doc_id, words), mine in zip(rows, every):
-            n = others[np.searchsorted(g, mine)]
-            one, two = n[: len(words)], n[len(words) :]
-            alone = np.log(one + 1.0) - floor
-            each = np.where(two > 0, np.log(np.maximum(two, 1)) - np.log(np.maximum(one[:-1], 1)), np.log(ALPHA) + alone[1:])
-            out.append((doc_id, len(words), float(alone[0] + each.sum()) if len(words) else 0.0))
-
-    def run(batches):
-        known, seen = shared.value
-        now, answers, table, waiting, waiting_id = None, [], None, [], None
-        nothing = np.zeros(0, np.int64)
-
-        def sorted_answers():
-            if not answers:
-                return nothing, np.zeros(1, np.int64), nothing
-            ids, part, n = (np.concatenate(c) for c in zip(*answers))
-            order = np.lexsort((part, ids))
-            found, start = np.unique(ids[order], return_index=True)
-            return found, np.append(start, len(ids)), n[order]
-
-        def settle(out):
-            if waiting:
-                found, start, n = table
-                at = int(np.searchsorted(found, waiting_id))
-                told = n[start[at] : start[at + 1]] if at < len(found) and found[at] == waiting_id else nothing
-                score_id(waiting, told, known, seen, out)
-                waiting.clear()
-
-        for batch in batches:
-            out = []
-            dest, part, ids = (batch.column(k).to_pylist() for k in (0, 1, 6))
-            doc_ids, texts = batch.column(7).to_pylist(), W.documents_words(batch.column(8))
-            for row, words in texts:
-                if dest[row] != now:
-                    settle(out)
-                    now, answers, table = dest[row], [], None
-                if part[row] is not None:
-                    mine, lines, n = (batch.column(k)[row].values.to_numpy() for k in (2, 3, 5))
-                    answers.append((np.repeat(mine, lines), np.full(len(n), part[row]), n.astype(np.int64)))
-                    continue
-                if table is None:
-                    table, answers = sorted_answers(), []
-                if waiting and ids[row] != waiting_id:
-                    settle(out)
-                waiting_id = ids[row]
-                waiting.append((doc_ids[row], words.copy()))
-            yield _rows(out)
-        out = []
-        settle(out)
-        yield _rows(out)
-
-    return run
-
-
-def _rows(out: list[tuple]) -> pa.RecordBatch:
-    ids, words, scores = zip(*out) if out else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.int64()), pa.array(scores, pa.float64())], ["doc_id", "n_words", "log_score"])
+    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), text_of(text_col).alias("text"))
+    words, hot, total = count_tables(docs)
+    # as many partitions as keep a task's share of the input bounded
+    lines = exchange_lines(docs, words, hot).repartition(max(shuffle_width(docs.sparkSession), 2 * docs.rdd.getNumPartitions()), "key")
+    kind = F.col("kind")
+    unit, bigram = Window.partitionBy("key"), Window.partitionBy("key", "kind", "other")
+    met = lines.withColumn("n", F.count("*").over(bigram)).withColumn("seen", F.min("doc").over(bigram) < F.max("doc").over(bigram))
+    met = met.withColumn("rare", F.count(F.when(kind.isin(ENDS, BOTH_END), 1)).over(unit))
+    seen, first, second = F.col("seen"), F.shiftrightunsigned("key", _P), F.shiftrightunsigned("key", _W).bitwiseAND(F.lit(_MASK))
+    # the one coded word whose count the line needs: the context if the bigram counts, else the word
+    code = F.when(kind == CODED, F.when(seen, first).otherwise(second)).when(((kind == ENDS) & seen) | ((kind == STARTS) & ~seen), F.col("other"))
+    met = met.withColumn("code", code).withColumn("hot", F.when(kind == BUSY, F.col("other")))
+    met = met.join(F.broadcast(words.select("code", "log_n")), "code", "left").join(F.broadcast(hot.select("hot", "log_score")), "hot", "left")
+    log_pair, log_rare, coded = F.log(F.col("n").cast("double")), F.log(F.col("rare").cast("double")), F.col("log_n")
+    back = F.lit(math.log(ALPHA) - math.log(max(total, 1)))
+    log_score = (
+        F.when(kind == BUSY, F.col("log_score"))
+        .when(kind == CODED, F.when(seen, log_pair - coded).otherwise(back + coded))
+        .when(kind == ENDS, F.when(seen, log_pair - coded).otherwise(back + log_rare))
+        .when(kind == STARTS, F.when(seen, log_pair - log_rare).otherwise(back + coded))
+        .when(kind == BOTH_END, F.when(seen, log_pair).otherwise(back + log_rare))
+        .otherwise(F.when(seen, -log_rare).otherwise(0.0))
+    )
+    scored = met.select("doc", log_score.alias("s"), F.when(kind == BOTH_START, 0).otherwise(1).alias("w"))
+    summed = scored.unionByName(docs.select("doc", F.lit(0.0).alias("s"), F.lit(0).alias("w"))).groupBy("doc").agg(F.sum("w").alias("n_words"), F.sum("s").alias("log_score"))
+    mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
+    return summed.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_words", "log_score", mean.alias("mean_log_score"))
 
 
 def op7_stupid_backoff(spark, sf_dir: str) -> DataFrame:
-    return score(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    scored = score(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    # sums of floating-point numbers depend on their order in the last digits
+    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
+ORACLE = {
+    "op7_stupid_backoff": r"""
+WITH d AS (SELECT doc_id, list_concat([''], regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS h FROM documents),
+b AS (SELECT doc_id, unnest(h[:-2]) AS p, unnest(h[2:]) AS w FROM d),
+u AS (SELECT w, count(*) AS c FROM b GROUP BY w UNION ALL SELECT '', count(*) FROM b WHERE p = ''),
+k AS (SELECT p, w, count(*) AS c, count(DISTINCT doc_id) AS docs FROM b GROUP BY p, w),
+t AS (SELECT count(*) AS n FROM b),
+s AS (SELECT b.doc_id, CASE WHEN k.docs > 1 THEN ln(k.c) - ln(up.c) ELSE ln(0.4) + ln(uw.c) - ln(t.n) END AS s
+      FROM b JOIN k USING (p, w) JOIN u up ON up.w = b.p JOIN u uw ON uw.w = b.w, t),
+g AS (SELECT doc_id, count(*) AS n, sum(s) AS s FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_words, round(coalesce(s, 0.0), 4) AS log_score, round(s / n, 6) AS mean_log_score
+FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN g ON d.doc_id IS NOT DISTINCT FROM g.doc_id
+"""
+}

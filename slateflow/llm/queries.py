@@ -16,4 +16,4 @@ QUERIES = {
     "op9_main_text": html_text.op9_main_text,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
-ORACLE_SQL = {**mixing.ORACLE, **exact_dedup.ORACLE, **url_filter.ORACLE}
+ORACLE_SQL = {**mixing.ORACLE, **exact_dedup.ORACLE, **url_filter.ORACLE, **lm_score.ORACLE}

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -10,56 +11,47 @@ from slateflow.llm import lm_score, mixing
 
 
 def brute(rows):
-    docs = [t.lower().split() for _, t in rows]
-    one, two = Counter(), Counter()
-    for w in docs:
-        one.update(w)
+    """doc -> (words, score); a document is all rows of one id."""
+    one, two, having, starts = Counter(), Counter(), defaultdict(set), 0
+    pairs = defaultdict(list)
+    for i, t in rows:
+        w = ["", *re.findall(r"[^ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))]
+        starts += len(w) > 1
+        pairs[i] += zip(w, w[1:])
+        one.update(w[1:])
         two.update(zip(w, w[1:]))
-    total = sum(one.values())
-    out = {}
-    for (i, _), w in zip(rows, docs):
-        o, b = Counter(w), Counter(zip(w, w[1:]))
-        alone = lambda x: math.log((one[x] - o[x] + 1) / (total + 1))
-        score = alone(w[0]) if w else 0.0
-        for p, x in zip(w, w[1:]):
-            n = two[p, x] - b[p, x]
-            score += math.log(n) - math.log(max(one[p] - o[p], 1)) if n > 0 else math.log(lm_score.ALPHA) + alone(x)
-        out[i] = (len(w), score)
-    return out
+        for b in zip(w, w[1:]):
+            having[b].add(i)
+    total, context = sum(one.values()), one | {"": starts}
+    return {
+        i: (len(found), sum(math.log(two[b] / context[b[0]]) if len(having[b]) > 1 else math.log(lm_score.ALPHA * one[b[1]] / total) for b in found))
+        for i, found in pairs.items()
+    }
 
 
-def test_scores_equal_brute_force(spark):
+@pytest.mark.parametrize("words,hot", [(1 << 19, 1 << 16), (40, 1 << 16), (40, 0), (0, 0)])
+def test_scores_equal_brute_force(spark, monkeypatch, words, hot):
+    """However many words are coded and bigrams hot, the scores are the same."""
+    monkeypatch.setattr(lm_score, "WORDS", words)
+    monkeypatch.setattr(lm_score, "HOT", hot)
+    monkeypatch.setattr(lm_score, "SAMPLE", 2)
     r = random.Random(6)
     vocabulary = [f"v{int(r.paretovariate(0.7)) % 500}" for _ in range(2000)]
     rows = [(i, " ".join(r.choice(vocabulary) for _ in range(r.choice([0, 1, 2, 30, 120])))) for i in range(80)]
-    got = lm_score.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    rows += [(200, rows[5][1]), (201, "Same " * 400), (202, "same start"), (203, "É x\u00a0y\n z"), (204, "é X\u00a0Y z"), (205, "only only once"), (206, "rare1 rare2"), (207, "rare1\trare2")]
+    got = lm_score.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
     want = brute(rows)
-    assert len(got) == 80
-    for g in got:
-        assert g.n_words == want[g.doc_id][0] and g.log_score == pytest.approx(want[g.doc_id][1], rel=1e-5, abs=1e-3)
+    assert {g.doc_id: (g.n_words, g.log_score) for g in got} == {i: (n, pytest.approx(s, abs=1e-8)) for i, (n, s) in want.items()}
+    assert len(got) == len(rows)
 
 
 def test_repeated_and_missing_ids(spark):
-    rows = [(1, "a b c"), (1, "a b d"), (1, "a b c"), (2, "a b"), (None, "c d"), (None, "b c d"), (3, None), (4, " "), (5, "a b c")]
-    got = lm_score.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
-    assert len(got) == len(rows)
-    keys = [i if i is not None else t for i, t in rows]
-    docs = [(t or "").split() for _, t in rows]
-    want = []
-    for k, w in zip(keys, docs):
-        one, two = Counter(), Counter()
-        for other, v in zip(keys, docs):
-            if other != k:
-                one.update(v)
-                two.update(zip(v, v[1:]))
-        total = sum(map(len, docs))
-        alone = lambda x: math.log((one[x] + 1) / (total + 1))  # noqa: B023, E731
-        score = alone(w[0]) if w else 0.0
-        for p, x in zip(w, w[1:]):
-            score += math.log(two[p, x] / one[p]) if two[p, x] else math.log(lm_score.ALPHA) + alone(x)
-        want.append((len(w), round(score, 6)))
-    assert sorted((g.n_words, round(g.log_score, 6)) for g in got) == sorted(want)
-    assert all((g.mean_log_score is None) == (g.n_words == 0) for g in got)
+    """Repeated ids are parts of one document and so don't vouch for each other; nor do rows without an id."""
+    rows = [(1, "a b c"), (1, "a b d"), (1, "a b c"), (2, "a b"), (None, "c d"), (None, "b c d"), (3, None), (4, " "), (5, "a b c"), (6, "u v"), (6, "u v")]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, doc int, key string").repartition(5)
+    got = lm_score.score(docs).collect()
+    assert {g.doc_id: (g.n_words, g.log_score) for g in got} == {i: (n, pytest.approx(s, abs=1e-9)) for i, (n, s) in brute(rows).items()}
+    assert len(got) == 7 and all((g.mean_log_score is None) == (g.n_words == 0) for g in got)
     assert lm_score.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from slateflow.llm import fingerprint, html_text, lm_score, mixing, pii, quality
+from slateflow.llm import fingerprint, html_text, mixing, pii, quality
 
 
 def base_spans(t):
@@ -86,9 +86,3 @@ def test_classifier_learns_and_scores_alone():
 
 def test_schedules_integrate_to_their_weights():
     assert [mixing.integral(k) for k in mixing.SCHEDULES] == [3, 1, 2]
-
-
-def test_counted_grams_of_empty_texts():
-    counted = lm_score._counted(pa.array(["", None, "one"]))
-    assert [(n, grams.tolist(), counts.tolist()) for n, grams, counts in counted[:2]] == [(0, [], [])] * 2
-    assert counted[2][0] == 1 and counted[2][2].tolist() == [1]
