@@ -57,6 +57,15 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(size >= least) if least is not None else counts.where(F.lit(False))
 
 
+def numbered(rows: DataFrame, key: str, name: str, parts: int = 64) -> DataFrame:
+    """Add ``name``: 1, 2, ... over distinct keys, counted up within ``parts`` parts, of which none but their sizes meet."""
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n_part")).select("part", F.coalesce(F.sum("n_part").over(before), F.lit(0)).alias("before"))
+    at = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(key))
+    return rows.join(F.broadcast(sizes), "part").withColumn(name, at.cast("long")).drop("part", "before")
+
+
 def hot_candidates(docs: DataFrame) -> DataFrame:
     """pair, p, w: bigrams that several documents of the sample have, HOT at most."""
     sample = bigrams(docs.where(F.pmod(F.xxhash64("doc", "text"), F.lit(SAMPLE)) == 0))
@@ -76,12 +85,11 @@ def count_tables(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     total = counts.where("kind = 0").agg(F.sum("n")).first()[0] or 0
     top = most_frequent(counts.where("kind = 0").select(F.col("key").alias("h"), "n"), WORDS)
     log_n = F.log(F.col("n").cast("double")).alias("log_n")
-    # WORDS rows and HOT rows at most are numbered in one task
-    coded = top.select("h", F.row_number().over(Window.orderBy("h")).cast("long").alias("code"), log_n)
+    coded = numbered(top, "h", "code").select("h", "code", log_n)
     words = stored(coded.unionByName(counts.where("kind = 1").select(F.col("key").alias("h"), F.lit(0).cast("long").alias("code"), log_n)))
     hot = candidates.join(counts.where("kind = 2").select(F.col("key").alias("pair"), log_n), "pair")
     hot = hot.join(words.select(F.col("h").alias("p"), F.col("log_n").alias("log_p")), "p").join(words.select(F.col("h").alias("w")), "w")
-    return words, stored(hot.select("pair", F.row_number().over(Window.orderBy("pair")).cast("long").alias("hot"), (F.col("log_n") - F.col("log_p")).alias("log_score"))), total
+    return words, stored(numbered(hot, "pair", "hot").select("pair", "hot", (F.col("log_n") - F.col("log_p")).alias("log_score"))), total
 
 
 def exchange_lines(docs: DataFrame, words: DataFrame, hot: DataFrame) -> DataFrame:
