@@ -41,11 +41,11 @@ def test_long_runs_and_extra_kinds():
 def test_fingerprint_resumes():
     t = "the quick brown fox " * 40 + "é𝄞"
     for cut in (0, 1, 333, len(t)):
-        seen = set()
-        fingerprint.parse(t[cut:], seen, fingerprint.parse(t[:cut], seen))
-        assert np.array_equal(fingerprint.signature(seen), fingerprint.fingerprint_text(t))
-    a = fingerprint.fingerprint_text(t)
-    assert fingerprint.likeness(a, a) == 1.0 and fingerprint.likeness(a, fingerprint.fingerprint_text("")) == 0.0
+        entries = {}
+        fingerprint.parse(t[cut:], entries, fingerprint.parse(t[:cut], entries))
+        assert np.array_equal(fingerprint.signatures([fingerprint.keys_of(entries)])[0], fingerprint.fingerprint_text(t))
+    a, none = fingerprint.fingerprint_text(t), fingerprint.fingerprint_text("")
+    assert fingerprint.likenesses([a, a, none], [a, none, none]).tolist() == [1.0, 0.0, 1.0]
     assert np.array_equal(fingerprint.from_hex(fingerprint.as_hex(a)), a)
 
 
