@@ -1,7 +1,6 @@
 """Best-fit packing of token sequences by bin completion.
 
-Texts are tokenised in Arrow batches, each distinct word once (the vocabulary divides text into words and
-marks first, and no token spans two). Pieces, without their tokens, are dealt out evenly to tasks of bounded size, and
+Texts are tokenised in Arrow batches, each distinct word once (no token spans white space). Pieces, without their tokens, are dealt out evenly to tasks of bounded size, and
 each task packs its own: the largest piece left opens a sequence, undominated fillings for it are
 enumerated, and branch and bound over those choices drops what wastes more than the incumbent; the
 incumbents are best-fit solutions. A group packed into its lower bound of sequences is done at once. A group too
@@ -34,17 +33,31 @@ NODES, FILLINGS = 2_000, 8
 BATCH, TRIES = 300, 6
 #: Steps towards the fullest filling of a sequence in a dive.
 STEPS = 400
-#: Units whose tokens a worker remembers; beyond it, those that no later texts had are forgotten.
+#: Words whose tokens a worker remembers; beyond it, those that no later texts had are forgotten.
 REMEMBERED = 300_000
 
 #: Texts outside this range, or with a marker of a special token, are encoded whole by the tokenizer.
 _PLAIN = re.compile(r"[^\x1c-\x1f\x80-\x9f\xb2\xb3\xb9\xbc-\xbe\u0130\u0250-\U0010ffff]*\Z")
-#: The vocabulary's own division of text, for plain texts; no token spans two of these units.
-_UNIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+
+
+class _Numbers(dict):
+    """Word to number; a word not met before gets the next number and is noted in ``fresh``."""
+
+    def __init__(self, words=()):
+        super().__init__((w, i) for i, w in enumerate(words))
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.fresh.append(word)
+        self[word] = n = len(self)
+        return n
 
 
 class WordTokens:
-    """Token ids of whole texts through a memory of units; equals encoding the text at once."""
+    """Token ids of whole texts through a memory of words; equals encoding the text at once.
+
+    The vocabulary drops white space and no token spans it, so a plain text's tokens are those of its words, end to end.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -53,18 +66,18 @@ class WordTokens:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Numbers()
         self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
         self.again = np.zeros(0, bool)
 
     def forget_rare(self) -> None:
-        """Keep the units met again since they were learned or last kept; none, if those fill half the memory."""
+        """Keep the words met again since they were learned or last kept; none, if those fill half the memory."""
         keep = np.flatnonzero(self.again)
         if 2 * len(keep) > REMEMBERED:
             self.forget()
             return
         names = list(self.known)
-        self.known = {names[k]: i for i, k in enumerate(keep.tolist())}
+        self.known = _Numbers(names[k] for k in keep.tolist())
         self.flat, self.sizes = self.tokens_of(keep), self.sizes[keep]
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.again = np.zeros(len(keep), bool)
@@ -74,46 +87,38 @@ class WordTokens:
         ends = np.cumsum(size)
         return self.flat[np.repeat(self.starts[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
-    def learn(self, units: set[str]) -> int:
-        """Learn what is new of ``units``; how many units were known before."""
-        new = [u for u in units if u not in self.known]
-        if len(self.known) + len(new) > REMEMBERED and self.known:
-            self.forget_rare()
-            new = [u for u in units if u not in self.known]
-        before = len(self.known)
+    def learn(self) -> None:
+        """Encode the words numbered since the last call."""
+        new, self.known.fresh = self.known.fresh, []
         sizes, flat = [self.sizes], [self.flat]
         for at in range(0, len(new), 1000):
             part = new[at : at + 1000]
-            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            counts = np.bincount(np.array(e.word_ids, np.int64), minlength=len(part)) if e.ids else np.zeros(len(part), np.int64)
-            if len(counts) != len(part):
-                raise ValueError("a unit is more than one word of the vocabulary")
-            sizes.append(counts)
+            e = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            sizes.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(part)))
             flat.append(np.array(e.ids, np.uint32))
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
         self.sizes, self.flat = np.concatenate(sizes), np.concatenate(flat)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.again = np.concatenate((self.again, np.zeros(len(new), bool)))
-        return before
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
-        units = [_UNIT.findall(t.lower()) if (t.isascii() or _PLAIN.match(t)) and "<|" not in t else None for t in texts]
-        fresh: set[str] = set()
-        for u in units:
-            if u:
-                fresh.update(u)
-        before = self.learn(fresh)
-        known = self.known
-        out = []
-        for text, u in zip(texts, units):
-            if u is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
-                continue
-            at = np.fromiter(map(known.__getitem__, u), np.int64, len(u))
-            self.again[at] = True
-            out.append(self.tokens_of(at))
-        self.again[before:] = False
-        return out
+        if len(self.known) > REMEMBERED:
+            self.forget_rare()
+        before = len(self.known)
+        words: list[str] = []
+        ends = [0]
+        plain = []
+        for t in texts:
+            plain.append(_PLAIN.match(t) is not None and "<|" not in t)
+            if plain[-1]:
+                words += t.lower().split()
+            ends.append(len(words))
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        self.learn()
+        self.again[at[at < before]] = True
+        ids = self.tokens_of(at)
+        cuts = np.concatenate(([0], np.cumsum(self.sizes[at])))[ends]
+        whole = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
+        return [ids[a:b] if p else whole(t) for t, p, a, b in zip(texts, plain, cuts[:-1], cuts[1:])]
 
 
 _tokens: dict[str, WordTokens] = {}
