@@ -33,11 +33,13 @@ NODES, FILLINGS = 2_000, 8
 BATCH, TRIES = 300, 6
 #: Steps towards the fullest filling of a sequence in a dive.
 STEPS = 400
-#: Words whose tokens a worker remembers; beyond it, those that no later texts had are forgotten.
+#: Words, and units of words, whose tokens a worker remembers; beyond it, words that no later texts had are forgotten, and all units.
 REMEMBERED = 300_000
 
 #: Texts outside this range, or with a marker of a special token, are encoded whole by the tokenizer.
 _PLAIN = re.compile(r"[^\x1c-\x1f\x80-\x9f\xb2\xb3\xb9\xbc-\xbe\u0130\u0250-\U0010ffff]*\Z")
+#: The vocabulary's own division of plain words; no token spans two of these units.
+_UNIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
 
 class _Numbers(dict):
@@ -53,10 +55,18 @@ class _Numbers(dict):
         return n
 
 
+def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` that begin at ``starts``, those numbered ``at``, end to end."""
+    size = sizes[at]
+    ends = np.cumsum(size)
+    return flat[np.repeat(starts[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class WordTokens:
     """Token ids of whole texts through a memory of words; equals encoding the text at once.
 
-    The vocabulary drops white space and no token spans it, so a plain text's tokens are those of its words, end to end.
+    The vocabulary drops white space and no token spans it, so a plain text's tokens are those of its words, end to end, and a
+    word's those of its units. Words are remembered to be found at once, units because fewer of them are new.
     """
 
     def __init__(self, path: str):
@@ -64,6 +74,11 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.forget()
+        self.forget_units()
+
+    def forget_units(self) -> None:
+        self.units = _Numbers()
+        self.unit_sizes, self.unit_flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def forget(self) -> None:
         self.known = _Numbers()
@@ -83,20 +98,39 @@ class WordTokens:
         self.again = np.zeros(len(keep), bool)
 
     def tokens_of(self, at: np.ndarray) -> np.ndarray:
-        size = self.sizes[at]
-        ends = np.cumsum(size)
-        return self.flat[np.repeat(self.starts[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        return _gather(self.flat, self.starts, self.sizes, at)
 
-    def learn(self) -> None:
-        """Encode the words numbered since the last call."""
-        new, self.known.fresh = self.known.fresh, []
-        sizes, flat = [self.sizes], [self.flat]
+    def learn_units(self) -> None:
+        """Encode the units numbered since the last call."""
+        new, self.units.fresh = self.units.fresh, []
+        sizes, flat = [self.unit_sizes], [self.unit_flat]
         for at in range(0, len(new), 1000):
             part = new[at : at + 1000]
-            e = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            sizes.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(part)))
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            counts = np.bincount(np.array(e.word_ids, np.int64), minlength=len(part))
+            if len(counts) != len(part):
+                raise ValueError("a unit is more than one word of the vocabulary")
+            sizes.append(counts)
             flat.append(np.array(e.ids, np.uint32))
-        self.sizes, self.flat = np.concatenate(sizes), np.concatenate(flat)
+        self.unit_sizes, self.unit_flat = np.concatenate(sizes), np.concatenate(flat)
+
+    def learn(self) -> None:
+        """Put together the tokens of the words numbered since the last call."""
+        new, self.known.fresh = self.known.fresh, []
+        if not new:
+            return
+        if len(self.units) > REMEMBERED:
+            self.forget_units()
+        units: list[str] = []
+        ends = []
+        for word in new:
+            units += _UNIT.findall(word)
+            ends.append(len(units))
+        at = np.fromiter(map(self.units.__getitem__, units), np.int64, len(units))
+        self.learn_units()
+        upto = np.concatenate(([0], np.cumsum(self.unit_sizes[at])))[ends]
+        self.sizes = np.concatenate((self.sizes, np.diff(upto, prepend=0)))
+        self.flat = np.concatenate((self.flat, _gather(self.unit_flat, np.cumsum(self.unit_sizes) - self.unit_sizes, self.unit_sizes, at)))
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.again = np.concatenate((self.again, np.zeros(len(new), bool)))
 
