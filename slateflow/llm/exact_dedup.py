@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, text_of
+from .common import ascii_lower, cut, stored, text_of
 
 #: Digest buckets, each with its own sketch.
 BUCKETS = 64
@@ -68,16 +68,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return resolve(rows).select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def _row_key(id_: Column, digest_: Column) -> Column:
+    return F.concat_ws(":", digest_, id_.cast("string"))
+
+
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that ``exact_dedup`` drops; the columns stay as they are.
+    """``docs`` without the rows that ``exact_dedup`` drops; the columns stay as they are, whatever their names.
 
-    The decision goes back to the rows by id and digest. Rows that repeat a kept id and text
-    are one document and stay once.
+    The decision goes back to the rows by id and digest in one exchange of the texts. Rows that repeat a kept id and
+    text are one document and stay once; of several rows that differ in other columns alone, any one does.
     """
-    kept = cut(exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")))
-    keyed = docs.withColumn("_dig", digest(F.col("text")))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_dig") == F.col("_sha"))
-    return keyed.join(kept, on, "left_semi").dropDuplicates(["doc_id", "_dig"]).select(*docs.columns)
+    kept = stored(exact_dedup(docs).where("kept").select(_row_key(F.col("doc_id"), F.col("text_sha256")).alias("key")))
+    rows = docs.select(F.struct("*").alias("row"), _row_key(F.col("doc_id"), digest(F.col("text"))).alias("key"))
+    return rows.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -79,15 +79,8 @@ def targets(sizes: DataFrame, schedules=SCHEDULES, total_share: float = TOTAL_SH
     return rows.select("source", "source_size", "rank", F.when(capped, F.col("cap").cast("double")).otherwise(F.col("water") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, schedules=SCHEDULES, total_share: float = TOTAL_SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, positions.
-
-    ``taken`` counts words with repeats: the document is read whole in each pass over its source,
-    but for the one document per source on which the budget ends, read in part. ``positions`` has
-    the training time of each reading. Null sources form one source, ranked last; documents without
-    words take nothing and have no position; equal rows split what falls to them in any order; an empty
-    table gives no rows.
-    """
+def in_order(docs: DataFrame, schedules=SCHEDULES, total_share: float = TOTAL_SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """doc_id, source, size, source_size, target, rank, before: each row with the words of its source that are read before it."""
     sized = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
     sizes = cut(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows")))
     aims = targets(sizes.select("source", "source_size"), schedules, total_share, max_epochs)
@@ -103,37 +96,55 @@ def mix(docs: DataFrame, schedules=SCHEDULES, total_share: float = TOTAL_SHARE,
     placed = with_aims.withColumn("upto", F.sum("size").over(inside))
     placed = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
     before = F.col("bucket_start") + F.col("upto") - F.col("size")
-    budget = F.floor("target").cast("long")
+    return placed.select("doc_id", "source", "size", "source_size", "target", "rank", before.alias("before"))
+
+
+def readings(rows: DataFrame, schedules=SCHEDULES, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """Add taken (words, repeats counted) and positions (training time of each reading) to rows of ``in_order``."""
+    budget, before = F.floor("target").cast("long"), F.col("before")
     passes = F.array(*(F.struct(F.lit(p).alias("p"), F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), budget - before - p * F.col("source_size"))).alias("n")) for p in range(max_epochs)))
     read = F.filter(passes, lambda x: x["n"] > 0)
     taken = F.aggregate(passes, F.lit(0).cast("long"), lambda a, x: a + x["n"])
     when = F.transform(read, lambda x: invert_demand((before + x["p"] * F.col("source_size") + x["n"] / 2) / F.col("target"), schedules, F.col("rank")))
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), when.alias("positions"))
+    return rows.select("*", taken.alias("taken"), when.alias("positions"))
 
 
-def training_order(mixed: DataFrame, width: int | None = None) -> DataFrame:
-    """Each reading of each document, range-partitioned and sorted by training position."""
-    rows = mixed.select("*", F.explode("positions").alias("position")).drop("positions")
-    keys = [F.col("position"), F.col("doc_id")]
-    return (rows.repartitionByRange(width, *keys) if width else rows.repartitionByRange(*keys)).sortWithinPartitions(*keys)
+def mix(docs: DataFrame, schedules=SCHEDULES, total_share: float = TOTAL_SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken, positions.
+
+    ``taken`` counts words with repeats: the document is read whole in each pass over its source,
+    but for the one document per source on which the budget ends, read in part. ``positions`` has
+    the training time of each reading. Null sources form one source, ranked last; documents without
+    words take nothing and have no position; equal rows split what falls to them in any order; an empty
+    table gives no rows.
+    """
+    return readings(in_order(docs, schedules, total_share, max_epochs), schedules, max_epochs).drop("rank", "before")
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The documents as the mix reads them: once per reading, range-sorted by training position.
 
     The reading on which a source's budget ends has its text cut after the words taken, and n_chars
-    follows; documents that the mix doesn't take go. Needs unique ids.
+    follows; documents that the mix doesn't take go. Columns stay as they are, whatever their names. Rows that agree in
+    id, source and size stand side by side in the order and are read one after the other, in any order.
     """
-    plan = mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), "size", "taken", "positions")
+    key = F.struct("doc_id", "source", "size").alias("key")
+    plan = in_order(docs).groupBy(key).agg(F.min("before").alias("start"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("rank").alias("rank"))
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size")).select("row", "size", key)
+    # the join's partitioning and order serve the numbering
+    rows = rows.join(plan, "key").withColumn("number", F.row_number().over(Window.partitionBy("key").orderBy(F.lit(1))))
+    rows = readings(rows.withColumn("before", F.col("start") + (F.col("number") - 1) * F.col("size"))).where("taken > 0")
     full = F.floor(F.col("taken") / F.col("size")).cast("int")
-    rows = docs.join(plan, F.col("doc_id") == F.col("_id")).select(*docs.columns, "size", "taken", F.posexplode("positions").alias("_pass", "_position"))
-    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    part = F.array_join(F.slice(words, 1, (F.col("taken") - F.col("_pass") * F.col("size")).cast("int")), "")
-    rows = rows.withColumn("_cut", F.col("_pass") >= full).withColumn("text", F.when(F.col("_cut"), part).otherwise(F.col("text")))
+    rows = rows.select("row", "size", "taken", full.alias("full"), F.posexplode("positions").alias("pass", "position"))
+    words = F.regexp_extract_all(F.col("row.text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    part = F.array_join(F.slice(words, 1, (F.col("taken") - F.col("pass") * F.col("size")).cast("int")), "")
+    cut_short = F.col("pass") >= F.col("full")
+    row = F.col("row").withField("text", F.when(cut_short, part).otherwise(F.col("row.text")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_cut"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    keys = [F.col("_position"), F.col("doc_id")]
-    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*docs.columns)
+        kind = docs.schema["n_chars"].dataType
+        row = row.withField("n_chars", F.when(cut_short, F.char_length(part).cast(kind)).otherwise(F.col("row.n_chars")))
+    keys = [F.col("position"), F.col("row.doc_id")]
+    return rows.select("position", row.alias("row")).repartitionByRange(*keys).sortWithinPartitions(*keys).select("row.*")
 
 
 def op1_source_mix(spark, sf_dir: str) -> DataFrame:

@@ -227,9 +227,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with the kept document of each component only; columns as they are. Rows that share a kept id stay."""
-    kept = cut(near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*docs.columns)
+    """``docs`` with the kept document of each component only; columns as they are, whatever their names. Rows that share a kept id stay."""
+    kept = cut(near_duplicates(docs).where("kept").select("doc_id").distinct())
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
+    return rows.join(kept, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi").select("row.*")
 
 
 def op5_near_dedup(spark, sf_dir: str) -> DataFrame:
