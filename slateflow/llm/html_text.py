@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import html as H
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -54,7 +56,8 @@ for _i, _words in enumerate(HINTS.values()):
 _TAG_AT = {t: i for i, t in enumerate(TAGS)}
 _N_HINTS = len(HINTS)
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'){0,600}+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
+#: A tag of more than some 300 quoted values ends at its first ``>``, so that stray quotes are not read to the end of the page again and again.
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -98,6 +101,16 @@ def parse(page: str, tree: Tree) -> list[tuple[int, str]]:
     text: list[str] = []
     endless: set[str] = set()
     search = _TOKEN.search
+    # the open blocks, and of each name how deep they stand; nothing after the last bracket is a tag
+    stack, where, tags_end = [root], defaultdict(list), page.rfind(">") + 1
+
+    def wall_of(walls) -> int:
+        return max((where[w][-1] for w in walls if where[w]), default=0)
+
+    def close_from(deep: int) -> int:
+        while len(stack) > deep:
+            where[names[stack.pop()]].pop()
+        return stack[-1]
 
     def close_run() -> None:
         nonlocal chars
@@ -110,7 +123,9 @@ def parse(page: str, tree: Tree) -> list[tuple[int, str]]:
             chars += len(s)
 
     while True:
-        m = search(page, pos)
+        m = search(page, pos, tags_end)
+        if not m and (comment := page.find("<!--", pos)) >= 0:
+            m = search(page, comment)
         piece = page[pos : m.start()] if m else page[pos:]
         if piece:
             plain = H.unescape(piece) if "&" in piece else piece
@@ -119,7 +134,8 @@ def parse(page: str, tree: Tree) -> list[tuple[int, str]]:
                 links[here] += len(plain)
         if not m:
             break
-        pos = m.end()
+        # a comment without an end takes the rest of the page
+        pos = m.end() if m[0][:4] != "<!--" or m[0].endswith("-->") else len(page)
         slash, tag, attributes = m.group(1, 2, 3) if m[2] else m.group(4, 5, 6)
         if not tag:
             continue
@@ -148,18 +164,15 @@ def parse(page: str, tree: Tree) -> list[tuple[int, str]]:
             continue
         link = 0
         if slash:
-            at, walls = here, WALLS.get(tag, ())
-            while at != root and names[at] != tag and names[at] not in walls:
-                at = up[at]
-            if at != root and names[at] == tag:
-                here = up[at]
+            if where[tag] and (deep := where[tag][-1]) > wall_of(WALLS.get(tag, ())):
+                here = close_from(deep)
             continue
-        shut = CLOSES.get(tag) or _P
-        at, walls = here, WALLS.get(tag) or WALLS["p"]
-        while at != root and (name := names[at]) not in walls:
-            if name in shut:
-                here = up[at]
-            at = up[at]
+        shut = [where[s] for s in CLOSES.get(tag) or _P if where[s]]
+        if shut:
+            wall = wall_of(WALLS.get(tag) or WALLS["p"])
+            inside = [s[k] for s in shut if (k := bisect_right(s, wall)) < len(s)]
+            if inside:
+                here = close_from(min(inside))
         label = 1 if " y1" in attributes else 2 if " y0" in attributes else 0
         block = tree.add(_TAG_AT.get(tag, -1), here, label, chars, depth[here] + 1)
         names[block] = tag
@@ -167,6 +180,8 @@ def parse(page: str, tree: Tree) -> list[tuple[int, str]]:
             tree.hints.append((block, found))
         if tag not in VOID and not attributes.endswith("/"):
             here = block
+            where[tag].append(len(stack))
+            stack.append(block)
     if text:
         close_run()
     return runs

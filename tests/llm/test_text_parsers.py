@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -86,3 +87,44 @@ def test_classifier_learns_and_scores_alone():
 
 def test_schedules_integrate_to_their_weights():
     assert [mixing.integral(k) for k in mixing.SCHEDULES] == [3, 1, 2]
+
+
+@pytest.mark.parametrize("piece", ["mailto:", "://a@", "token=", "x://", "account 1", "+1(", "1.", "1-", "a@b.", "@", "iban "])
+def test_spans_of_a_long_text_take_time_in_proportion(piece):
+    started = time.process_time()
+    spans = pii.find(piece * ((1 << 20) // len(piece)))
+    assert time.process_time() - started < 8
+    for kind in pii.KINDS:
+        mine = sorted(s for s in spans if s[2] == kind)
+        assert all(a[1] <= b[0] for a, b in zip(mine, mine[1:]))
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<div></section>", "<x>", "<p><div>", "<", "<!--", "<a \"'>", "<li>", "<a '>", "<ul><li><ul>", "x > <a", "<svg>"])
+def test_a_long_page_takes_time_in_proportion(piece):
+    started = time.process_time()
+    html_text.parse(piece * ((1 << 20) // len(piece)), html_text.Tree())
+    assert time.process_time() - started < 10
+
+
+def test_tags_close_what_they_should():
+    def shape(page):
+        tree = html_text.Tree()
+        return [(t, tree.depth[b]) for b, t in html_text.parse(page, tree)]
+
+    assert shape("<div><p>a<p>b</div>c") == [("a", 2), ("b", 2), ("c", 0)]
+    assert shape("<ul><li>a<ul><li>b</li></ul>c</li><li>d</ul>e") == [("a", 2), ("b", 4), ("c", 2), ("d", 2), ("e", 0)]
+    assert shape("<table><tr>a<tr>b</table></tr>c") == [("a", 2), ("b", 2), ("c", 0)]
+    assert shape("<div>a</section>b</div></div>c") == [("a", 1), ("b", 1), ("c", 0)]
+    assert shape("<dl><dt>a<dd>b<dt>c</dl>") == [("a", 2), ("b", 2), ("c", 2)]
+    assert shape("a <!-- x > <p> y") == [("a", 0)] and shape("a<!-- b -->c > <!-- d") == [("ac >", 0)]
+
+
+def test_spans_and_main_text_as_columns(spark):
+    rows = [(1, None, 0), (2, "", 0), (2, "mail a@b.co or 10.0.0.1", 0), (None, "4111 1111 1111 1111", 1)]
+    got = pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string, spans int")).collect()
+    assert [(g.doc_id, [(s.kind, s.start, s.end) for s in g.spans]) for g in got] == [(1, []), (2, []), (2, [("email", 5, 11), ("ip", 15, 23)]), (None, [("card", 0, 19)])]
+    assert pii.find_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (2, "v", "<p>One two three four five six.</p>")], "page_id long, url string, html string")
+    found = html_text.extract(pages).collect()
+    assert len(found) == 3 and [(f.page_id, f.url, f.text, f.n_chars) for f in found[:2]] == [(1, "u", "", 0), (2, None, "", 0)]
+    assert found[2].n_chars == len(found[2].text) and html_text.extract(pages.limit(0)).count() == 0
