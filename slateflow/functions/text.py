@@ -6,9 +6,33 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-KOREAN = r"[\x{1100}-\x{11ff}\x{3130}-\x{318f}\x{ac00}-\x{d7a3}]"
-CJK = r"[\x{1100}-\x{11ff}\x{2e80}-\x{303f}\x{3040}-\x{30ff}\x{3130}-\x{318f}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7a3}\x{f900}-\x{faff}]"
-BULLET = r"^\s*(?:[-*\x{2022}\x{25cf}\x{25e6}\x{25aa}]|\d+[.)]|[A-Za-z][.)])\s+"
+# Unicode blocks that count as Korean, and with the others as CJK, and the marks that open a list item.
+KOREAN_BLOCKS = {"Hangul Jamo": "1100-11ff", "Hangul Compatibility Jamo": "3130-318f", "Hangul Syllables": "ac00-d7a3"}
+CJK_BLOCKS = KOREAN_BLOCKS | {
+    "CJK Radicals Supplement": "2e80-2eff",
+    "CJK Symbols and Punctuation": "3000-303f",
+    "Hiragana": "3040-309f",
+    "Katakana": "30a0-30ff",
+    "CJK Strokes": "31c0-31ef",
+    "CJK Unified Ideographs Extension A": "3400-4dbf",
+    "CJK Unified Ideographs": "4e00-9fff",
+    "CJK Compatibility Ideographs": "f900-faff",
+}
+BULLETS = "-*•·▪◦‣"
+
+
+def _class_of(blocks: dict[str, str]) -> str:
+    """A character class that Java's and RE2's patterns share."""
+    return "[" + "".join("\\x{{{}}}-\\x{{{}}}".format(*block.split("-")) for block in blocks.values()) + "]"
+
+
+KOREAN, CJK = _class_of(KOREAN_BLOCKS), _class_of(CJK_BLOCKS)
+BULLET = rf"^\s*(?:[{BULLETS}]|\d+[.)]|[A-Za-z][.)])\s+"
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def clean(text: Column) -> Column:
@@ -86,6 +110,51 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(mixed)
 
 
+def padded(number: Column, digits: int) -> Column:
+    """A number with leading zeros up to so many digits; longer ones stay whole."""
+    return F.when(number < 10**digits, F.lpad(number.cast("string"), digits, "0")).otherwise(number.cast("string"))
+
+
+def count_lines(text: Column) -> Column:
+    """Lines that aren't blank, at least 1."""
+    return F.greatest(F.lit(1), F.size(clean_lines(text)))
+
+
+def recognised_text(lines: Column, text: Column) -> Column:
+    """The stripped, non-blank lines of a result, else its text."""
+    joined = F.array_join(F.filter(F.transform(lines, strip), lambda s: s != ""), "\n")
+    return F.when(joined != "", joined).otherwise(strip(text))
+
+
+def font_key(name: Column) -> Column:
+    """A font's name as it is compared: lower-case letters and digits only."""
+    return F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]", "")
+
+
+def hex_to_rgb(color: Column) -> Column:
+    """r, g, b of ``#RRGGBB`` or ``RRGGBB``; null if it is neither."""
+    digits = F.upper(F.regexp_extract(color, r"^#?([0-9A-Fa-f]{6})$", 1))
+    part = lambda at: F.conv(F.substring(digits, at, 2), 16, 10).cast("int")
+    return F.when(digits != "", F.struct(part(1).alias("r"), part(3).alias("g"), part(5).alias("b")))
+
+
+def rgb_to_hex(r: Column, g: Column, b: Column) -> Column:
+    return F.concat(*(F.lpad(F.hex(c.cast("int")), 2, "0") for c in (r, g, b)))
+
+
+def join_words(texts: Column) -> Column:
+    """One line of ordered texts: stripped, blank ones left out, one space between two but where none belongs.
+
+    None follows ``- / (``, precedes closing punctuation, or stands between two CJK characters.
+    """
+
+    def glue(line, t):
+        close = line.rlike(r"[-/(]$") | t.rlike(r"^[,.:;!?)\]%]") | (F.right(line, F.lit(1)).rlike(CJK) & F.left(t, F.lit(1)).rlike(CJK))
+        return F.when(t == "", line).when(line == "", t).when(close, F.concat(line, t)).otherwise(F.concat(line, F.lit(" "), t))
+
+    return F.aggregate(F.transform(texts, strip), F.lit(""), glue)
+
+
 def file_stem(path: Column) -> Column:
     """Characters outside [A-Za-z0-9._-] to dashes, dots and dashes stripped; blank gives 'upload'."""
     name = F.btrim(F.regexp_replace(path, r"[^A-Za-z0-9._-]+", "-"), F.lit(".-"))

@@ -20,6 +20,20 @@ def first_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_k = 1").drop("_k")
 
 
+def number_in_ranges(rows: DataFrame, keys: list[str], order: str, width: int = 4096) -> DataFrame:
+    """Add number: 1, 2, ... in ``order`` (whole numbers) within ``keys``; equal rows in any order.
+
+    Ranges of ``width`` values are numbered apart and begin after what the ranges before them count, so that no group is sorted in one task.
+    """
+    ranged = rows.withColumn("_range", F.floor(F.col(order) / width))
+    sizes = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_size"))
+    before = Window.partitionBy(*keys).orderBy(F.col("_range").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.struct(*keys, "_range").alias("_at"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_at").orderBy(order))
+    found = ranged.withColumn("_at", F.struct(*keys, "_range")).withColumn("_inside", inside).join(starts, "_at")
+    return found.select(*rows.columns, (F.col("_start") + F.col("_inside")).cast("int").alias("number"))
+
+
 def kth_match(patches: DataFrame, shapes: DataFrame, on: list[str], patch_order: str, shape_order: str) -> DataFrame:
     """The k-th patch of a text with the k-th shape of that text, which is first-unused-wins matching."""
     rank = lambda df, o: df.withColumn("_k", F.row_number().over(Window.partitionBy(*on).orderBy(o)))
@@ -42,6 +56,9 @@ def assign_exclusively(scored: DataFrame, group: list[str], row: str, candidate:
     options = F.sort_array(F.collect_list(F.struct((-F.col(score)).alias("loss"), F.col(candidate).alias("candidate"))))
     rows = scored.groupBy(*group, row).agg(options.alias("options"))
     groups = rows.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(F.col(row).alias("row"), "options"))).alias("rows"))
+    # earlier rows can take no more candidates than there are rows, so a row needs no more options than that
+    few = F.size("rows")
+    groups = groups.withColumn("rows", F.transform("rows", lambda r: F.struct(r["row"].alias("row"), F.slice(r["options"], 1, few).alias("options"))))
     kinds = {f.name: f.dataType.simpleString() for f in scored.schema.fields}
     start = F.struct(F.expr(f"cast(array() as array<{kinds[candidate]}>)").alias("used"), F.expr(f"cast(array() as array<struct<row:{kinds[row]},candidate:{kinds[candidate]},score:double,applied:boolean>>)").alias("out"))
 

@@ -71,22 +71,20 @@ def stable_dedupe_casefold(spark, sf_dir):
     return rows.groupBy("key_md5").agg(F.min("doc_id").alias("doc_id"))
 
 
-_SCRIPTS = ["한글 title", "English title", "日本語", "カナ", "x"]
+_SCRIPTS = ["한글 title", "English title", "日本語", "カナ", "x", "\u31c0", "\u2f00", "\u2e80", "· a", "▪ b", "‣ c", "● d", "12) e", "F. g", "•h"]
 
 
 @query(
-    r"""WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents UNION ALL SELECT conv_id || '-' || turn, text FROM conversations
-  UNION ALL SELECT * FROM (VALUES ('s0', '한글 title'), ('s1', 'English title'), ('s2', '日本語'), ('s3', 'カナ'), ('s4', 'x')))
-SELECT id, regexp_matches(text, '[\x{1100}-\x{11ff}\x{3130}-\x{318f}\x{ac00}-\x{d7a3}]') AS korean,
-  regexp_matches(text, '[\x{1100}-\x{11ff}\x{2e80}-\x{303f}\x{3040}-\x{30ff}\x{3130}-\x{318f}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7a3}\x{f900}-\x{faff}]') AS cjk,
-  CASE WHEN regexp_matches(text, '[\x{1100}-\x{11ff}\x{3130}-\x{318f}\x{ac00}-\x{d7a3}]') THEN 'ko' ELSE 'en' END AS language FROM t"""
+    f"""WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents UNION ALL SELECT conv_id || '-' || turn, text FROM conversations
+  UNION ALL SELECT * FROM (VALUES {', '.join(f"('s{i}', '{s}')" for i, s in enumerate(_SCRIPTS))}))
+SELECT id, regexp_matches(text, '{T.KOREAN}') AS korean, regexp_matches(text, '{T.CJK}') AS cjk, regexp_matches(text, '{T.BULLET}') AS bullet, CASE WHEN regexp_matches(text, '{T.KOREAN}') THEN 'ko' ELSE 'en' END AS language FROM t"""
 )
 def script_language_tag(spark, sf_dir):
     rows = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
     rows = rows.unionByName(read(spark, sf_dir, "conversations").select(F.concat("conv_id", F.lit("-"), "turn").alias("id"), "text"))
     rows = rows.unionByName(spark.createDataFrame([(f"s{i}", s) for i, s in enumerate(_SCRIPTS)], "id string, text string"))
     t = F.col("text")
-    return rows.select("id", T.has_korean(t).alias("korean"), T.has_cjk(t).alias("cjk"), T.language(t).alias("language"))
+    return rows.select("id", T.has_korean(t).alias("korean"), T.has_cjk(t).alias("cjk"), T.starts_bullet(t).alias("bullet"), T.language(t).alias("language"))
 
 
 @query(r"SELECT doc_id, array_to_string(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?'), ';') AS digits FROM documents")
@@ -125,7 +123,19 @@ def _all_pairs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return turns, turns.crossJoin(items)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce({sql_key('text')}, '') AS said FROM conversations), w AS (SELECT item_id, coalesce({sql_key('text')}, '') AS expected FROM benchmark),
+k AS (SELECT conv_id, turn, item_id, said, expected, list_distinct(list_filter(string_split(said, ' '), lambda t: t <> '')) AS a, list_distinct(list_filter(string_split(expected, ' '), lambda t: t <> '')) AS b FROM c, w),
+s AS (SELECT conv_id, turn, item_id, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a, b))::DOUBLE / greatest(len(a), len(b)) END
+  + CASE WHEN said <> '' AND expected <> '' AND (contains(said, expected) OR contains(expected, said)) THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END AS score FROM k),
+o AS (SELECT conv_id, turn, list({{loss: -score, item: item_id}} ORDER BY -score, item_id) FILTER (score > 0) AS l, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM s GROUP BY conv_id, turn),
+r(conv_id, n, turn, best, used) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS STRUCT(loss DOUBLE, item BIGINT)), CAST([] AS BIGINT[]) FROM o GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, n, turn, best, CASE WHEN -best.loss >= 0.1 THEN list_append(used, best.item) ELSE used END
+  FROM (SELECT o.conv_id, o.n, o.turn, r.used, list_filter(o.l, lambda x: NOT list_contains(r.used, x.item))[1] AS best FROM r JOIN o ON o.conv_id = r.conv_id AND o.n = r.n + 1))
+SELECT conv_id, turn, best.item AS item_id, round(coalesce(-best.loss, 0.0), 9) AS score, coalesce(-best.loss >= 0.1, FALSE) AS applied FROM r WHERE n > 0"""
+)
 def exclusive_assignment(spark, sf_dir):
     turns, pairs = _all_pairs(spark, sf_dir)
     score = T.overlap(F.col("a"), F.col("b")) + T.containment(F.col("said"), F.col("expected"))
@@ -191,12 +201,6 @@ def line_cluster_sessions(spark, sf_dir):
     return layout.cluster_lines(boxes(spark, sf_dir), ["slide"], "ord").select("slide", "ord", "cluster_no")
 
 
-@query()
-def paragraph_merge(spark, sf_dir):
-    rows = boxes(spark, sf_dir).withColumn("text", F.when(F.col("ord") % 7 == 0, "- item").otherwise("line"))
-    return layout.merge_paragraphs(rows, ["slide"], "ord").select("slide", "ord", "paragraph_no")
-
-
 @query(f"SELECT doc_id, source || ':' || CASE WHEN length({SQL_CLEAN.format('text')}) >= 24 THEN 'body' ELSE 'label' END AS family FROM documents")
 def font_family_label(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", typography.family_label(F.col("source"), F.col("text"), F.lit(1)).alias("family"))
@@ -221,16 +225,16 @@ def nearest_token(spark, sf_dir):
 @query(
     """WITH p AS (SELECT l_orderkey AS deck, CAST(l_linenumber AS BIGINT) * 100000000 + l_partkey * 1000 + l_suppkey % 1000 AS slide, 800 + l_partkey % 5 * 100 AS w, 600 + l_suppkey % 3 * 100 AS h, CAST(l_quantity AS DOUBLE) AS q FROM lineitem),
 f AS (SELECT *, first_value(w) OVER v / greatest(1, w)::DOUBLE AS sx, first_value(h) OVER v / greatest(1, h)::DOUBLE AS sy FROM p WINDOW v AS (PARTITION BY deck ORDER BY slide))
-SELECT deck, slide, round(q * 3 * sx, 6) AS x, round(q * 2 * sy, 6) AS y, round(q * least(sx, sy), 6) AS font_size FROM f"""
+SELECT deck, slide, round(q * 3 * sx, 6) AS x, round(q * 2 * sy, 6) AS y, round((q + 7) * sx, 6) AS width, round((q + 5) * sy, 6) AS height, round(q * least(sx, sy), 6) AS font_size FROM f"""
 )
 def scale_to_first(spark, sf_dir):
     q = F.col("l_quantity").cast("double")
     rows = read(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("deck"), (F.col("l_linenumber").cast("long") * 100000000 + F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000).alias("slide"), (F.col("l_partkey") % 5 * 100 + 800).alias("slide_width"),
-        (F.col("l_suppkey") % 3 * 100 + 600).alias("slide_height"), (q * 3).alias("x"), (q * 2).alias("y"), q.alias("font_size"),
+        (F.col("l_suppkey") % 3 * 100 + 600).alias("slide_height"), (q * 3).alias("x"), (q * 2).alias("y"), (q + 7).alias("width"), (q + 5).alias("height"), q.alias("font_size"),
     )
     out = typography.scale_to_first(rows, "deck", "slide")
-    return out.select("deck", "slide", *(F.round(c, 6).alias(c) for c in ("x", "y", "font_size")))
+    return out.select("deck", "slide", *(F.round(c, 6).alias(c) for c in ("x", "y", "width", "height", "font_size")))
 
 
 @query("SELECT c_custkey, arg_max(o_orderkey, o_orderkey) AS result, c_mktsegment FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey, c_mktsegment")
@@ -290,20 +294,16 @@ def strongest_pixels_median(spark, sf_dir):
 
 
 @query(
-    f"""WITH p AS (SELECT label AS token, floor(avg(r)) AS pr, floor(avg(g)) AS pg, floor(avg(b)) AS pb FROM ({_RGB}) GROUP BY label),
-d AS (SELECT vec_id, token, sqrt((r - pr) * (r - pr) + (g - pg) * (g - pg) + (b - pb) * (b - pb)) AS d FROM ({_RGB}) c, p),
+    f"""WITH c AS (SELECT *, vec_id % 16 AS slide FROM ({_RGB}) x), p AS (SELECT slide, label AS token, floor(avg(r)) AS pr, floor(avg(g)) AS pg, floor(avg(b)) AS pb FROM c GROUP BY slide, label),
+d AS (SELECT vec_id, token, sqrt((r - pr) * (r - pr) + (g - pg) * (g - pg) + (b - pb) * (b - pb)) AS d FROM c JOIN p USING (slide)),
 k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, token) AS k FROM d)
 SELECT vec_id, token AS nearest, CASE WHEN d <= 18 THEN token END AS snapped FROM k WHERE k = 1"""
 )
 def palette_snap(spark, sf_dir):
-    pixels = rgb(spark, sf_dir)
-    palette = pixels.groupBy(F.col("label").alias("token")).agg(*(F.floor(F.avg(c)).cast("double").alias(f"p{c}") for c in "rgb"))
-    return color.snap_to_palette(pixels, palette).select("vec_id", "nearest", "snapped")
-
-
-@query()
-def palette_cluster(spark, sf_dir):
-    return color.palette_clusters(rgb(spark, sf_dir).withColumn("support", F.lit(1)), ["label"], "vec_id").select("vec_id", "label", "cluster_no")
+    """Each slide's colours to its own palette: the mean colours of its labels."""
+    pixels = rgb(spark, sf_dir).withColumn("slide", F.col("vec_id") % 16)
+    palette = pixels.groupBy("slide", F.col("label").alias("token")).agg(*(F.floor(F.avg(c)).cast("double").alias(f"p{c}") for c in "rgb"))
+    return color.snap_to_palette(pixels, palette, ["slide"]).select("vec_id", "nearest", "snapped")
 
 
 @query(
@@ -317,8 +317,8 @@ def upload_kind_filename(spark, sf_dir):
 
 @query("SELECT doc_id, 'slide-' || lpad(CAST(row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS VARCHAR), 8, '0') AS label FROM documents")
 def deck_numbering(spark, sf_dir):
-    number = F.row_number().over(Window.partitionBy("source", "lang").orderBy("doc_id"))
-    return read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("slide-"), F.lpad(number.cast("string"), 8, "0")).alias("label"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    return matching.number_in_ranges(rows, ["source", "lang"], "doc_id").select("doc_id", F.concat(F.lit("slide-"), F.lpad(F.col("number").cast("string"), 8, "0")).alias("label"))
 
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS status, count(*) AS n_events FROM events GROUP BY user_id")

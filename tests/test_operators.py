@@ -88,14 +88,6 @@ def test_exclusive_assignment_equals_loop(spark):
     assert got == {k: (c, s + 0.0, a) for k, (c, s, a) in want.items()}
 
 
-@pytest.mark.parametrize(
-    "sizes,want",
-    [([20.6, 20.8], [20.5]), ([29.6, 29.8, 13.6, 13.8], [13.5, 29.5]), ([14.1, 14.2, 24.1, 24.2, 36.1, 36.2], [14.0, 24.0, 36.0]), ([], [])],
-)
-def test_font_partition(sizes, want):
-    assert typography.partition_sizes(sizes, 1.2) == want
-
-
 def test_nearest_token_ties_to_the_smaller(spark):
     assert one(spark, typography.nearest_token(F.lit(11.0), F.array(F.lit(12.0), F.lit(10.0)))) == 10.0
 
@@ -104,8 +96,10 @@ def test_palette(spark):
     rows = [(1, 0, 18.0, 58.0, 90.0, 5), (1, 1, 26.0, 66.0, 98.0, 5), (1, 2, 240.0, 130.0, 20.0, 5)]
     df = spark.createDataFrame(rows, "slide long, ord int, r double, g double, b double, support int")
     assert [r.cluster_no for r in color.palette_clusters(df, ["slide"], "ord").orderBy("ord").collect()] == [1, 1, 2]
-    palette = spark.createDataFrame([(1, 22.0, 62.0, 94.0)], "token int, pr double, pg double, pb double")
-    assert [r.snapped for r in color.snap_to_palette(df, palette).orderBy("ord").collect()] == [1, 1, None]
+    palette = spark.createDataFrame([(1, 1, 22.0, 62.0, 94.0), (2, 1, 240.0, 130.0, 20.0)], "slide long, token int, pr double, pg double, pb double")
+    assert [r.snapped for r in color.snap_to_palette(df, palette, ["slide"]).orderBy("ord").collect()] == [1, 1, None]
+    got = color.normalize_colors(df, ["slide"], "ord").orderBy("ord").collect()
+    assert [(r.r, r.g, r.b) for r in got] == [(22.0, 62.0, 94.0)] * 2 + [(240.0, 130.0, 20.0)]
 
 
 def test_language_and_math(spark):
