@@ -59,15 +59,16 @@ def sketches(docs: DataFrame, n: int = SHINGLE_WORDS, k: int = SKETCH) -> DataFr
 
     def run(batches):
         for batch in batches:
-            rows, sets = [], []
-            for _, words in W.documents_words(batch.column(1)):
-                s = W.shingle_set(words, n).view(np.int64)
-                s.sort()
-                rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest(), prefix_length(len(s), k)))
-                sets.append(s[:k].copy())
-            if rows:
+            for first, words, off in W.word_hashes(batch.column(1)):
+                rows, sets = [], []
+                for at, end in zip(off[:-1], off[1:]):
+                    s = W.shingle_set(words[at:end], n).view(np.int64)
+                    s.sort()
+                    rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest(), prefix_length(len(s), k)))
+                    sets.append(s[:k].copy())
                 size, key, prefix = zip(*rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(key), pa.array(prefix, pa.int32()), W.list_column(sets, pa.int64())], ["doc_id", "n_shingles", "set_key", "prefix", "sketch"])
+                ids = batch.column(0).slice(first, len(rows))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(key), pa.array(prefix, pa.int32()), W.list_column(sets, pa.int64())], ["doc_id", "n_shingles", "set_key", "prefix", "sketch"])
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key string, prefix int, sketch array<long>")
 
@@ -77,9 +78,9 @@ def full_sets(docs: DataFrame, n: int = SHINGLE_WORDS) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            sets = [np.sort(W.shingle_set(words, n).view(np.int64)) for _, words in W.documents_words(batch.column(1))]
-            if sets:
-                yield pa.RecordBatch.from_arrays([batch.column(0), W.list_column(sets, pa.int64())], ["doc_id", "shingles"])
+            for first, words, off in W.word_hashes(batch.column(1)):
+                sets = [np.sort(W.shingle_set(words[at:end], n).view(np.int64)) for at, end in zip(off[:-1], off[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), W.list_column(sets, pa.int64())], ["doc_id", "shingles"])
 
     return docs.mapInArrow(run, "doc_id long, shingles array<long>")
 

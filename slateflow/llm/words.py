@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text worked on at a time; a longer text is worked on alone.
-SLICE = 1 << 20
+#: Bytes of text hashed at a time, at some 60 bytes of working memory each, and bytes taken out as Python strings at a time; a longer text is worked on alone.
+SLICE, TEXTS = 1 << 18, 1 << 20
 
 _rng = np.random.default_rng(20240501)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -43,7 +43,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, 2 * SLICE)
+            n = max(n, SLICE + 1)
             self.up, self.down = _powers(_BASE, n), _powers(pow(_BASE, -1, _INVERSE_MOD), n)
         return self.up, self.down
 
@@ -73,11 +73,11 @@ def word_hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
 
 
 def text_slices(column: pa.Array) -> Iterator[list[str]]:
-    """The texts of a column in runs of rows that fill about ``SLICE`` bytes; null is empty."""
+    """The texts of a column in runs of rows that fill about ``TEXTS`` bytes; null is empty."""
     _, off = text_buffer(column)
     row, n = 0, len(off) - 1
     while row < n:
-        end = max(row + 1, int(np.searchsorted(off, off[row] + SLICE, "right")) - 1)
+        end = max(row + 1, int(np.searchsorted(off, off[row] + TEXTS, "right")) - 1)
         yield [t or "" for t in column.slice(row, end - row).to_pylist()]
         row = end
 
