@@ -139,3 +139,16 @@ def verified(files: DataFrame, expected: DataFrame, name: str = "name", content:
 def new_job_ids(rows: DataFrame) -> DataFrame:
     """Add job_id (12 hex digits) and created_at."""
     return rows.withColumn("job_id", F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 12)).withColumn("created_at", F.current_timestamp())
+
+
+def save_records(records: DataFrame, path: str, job: str = "job_id") -> None:
+    """Job records as one folder per job; a job that is saved again replaces its folder alone."""
+    records.write.partitionBy(job).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def load_record(spark: SparkSession, path: str, job_id: str, job: str = "job_id") -> DataFrame:
+    """The record of one job, read from its folder alone; a missing job is an error."""
+    found = spark.read.parquet(path).where(F.col(job) == job_id)
+    if found.isEmpty():
+        raise FileNotFoundError(f"no job {job_id}")
+    return found

@@ -31,6 +31,11 @@ def scale_to_first(rows: DataFrame, deck: str, slide: str) -> DataFrame:
     return r.select(*((F.col(c) * by[c]).alias(c) if c in by else F.col(c) for c in rows.columns))
 
 
+def top_ratio(y: Column, slide_height: Column) -> Column:
+    """How far down its slide a placement begins."""
+    return F.greatest(F.lit(0.0), y / F.greatest(F.lit(1), slide_height))
+
+
 def nearest_token(size: Column, tokens: Column) -> Column:
     """The token nearest to a size, the smaller of two as near."""
     return F.array_min(F.transform(tokens, lambda t: F.struct(F.abs(t - size).alias("d"), t.alias("t"))))["t"]

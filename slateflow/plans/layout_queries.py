@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as T
-from ..operators import color, correction, layout, masks, review, typography
-from ..sources import decks
+from ..operators import color, correction, layout, masks, raster, review, typography
+from ..sources import decks, fonts
 from .catalogue import BOXES, boxes, query, read, rgb, _RGB
 
 #: Lines of slides: boxes with a text, some of it blank, and a polygon, some of them empty.
@@ -413,3 +413,60 @@ def ingested_uploads(spark, sf_dir):
 def full_slide_boxes(spark, sf_dir):
     slides = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("slide"), (F.col("p_size") + 800).alias("width_px"), F.lit(600).alias("height_px"))
     return decks.full_slide_boxes(slides, ["slide"]).select("slide", "box_id", "width", "height", "label")
+
+
+# ---- recognition, measuring and pixels
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id, turn, {_STRIP.format("coalesce(text, '')")} AS text, turn * 37 % 100 AS y, turn % 7 AS x, CASE WHEN turn % 3 <> 0 THEN turn % 10 / 10 END AS score FROM conversations)
+SELECT conv_id, md5(coalesce(string_agg(text, chr(10) ORDER BY y, x, turn) FILTER (text <> ''), '')) AS text_md5, round(avg(score) FILTER (text <> ''), 9) AS confidence, CAST(count(*) FILTER (text <> '') AS INT) AS n_lines FROM t GROUP BY conv_id"""
+)
+def recognised_lines(spark, sf_dir):
+    """Each conversation as what a recogniser gives for one box: its turns as rows out of order."""
+    t = F.col("turn")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", G.corners((t % 7).cast("double"), (t * 37 % 100).cast("double"), F.lit(5.0), F.lit(2.0)).alias("polygon"), F.coalesce("text", F.lit("")).alias("text"), F.when(t % 3 != 0, t % 10 / 10).alias("score"))
+    raw = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.struct("polygon", "text", "score").alias("r")))).alias("l"))
+    raw = raw.select("conv_id", F.lit(3).alias("offset_x"), F.lit(4).alias("offset_y"), F.transform("l", lambda x: x["r"]).alias("raw"))
+    return raster.recognised_results(raw).select("conv_id", F.md5("text").alias("text_md5"), F.round("confidence", 9).alias("confidence"), F.size("lines").alias("n_lines"))
+
+
+@query(
+    f"""WITH {BOXES}, e AS (SELECT *, CAST(1 + ord % 4 AS INT) AS n, ord % 5 = 0 AS cjk, 1 + ord % 90 / 10.0::DOUBLE AS em FROM b),
+f AS (SELECT *, list_reduce(list_prepend({{low: 10.0::DOUBLE, high: greatest(44, height * 8 / n * 1.8::DOUBLE / 96 * 72), best: 10.0::DOUBLE}}, list_transform(generate_series(1, 16), lambda i: {{low: 0.0::DOUBLE, high: 0.0::DOUBLE, best: 0.0::DOUBLE}})),
+  lambda s, i: CASE WHEN em * greatest(1, round_even((s.low + s.high) / 2 * 96 / 72.0::DOUBLE, 0)) <= width * 3 AND n * 1.25::DOUBLE * greatest(1, round_even((s.low + s.high) / 2 * 96 / 72.0::DOUBLE, 0)) + (n - 1) * (CASE WHEN cjk THEN 0.5 ELSE 0.3 END)::DOUBLE * greatest(1, round_even((s.low + s.high) / 2 * 96 / 72.0::DOUBLE, 0)) <= height * 8
+    THEN {{low: (s.low + s.high) / 2, high: s.high, best: (s.low + s.high) / 2}} ELSE {{low: s.low, high: (s.low + s.high) / 2, best: s.best}} END) AS s FROM e)
+SELECT slide, ord, width, round(s.best, 2) AS font_size_pt FROM f"""
+)
+def fitted_sizes(spark, sf_dir):
+    """Font sizes at which texts of known widths, in ems, fit their boxes."""
+    o = F.col("ord")
+    em, n, cjk = o % 90 / F.lit(10.0) + 1, (o % 4 + 1).cast("int"), o % 5 == 0
+    return boxes(spark, sf_dir).select("slide", "ord", "width", fonts.fit_size(em, F.lit(1.25), n, cjk, F.col("width") * 3, F.col("height") * 8).alias("font_size_pt"))
+
+
+def small_images(spark, sf_dir: str) -> DataFrame:
+    """Vectors as grey images of 8 x 8."""
+    grey = F.transform("embedding", lambda v: F.floor(F.abs(v.cast("double")) * 1000) % 256)
+    hexes = F.array_join(F.transform(grey, lambda v: F.repeat(F.lpad(F.hex(v), 2, "0"), F.lit(3))), "")
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.lit(8).alias("width_px"), F.lit(8).alias("height_px"), F.unhex(hexes).alias("data"))
+
+
+@query()
+def inpainted_images(spark, sf_dir):
+    """A window of each image filled from around it, as digests."""
+    images = small_images(spark, sf_dir)
+    windows = images.select("vec_id", *(F.lit(v).alias(n) for n, v in (("left", 3), ("top", 2), ("right", 4), ("bottom", 5))))
+    return raster.inpaint(images, windows, ["vec_id"]).select("vec_id", F.sha2("data", 256).alias("sha256"))
+
+
+@query(
+    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(floor(abs(v::DOUBLE) * 1000) % 256 AS INT)) AS g FROM embeddings)
+SELECT vec_id, CAST(g[2 * 8 + 4] AS DOUBLE) AS r, CAST(255 - g[2 * 8 + 4] AS DOUBLE) AS br FROM e"""
+)
+def line_pixels(spark, sf_dir):
+    """One pixel's worth of a line of each image, over its negative as the background."""
+    images = small_images(spark, sf_dir)
+    data = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(192)), lambda i: F.lpad(F.hex(F.lit(255) - F.conv(F.hex(F.substring(F.col("data"), i, F.lit(1))), 16, 10).cast("int")), 2, "0")), "")
+    lines_ = images.select("vec_id", F.lit(1).alias("line"), G.corners(*(F.lit(v) for v in (3.0, 2.0, 1.0, 1.0))).alias("bbox"))
+    return raster.line_pixels(images, images.withColumn("data", F.unhex(data)), lines_, ["vec_id"], "line").select("vec_id", "r", "br")

@@ -86,6 +86,28 @@ def text_inventory(files: DataFrame, keys: list[str], content: str = "content")
     return rows.select(*keys, F.explode("items").alias("i")).select(*keys, "i.*")
 
 
+MAPPING = "shape_index int, current_text string, corrected_text string, approx_hex string"
+
+
+def read_patches(documents: DataFrame, keys: list[str], json: str = "json", slide_number: Column | None = None) -> DataFrame:
+    """Patches in order (``ord``) of documents: of their slides, or else of one slide: the given one, the document's, or the first."""
+    entry = f"array<struct<{MAPPING}>>"
+    parsed = F.from_json(json, f"slides array<struct<slide_number int, mappings {entry}>>, slide_number int, mappings {entry}", {"mode": "FAILFAST"})
+    rows = documents.select(*keys, parsed.alias("d"), (F.lit(None).cast("int") if slide_number is None else slide_number.cast("int")).alias("_given"))
+    one = F.array(F.struct(F.coalesce("_given", "d.slide_number", F.lit(1)).alias("slide_number"), F.col("d.mappings").alias("mappings")))
+    rows = rows.select(*keys, F.explode(F.coalesce("d.slides", one)).alias("s")).select(*keys, "s.slide_number", F.posexplode("s.mappings").alias("ord", "m"))
+    return rows.select(*keys, "slide_number", "ord", "m.*")
+
+
+def inventory_documents(inventory: DataFrame, keys: list[str]) -> DataFrame:
+    """The inventory of each file as JSON: its slides with their items."""
+    fields = [f.split()[0] for f in ITEM.split(", ")][1:]
+    items = F.sort_array(F.collect_list(F.struct(*fields)))
+    slides = inventory.groupBy(*keys, "slide_number").agg(items.alias("items"))
+    listed = slides.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("slide_number", "items"))).alias("slides"))
+    return listed.select(*keys, F.to_json(F.struct("slides"), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def resolve_patches(patches: DataFrame, inventory: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Patches (slide_number, shape_index or current_text, corrected_text, approx_hex) with the shape that each is for.
 
