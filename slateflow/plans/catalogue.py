@@ -93,12 +93,12 @@ def digit_lists(spark, sf_dir):
 
 
 def _scored(spark, sf_dir) -> DataFrame:
-    """Turns (a slide's rows) with the expected texts of their slide: the items of its residue class."""
-    turns = read(spark, sf_dir, "conversations").select((F.col("conv_id") % 20).alias("deck"), "conv_id", "turn", T.match_key(F.col("text")).alias("said"))
-    wanted = read(spark, sf_dir, "benchmark").select((F.col("item_id") % 20).alias("deck"), "item_id", T.match_key(F.col("text")).alias("expected"))
-    rows = turns.join(wanted, "deck")
-    a, b = T.tokens(F.col("said")), T.tokens(F.col("expected"))
-    return rows.select("conv_id", "turn", "item_id", (T.overlap(a, b) + T.containment(F.col("said"), F.col("expected"))).alias("score"))
+    """Turns (a slide's rows) with the expected texts of their slide: the items of its residue class. Tokens are made once a text."""
+    key = T.match_key(F.col("text"))
+    turns = read(spark, sf_dir, "conversations").select((F.col("conv_id") % 20).alias("deck"), "conv_id", "turn", key.alias("said")).withColumn("a", T.tokens(F.col("said")))
+    wanted = read(spark, sf_dir, "benchmark").select((F.col("item_id") % 20).alias("deck"), "item_id", key.alias("expected")).withColumn("b", T.tokens(F.col("expected")))
+    score = T.overlap(F.col("a"), F.col("b")) + T.containment(F.col("said"), F.col("expected"))
+    return turns.join(wanted, "deck").select("conv_id", "turn", "item_id", score.alias("score"))
 
 
 _SQL_SCORED = f"""c AS (SELECT conv_id % 20 AS deck, conv_id, turn, {sql_key('text')} AS said FROM conversations),
