@@ -5,8 +5,8 @@ and each of the overlapping chunks that cover the whole text keeps every filter'
 vector is the mean, the lowest and the highest of its chunks' maxima, and a hidden layer makes one
 probability of it. Repetition shows in low maxima, as few patterns occur in a repetitive chunk.
 
-It is fitted on a bounded sample of labelled rows (``SAMPLE``, by hash), each represented by up to
-``FIT_CHUNKS`` chunks spread evenly over its whole text; scoring reads every chunk of every text.
+It is fitted on a bounded sample of labelled rows (``SAMPLE``, by hash). A text of more than ``FIT_CHUNKS`` chunks is
+fitted on that many whole ones, spread evenly over it; scoring reads every chunk of every text.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from . import words as W
 CHUNK, STEP = 320, 256
 WIDTH, STRIDE, FILTERS, EMBED, HIDDEN = 8, 2, 48, 8, 24
 #: Labelled rows fitted on at most, and chunks of each.
-SAMPLE, FIT_CHUNKS = 4000, 12
+SAMPLE, FIT_CHUNKS = 4000, 32
 STEPS, BATCH, RATE = 450, 64, 0.004
 ACCEPT = 0.3
 HELD_OUT_OF = 5
@@ -39,6 +39,12 @@ def chunks_of(text: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(out, CHUNK)[::STEP]
 
 
+def fitted_chunks(text: np.ndarray) -> np.ndarray:
+    """The chunks of a text that the network is fitted on."""
+    c = chunks_of(text)
+    return c if len(c) <= FIT_CHUNKS else c[np.linspace(0, len(c) - 1, FIT_CHUNKS).astype(int)]
+
+
 class Network:
     """Parameters by name; ``tables`` are the filters applied to each byte at each place, for scoring."""
 
@@ -125,7 +131,11 @@ class Network:
 
 
 def fit(texts: list[bytes], labels: list[int], seed: int = 7, steps: int = STEPS) -> Network:
-    """A network fitted by Adam; without rows, or with one class alone, one that scores that class's share."""
+    return fit_chunks([fitted_chunks(np.frombuffer(t, np.uint8)) for t in texts], labels, seed, steps)
+
+
+def fit_chunks(groups: list[np.ndarray], labels: list[int], seed: int = 7, steps: int = STEPS) -> Network:
+    """A network fitted by Adam to texts given as chunks; without rows, or with one class alone, one that scores that class's share."""
     net = Network(seed)
     y = np.array(labels, np.float32)
     share = float(y.mean()) if len(y) else 0.5
@@ -135,10 +145,6 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 7, steps: int = STEPS
         return net
     weights = np.where(y == 1, 0.4 / share, 0.6 / (1 - share)).astype(np.float32)
     net.p["out_bias"][:] = 0
-    groups = []
-    for t in texts:
-        c = chunks_of(np.frombuffer(t, np.uint8))
-        groups.append(c[np.unique(np.linspace(0, len(c) - 1, min(len(c), FIT_CHUNKS)).astype(int))])
     rng = np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     s = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -161,10 +167,10 @@ def remainder(doc_id) -> int:
     return zlib.crc32(str(doc_id).encode()) % HELD_OUT_OF
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int = SAMPLE) -> list[tuple[bytes, int]]:
-    """Up to ``rows`` labelled texts that aren't held out, in an order set by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int = SAMPLE) -> list[tuple[np.ndarray, int]]:
+    """Chunks and label of up to ``rows`` labelled texts that aren't held out, in an order set by a hash of the id.
 
-    Only the part of a text that its fitted chunks can come from is bounded: FIT_CHUNKS chunks, cut in the tasks.
+    Of repeated labels of a document the lowest counts; each row of a document is a text of its own.
     """
     learn = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(HELD_OUT_OF)) != 0))
     chosen = learn.groupBy("doc_id").agg(F.min(target).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
@@ -174,20 +180,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str = "quality",
     def run(batches):
         for batch in batches:
             raw, off = W.text_buffer(batch.column(2))
-            parts = []
+            parts, tails = [], []
             for i in range(batch.num_rows):
-                c = chunks_of(raw[off[i] : off[i + 1]])
-                if len(c) <= FIT_CHUNKS:
-                    parts.append(raw[off[i] : off[i + 1]].tobytes())
-                else:  # the chunks laid end to end on the grid that chunks_of cuts
-                    pick = c[np.linspace(0, len(c) - 1, FIT_CHUNKS).astype(int)]
-                    flat = np.concatenate([*(p[:STEP] for p in pick[:-1]), pick[-1]])
-                    parts.append(flat[flat != PAD].astype(np.uint8).tobytes())
+                c = fitted_chunks(raw[off[i] : off[i + 1]])
+                # only the last chunk is padded
+                tails.append(int((c[-1] != PAD).sum()))
+                parts.append(np.where(c == PAD, 0, c).astype(np.uint8).tobytes())
             if parts:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.binary())], ["doc_id", "y", "text"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tails, pa.int32()), pa.array(parts, pa.binary())], ["doc_id", "y", "tail", "chunks"])
+
+    def unpacked(row) -> np.ndarray:
+        c = np.frombuffer(row.chunks, np.uint8).reshape(-1, CHUNK).astype(np.int16)
+        c[-1, row.tail :] = PAD
+        return c
 
-    rows_ = found.mapInArrow(run, "doc_id long, y int, text binary").collect()
-    return [(bytes(r.text), int(r.y)) for r in sorted(rows_, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text))]
+    rows_ = found.mapInArrow(run, "doc_id long, y int, tail int, chunks binary").collect()
+    return [(unpacked(r), int(r.y)) for r in sorted(rows_, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, bytes(r.chunks)))]
 
 
 def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
@@ -210,7 +218,7 @@ def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_
 
 def train(docs: DataFrame, labels: DataFrame) -> Network:
     sample = labelled_sample(docs, labels)
-    return fit([t for t, _ in sample], [y for _, y in sample])
+    return fit_chunks([c for c, _ in sample], [y for _, y in sample])
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
