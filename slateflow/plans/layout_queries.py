@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import text as T
 from ..operators import color, correction, layout, masks, raster, review, typography
-from ..sources import decks, fonts
+from ..sources import decks, fonts, pptx
+from . import deck
 from .catalogue import BOXES, boxes, query, read, rgb, _RGB
 
 #: Lines of slides: boxes with a text, some of it blank, and a polygon, some of them empty.
@@ -470,3 +471,15 @@ def line_pixels(spark, sf_dir):
     data = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(192)), lambda i: F.lpad(F.hex(F.lit(255) - F.conv(F.hex(F.substring(F.col("data"), i, F.lit(1))), 16, 10).cast("int")), 2, "0")), "")
     lines_ = images.select("vec_id", F.lit(1).alias("line"), G.corners(*(F.lit(v) for v in (3.0, 2.0, 1.0, 1.0))).alias("bbox"))
     return raster.line_pixels(images, images.withColumn("data", F.unhex(data)), lines_, ["vec_id"], "line").select("vec_id", "r", "br")
+
+
+@query()
+def built_decks(spark, sf_dir):
+    """Ten slides a deck, each one box of recognised lines, as presentation files; their inventory."""
+    rows = lines(spark, sf_dir).withColumn("deck", F.floor(F.col("slide") / 10)).withColumnRenamed("slide", "slide_no").withColumn("box_id", F.lit("t0001"))
+    found = layout.union_rect(boxes(spark, sf_dir), ["slide"]).withColumn("deck", F.floor(F.col("slide") / 10)).withColumnRenamed("slide", "slide_no")
+    found = found.withColumn("box_id", F.lit("t0001")).withColumn("category", F.lit("text"))
+    results = found.select("deck", "slide_no", "box_id", F.lit("a block").alias("text"), F.lit(0).alias("result_ord"))
+    slides = found.select("deck", "slide_no", (F.col("slide_no") % 2 * 640 + 640).cast("int").alias("width_px"), F.lit(180).alias("height_px"))
+    files = deck.build_decks(slides, deck.text_placements(found, results, rows))
+    return pptx.text_inventory(files, ["deck"]).select("deck", "slide_number", "shape_index", "text", "left", "top", "font_size_pt")

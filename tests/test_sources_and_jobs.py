@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slateflow.operators import jobs, masks
+from slateflow.plans import deck as plan
 from slateflow.sources import artifacts, decks, pptx
 
 
@@ -112,3 +113,34 @@ def test_states_as_a_stream(spark, tmp_path):
     query.awaitTermination(120)
     assert sorted(map(tuple, spark.table("states").collect())) == [(1, "processing", 1), (2, "uploaded", 1)]
     assert len(new := jobs.new_job_ids(spark.range(3)).collect()) == 3 and all(len(n.job_id) == 12 for n in new)
+
+
+def test_slides_to_decks(spark, tmp_path):
+    """Two slides of 1200 x 800 and 600 x 400: one size, boxes scaled, one font size, colours from the pixels."""
+    box = lambda x, y, w, h: [[x, y], [x + w, y], [x + w, y + h], [x, y + h]]
+    found = spark.createDataFrame([(1, n, "a", "text", 100.0, 100.0, 200.0, 60.0) for n in (1, 2)] + [(1, 1, "f", "figure", 0.0, 0.0, 9.0, 9.0), (1, 2, "b", "text", 10.0, 10.0, 50.0, 30.0)], "deck int, slide_no int, box_id string, category string, x double, y double, width double, height double")
+    results = spark.createDataFrame([(1, 1, "a", 0, "old"), (1, 1, "a", 1, "x"), (1, 2, "a", 0, "y"), (1, 2, "b", 0, " a block ")], "deck int, slide_no int, box_id string, result_ord int, text string")
+    lines = spark.createDataFrame([(1, n, "a", k, f"line {k}", box(100.0, 100.0 + 24 * k, 200.0, 22.0 - n)) for n in (1, 2) for k in (0, 1)], "deck int, slide_no int, box_id string, ord int, text string, bbox array<array<double>>")
+    slides = spark.createDataFrame([(1, 1, 1200, 800), (1, 2, 600, 400)], "deck int, slide_no int, width_px int, height_px int")
+    plan.text_placements(found, results, lines).coalesce(1).write.parquet(f"{tmp_path}/placements")
+    placements = spark.read.parquet(f"{tmp_path}/placements")
+    got = placements.orderBy("slide_no", "ord").collect()
+    assert [(g.box_id, g.text, g.word_wrap) for g in got] == [("a:p01", "line 0\nline 1", False), ("b", "a block", True), ("a:p01", "line 0\nline 1", False)]
+    pixels = {}
+    for n, (w, h) in ((1, (1200, 800)), (2, (600, 400))):
+        back = np.full((h, w, 3), 255, np.uint8)
+        front = back.copy()
+        front[100:150, 100:300] = (20, 58, 90 + n)
+        pixels[n] = [(1, n, w, h, bytearray(a.tobytes())) for a in (front, back)]
+    kind = "deck int, slide_no int, width_px int, height_px int, data binary"
+    images, backs = (spark.createDataFrame([pixels[n][k] for n in (1, 2)], kind) for k in (0, 1))
+    plan.color_placements(placements, images, backs).coalesce(1).write.parquet(f"{tmp_path}/colored")
+    placements = spark.read.parquet(f"{tmp_path}/colored")
+    colored = placements.orderBy("slide_no", "ord").collect()
+    assert [tuple(c.color) for c in colored] == [(20, 58, 91), (0, 0, 0), (20, 58, 92)]
+    files = plan.build_decks(slides, placements)
+    files.write.parquet(f"{tmp_path}/files")
+    files = spark.read.parquet(f"{tmp_path}/files")
+    items = pptx.text_inventory(files, ["deck"]).orderBy("slide_number", "shape_index").collect()
+    assert [(i.slide_number, i.left, i.top, i.color_hex) for i in items] == [(1, 952500, 952500, "#143A5B"), (2, 190500, 190500, "#000000"), (2, 1905000, 1905000, "#143A5C")]
+    assert b'cx="11430000" cy="7620000"' in zipfile.ZipFile(io.BytesIO(files.first().content)).read("ppt/presentation.xml")
