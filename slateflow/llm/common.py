@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder, which all executors see.
 
-    Only a local session, whose tasks are on the driver's machine, falls back to a folder of its own under the warehouse.
+    Only a local session, whose tasks run in the driver's own process, falls back to a temporary folder.
     """
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -24,7 +25,7 @@ def shared_folder(spark: SparkSession) -> str:
         if folder is None:
             if not sc.master.startswith("local[") and sc.master != "local":
                 raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+            folder = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 

@@ -34,7 +34,7 @@ BATCH, TRIES = 300, 6
 #: Steps towards the fullest filling of a sequence in a dive.
 STEPS = 400
 #: Words, and units of words, whose tokens a worker remembers; beyond it, words that no later texts had are forgotten, and all units.
-REMEMBERED = 100_000
+REMEMBERED, UNITS = 100_000, 300_000
 
 #: Texts outside this range, or with a marker of a special token, are encoded whole by the tokenizer.
 _PLAIN = re.compile(r"[^\x1c-\x1f\x80-\x9f\xb2\xb3\xb9\xbc-\xbe\u0130\u0250-\U0010ffff]*\Z")
@@ -119,7 +119,7 @@ class WordTokens:
         new, self.known.fresh = self.known.fresh, []
         if not new:
             return
-        if len(self.units) > REMEMBERED:
+        if len(self.units) > UNITS:
             self.forget_units()
         units: list[str] = []
         ends = []
