@@ -78,29 +78,6 @@ def latest_states(events: DataFrame, job: str, order: str, state: str = "state")
     return events.groupBy(job).agg(F.max_by(state, order).alias(state), F.count("*").alias("n_events"))
 
 
-def follow_states(events: DataFrame, job: str, order: str, state: str = "state") -> DataFrame:
-    """The streaming form: a job's current state as its events come; an event that may not follow is counted and ignored.
-
-    ``events`` is a stream; per job only its state and a count are kept. Events of one batch are taken in order.
-    """
-    import pandas as pd
-
-    kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
-
-    def step(key, batches, held):
-        now, refused = held.get if held.exists else (None, 0)
-        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
-        for after in rows[state]:
-            if after in (TRANSITIONS[now] if now else ("uploaded",)):
-                now = after
-            else:
-                refused += 1
-        held.update((now, refused))
-        yield pd.DataFrame({job: [key[0]], state: [now], "refused": [refused]})
-
-    return events.groupBy(job).applyInPandasWithState(step, f"{job} {kinds[job]}, {state} string, refused long", f"{state} string, refused long", "update", "NoTimeout")
-
-
 def preset_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(PRESETS.items())], "ord int, preset_id string, name string")
 

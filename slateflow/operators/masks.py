@@ -69,6 +69,11 @@ def covered_pixels(rectangles: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.sum("fresh").alias("covered"))
 
 
+def with_content(slides: DataFrame, rectangles: DataFrame, keys: list[str]) -> DataFrame:
+    """Slides whose mask covers a pixel; the others need no filling."""
+    return slides.join(rectangles.select(*keys).distinct(), keys, "left_semi")
+
+
 def png(pixels: np.ndarray) -> bytes:
     """A grey or RGB image as PNG."""
     height, width = pixels.shape[:2]

@@ -15,11 +15,6 @@ def last_result_join(detections: DataFrame, results: DataFrame, on: list[str], o
     return detections.join(only, on)
 
 
-def first_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key."""
-    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_k = 1").drop("_k")
-
-
 def number_in_ranges(rows: DataFrame, keys: list[str], order: str, width: int = 4096) -> DataFrame:
     """Add number: 1, 2, ... in ``order`` (whole numbers) within ``keys``; equal rows in any order.
 

@@ -102,6 +102,11 @@ def figure_crops(boxes: DataFrame, keys: list[str], order: list[str]) -> DataFra
     return figures.select(*keys, "box_id", "number", "bounds.*", F.concat(padded(F.col("number"), 3), F.lit("-"), file_stem(F.col("box_id")), F.lit(".png")).alias("file"))
 
 
+def as_detections(boxes: DataFrame, keys: list[str], category: str) -> DataFrame:
+    """Boxes as detections of one category."""
+    return boxes.select(*keys, "box_id", F.lit(category).alias("category"), "x", "y", "width", "height", F.lit(1.0).alias("confidence"))
+
+
 def first_snapshot(existing: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
     """Baselines: those there are, and the current state of slides that have none; the first one written stays."""
     return existing.unionByName(current.join(existing.select(*keys).distinct(), keys, "left_anti"))

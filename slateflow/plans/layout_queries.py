@@ -27,11 +27,12 @@ def line_segments(spark, sf_dir):
     return layout.line_segments(lines(spark, sf_dir)).select("slide", "ord", "text", "x", "y", "width", "height")
 
 
-@query(f"WITH {BOXES} SELECT slide, ord, x + width AS right_x, y + height AS bottom, y + height / 2 AS center_y, greatest(5, least(50, x)) AS clamped, greatest(10, round(height / 1.5 / 96 * 72.0, 2)) AS font_size_pt FROM b")
+@query(f"WITH {BOXES} SELECT slide, ord, x + width AS right_x, y + height AS bottom, y + height / 2 AS center_y, greatest(5, least(50, x)) AS clamped, greatest(10, round(height / 1.5 / 96 * 72.0, 2)) AS font_size_pt, y / 180 AS top_ratio, greatest(width + 2, 70) AS placed_width FROM b")
 def box_edges(spark, sf_dir):
     b = boxes(spark, sf_dir)
     e = G.edges(*(F.col(c) for c in ("x", "y", "width", "height")))
-    return b.select("slide", "ord", e["right"].alias("right_x"), e["bottom"].alias("bottom"), e["center_y"].alias("center_y"), G.clamp(F.col("x"), 5.0, 50.0).alias("clamped"), G.fallback_font_size(F.col("height")).alias("font_size_pt"))
+    placed = G.placed_size(F.col("width"), F.col("height"), F.lit(2.0), F.lit(-1.0), F.lit(70.0), F.lit(9.0))
+    return b.select("slide", "ord", e["right"].alias("right_x"), e["bottom"].alias("bottom"), e["center_y"].alias("center_y"), G.clamp(F.col("x"), 5.0, 50.0).alias("clamped"), G.fallback_font_size(F.col("height")).alias("font_size_pt"), typography.top_ratio(F.col("y"), F.lit(180)).alias("top_ratio"), placed["width"].alias("placed_width"))
 
 
 _MOVED = f"{BOXES}, m AS (SELECT slide, ord, x - 20.5 AS x, y * 1.25 - 7.5 AS y, width * 2.5 AS width, height - 10 AS height FROM b)"

@@ -62,3 +62,24 @@ def ingest(uploads: DataFrame, keys: list[str], order: str, name: str = "name")
 
 def checked_mode(mode: Column) -> Column:
     return F.when(mode.isin(*MODES), mode).otherwise(F.raise_error(F.concat(F.lit("unsupported mode: "), mode)))
+
+
+def raster_path(path: Column) -> Column:
+    """The path, unless it is a PDF: operators on single images don't take those."""
+    return F.when(is_pdf(path), F.raise_error(F.concat(F.lit("no raster image: "), path))).otherwise(path)
+
+
+def one_slide(slides: DataFrame, number: int) -> DataFrame:
+    """The slide of a number; a missing one is an error."""
+    found = slides.where(F.col("slide_no") == number)
+    if found.isEmpty():
+        raise KeyError(f"no slide {number}")
+    return found
+
+
+def zip_slides(slides: DataFrame, specs: DataFrame, keys: list[str]) -> DataFrame:
+    """Slides with what was made of them; a slide without it, or the other way round, is an error."""
+    a, b = slides.withColumn("_a", F.lit(True)), specs.withColumn("_b", F.lit(True))
+    both = F.when(F.col("_a") & F.col("_b"), True).otherwise(F.raise_error(F.lit("slides don't match")).cast("boolean"))
+    rows = a.join(b, keys, "full").withColumn("_both", both)
+    return rows.where("_both").drop("_a", "_b", "_both")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from slateflow.operators import jobs, masks
 from slateflow.plans import deck as plan
 from slateflow.sources import artifacts, decks, pptx
+from slateflow.streaming import jobs as streams
 
 
 def test_documents_are_checked(spark):
@@ -109,7 +110,7 @@ def test_states_as_a_stream(spark, tmp_path):
     events = [(1, 1, "uploaded"), (1, 2, "completed"), (1, 3, "prepared"), (2, 1, "prepared"), (1, 4, "processing"), (2, 2, "uploaded")]
     spark.createDataFrame(events, "job int, ord int, state string").coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("job int, ord int, state string").parquet(f"{tmp_path}/in")
-    query = jobs.follow_states(stream, "job", "ord").writeStream.format("memory").queryName("states").outputMode("update").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query = streams.follow_states(stream, "job", "ord").writeStream.format("memory").queryName("states").outputMode("update").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted(map(tuple, spark.table("states").collect())) == [(1, "processing", 1), (2, "uploaded", 1)]
     assert len(new := jobs.new_job_ids(spark.range(3)).collect()) == 3 and all(len(n.job_id) == 12 for n in new)
@@ -144,3 +145,25 @@ def test_slides_to_decks(spark, tmp_path):
     items = pptx.text_inventory(files, ["deck"]).orderBy("slide_number", "shape_index").collect()
     assert [(i.slide_number, i.left, i.top, i.color_hex) for i in items] == [(1, 952500, 952500, "#143A5B"), (2, 190500, 190500, "#000000"), (2, 1905000, 1905000, "#143A5C")]
     assert b'cx="11430000" cy="7620000"' in zipfile.ZipFile(io.BytesIO(files.first().content)).read("ppt/presentation.xml")
+
+
+def test_uploads_as_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in ("a b.PDF", "c.png", "d.txt"):
+        (tmp_path / "in" / name).write_text("x")
+    query = streams.watch_uploads(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("uploads").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted((u.stored_name, u.kind, u.length) for u in spark.table("uploads").collect())[1:] == [("c.png", "image", 1), ("d.txt", "unknown", 1)]
+
+
+def test_slides_are_looked_up_and_zipped(spark):
+    slides = spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "deck int, slide_no int, name string")
+    assert decks.one_slide(slides, 2).first().name == "b"
+    with pytest.raises(KeyError):
+        decks.one_slide(slides, 3)
+    specs = slides.select("deck", "slide_no", F.upper("name").alias("spec"))
+    assert sorted(z.spec for z in decks.zip_slides(slides, specs, ["deck", "slide_no"]).collect()) == ["A", "B"]
+    with pytest.raises(Exception, match="don't match"):
+        decks.zip_slides(slides, specs.where("slide_no = 1"), ["deck", "slide_no"]).collect()
+    with pytest.raises(Exception, match="no raster image"):
+        spark.range(1).select(decks.raster_path(F.lit("x.pdf"))).collect()
