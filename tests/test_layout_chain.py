@@ -36,8 +36,8 @@ CASES = {
         ["복원된\nOCR로\n배치하여 최종\nPowerPoint"],
     ),
     "heading": (
-        [("RapidOCR + ONNX 엔진", 1141.6, 1190.4, 1591.0, 1252.1), ("이미지", 1162.4, 1264.5, 1567.4, 1315.2), ("환경에서", 1184.6, 1313.8, 1543.9, 1364.5), ("모델을", 1158.2, 1363.2, 1571.6, 1408.5), ("인식한다.", 1162.4, 1408.5, 1567.4, 1457.8)],
-        ["RapidOCR + ONNX 엔진", "이미지\n환경에서\n모델을\n인식한다."],
+        [("Engine + ONNX 엔진", 1141.6, 1190.4, 1591.0, 1252.1), ("이미지", 1162.4, 1264.5, 1567.4, 1315.2), ("환경에서", 1184.6, 1313.8, 1543.9, 1364.5), ("모델을", 1158.2, 1363.2, 1571.6, 1408.5), ("인식한다.", 1162.4, 1408.5, 1567.4, 1457.8)],
+        ["Engine + ONNX 엔진", "이미지\n환경에서\n모델을\n인식한다."],
     ),
     "left offset": ([("Platform Overview", 90, 90, 350, 130), ("Manual OCR Hint", 210, 138, 410, 178)], ["Platform Overview\nManual OCR Hint"]),
     "gap": ([("슬라이드 이미지 생성", 634.0, 1104.0, 1060.0, 1168.5), ("Gemini+템플릿 렌더링", 632.5, 1190.4, 1061.1, 1249.4)], ["슬라이드 이미지 생성", "Gemini+템플릿 렌더링"]),
