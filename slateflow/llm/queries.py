@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprint, html_text, lm_score, mixing, near_dedup, packing, pii, quality, url_filter
+from . import alignment, exact_dedup, fingerprint, html_text, line_dedup, lm_score, mixing, near_dedup, packing, pii, prefix_trie, quality, url_filter
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_main_text": html_text.op9_main_text,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op11_token_alignment": alignment.op11_token_alignment,
+    "op12_line_dedup": line_dedup.op12_line_dedup,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
-ORACLE_SQL = {**mixing.ORACLE, **exact_dedup.ORACLE, **url_filter.ORACLE, **lm_score.ORACLE}
+ORACLE_SQL = {**mixing.ORACLE, **exact_dedup.ORACLE, **url_filter.ORACLE, **lm_score.ORACLE, **line_dedup.ORACLE, **prefix_trie.ORACLE}
