@@ -236,8 +236,8 @@ WITH t AS (
   FROM conversations WHERE conv_id IS NOT NULL),
 sizes AS (SELECT c, count(*) AS n FROM t GROUP BY c),
 crc AS (
-  SELECT c, xor(list_reduce(list_transform(string_split(c::VARCHAR, ''), b -> ascii(b)::BIGINT), (s, b) ->
-           list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0], (v, z) -> xor(v >> 1, (v & 1) * 3988292384)), 4294967295), 4294967295) % 6 AS h
+  SELECT c, xor(list_reduce(list_transform(string_split(c::VARCHAR, ''), lambda b: ascii(b)::BIGINT), lambda s, b:
+           list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, (v & 1) * 3988292384)), 4294967295), 4294967295) % 6 AS h
   FROM sizes),
 plan AS (SELECT sizes.c, h, least(h, coalesce(b.n, 0)) AS k, sizes.c - sizes.c % 100 AS base FROM sizes JOIN crc USING (c) LEFT JOIN sizes AS b ON b.c = sizes.c - sizes.c % 100),
 turns AS (
@@ -248,7 +248,7 @@ prefix AS (
   UNION ALL SELECT c, [], 0, 0 FROM sizes),
 lengths AS (SELECT c, max(d) AS d FROM prefix GROUP BY c),
 nodes AS (
-  SELECT d, s, min(prefix.c) AS conv_id, count(*) AS n, min(w) AS w,
+  SELECT prefix.d, s, min(prefix.c) AS conv_id, count(*) AS n, min(w) AS w,
          sha256(coalesce(string_agg(prefix.c::VARCHAR, ',' ORDER BY prefix.c) FILTER (WHERE lengths.d = prefix.d), '')) AS e
   FROM prefix JOIN lengths USING (c) GROUP BY prefix.d, s),
 children AS (SELECT d - 1 AS d, s[1:d - 1] AS s, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1, 2),
