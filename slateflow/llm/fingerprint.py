@@ -175,9 +175,14 @@ def compare_with_edits(docs: DataFrame, width: int | None = None) -> DataFrame:
     def run(batches):
         last = None  # the last row whose successor hasn't come yet: doc_id, text
         waiting = None  # the last closed row, which lacks near_next: its columns and its signature
+        ended = False  # the first ghost closes the partition; others are copies of it or of its id
         for batch in batches:
+            if ended:
+                continue
             ids, ghosts, row = batch.column(2).to_pylist(), batch.column(1).to_pylist(), 0
             for texts in W.text_slices(batch.column(3)):
+                if ended:
+                    break
                 here = list(zip(ids[row : row + len(texts)], texts, ghosts[row : row + len(texts)]))
                 row += len(texts)
                 closed, own, changed = [], [], []
@@ -195,7 +200,7 @@ def compare_with_edits(docs: DataFrame, width: int | None = None) -> DataFrame:
                         closed.append((doc_id, len(text), None))
                         own.append(_dictionaries(text, "")[0])
                         changed.append(own[-1])
-                        last = None
+                        ended = True
                         break
                 if closed:
                     a, b = signatures(own), signatures(changed)

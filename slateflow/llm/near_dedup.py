@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import cut
+from .common import cut, text_of
 from .exact_dedup import resolve
 
 SHINGLE_WORDS = 5
@@ -55,7 +56,7 @@ def prefix_length(n: int, k: int = SKETCH, percent: int = PERCENT) -> int:
 
 
 def sketches(docs: DataFrame, n: int = SHINGLE_WORDS, k: int = SKETCH) -> DataFrame:
-    """doc_id, n_shingles, set_key, prefix, sketch (ascending) of each row."""
+    """doc_id, mark, n_shingles, set_key, prefix, sketch (ascending) of each row (doc_id, text, mark)."""
 
     def run(batches):
         for batch in batches:
@@ -67,10 +68,10 @@ def sketches(docs: DataFrame, n: int = SHINGLE_WORDS, k: int = SKETCH) -> DataFr
                     rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest(), prefix_length(len(s), k)))
                     sets.append(s[:k].copy())
                 size, key, prefix = zip(*rows)
-                ids = batch.column(0).slice(first, len(rows))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(key), pa.array(prefix, pa.int32()), W.list_column(sets, pa.int64())], ["doc_id", "n_shingles", "set_key", "prefix", "sketch"])
+                ids, marks = (batch.column(i).slice(first, len(rows)) for i in (0, 2))
+                yield pa.RecordBatch.from_arrays([ids, marks, pa.array(size, pa.int64()), pa.array(key), pa.array(prefix, pa.int32()), W.list_column(sets, pa.int64())], ["doc_id", "mark", "n_shingles", "set_key", "prefix", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key string, prefix int, sketch array<long>")
+    return docs.select("doc_id", "text", "mark").mapInArrow(run, "doc_id long, mark long, n_shingles long, set_key string, prefix int, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, n: int = SHINGLE_WORDS) -> DataFrame:
@@ -119,8 +120,8 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_links(reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """node, label over representatives (doc_id, prefix, sketch; materialised)."""
+def near_links(reps: DataFrame, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """node, label over representatives (doc_id: the node, prefix, sketch; materialised); ``texts_of`` gives the texts of some (doc_id, text)."""
     listed = reps.select("doc_id", F.explode("sketch").alias("value"))
     shared = cut(listed.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"))
     by_doc = listed.join(shared, "value").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("shared"))
@@ -133,8 +134,7 @@ def near_links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     members = cut(index.join(hubs, "value").select("hub", "doc_id").distinct())
     stars = members.where("doc_id <> hub").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
     wanted = members.select("doc_id").distinct()
-    # one row an id is left before the sets are made: the join's partitioning serves, and no set is shuffled
-    sets = cut(full_sets(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])))
+    sets = cut(full_sets(texts_of(wanted)))
     links = cut(linked(stars, sets))
     labels = components(links)
     named = cut(members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("hub", "doc_id", F.coalesce("label", "doc_id").alias("label")))
@@ -206,32 +206,70 @@ def _compare_blocks(rows: pa.Table) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in links], pa.int64()), pa.array([p[1] for p in links], pa.int64())], ["a", "b"])
 
 
+def _marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text, mark (a hash of the text): a row is named by its id and mark, as rows that share both are equal."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), F.xxhash64(text_of(text_col)).alias("mark"))
+
+
+def _rows_of(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, mark, ...) that ``names`` (doc_id, mark, node; each once) lists, with their nodes, equal rows once.
+
+    One key of both sides partitions the join, and its partitioning serves the removal of equal rows.
+    """
+    key = F.xxhash64("doc_id", "mark")
+    named = names.select(key.alias("key"), F.col("doc_id").alias("of"), F.col("mark").alias("with"), "node")
+    both = rows.withColumn("key", key).join(named, "key").where(F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("with")))
+    return both.drop("of", "with").dropDuplicates(["key", "node"])
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, mark, n_shingles, component_id, component (its name) of each row of ``docs`` (doc_id, text, mark).
+
+    A node is a distinct set, whichever ids its documents have. Its number is drawn once, for the materialised row that
+    stands for it.
+    """
+    # sketches are drawn twice and written once: the first pass keeps only what finds equal sets
+    drawn = cut(sketches(docs).select("doc_id", "mark", "n_shingles", "set_key"))
+    groups = cut(resolve(drawn.where("n_shingles > 0"), "set_key", keep="min").select("set_key", "doc_id", "mark", "n_shingles", F.col("keep_id").alias("least"), "kept"))
+    nodes = cut(groups.where("kept").select("set_key", "doc_id", "mark", "least", F.monotonically_increasing_id().alias("node")))
+    names = nodes.select("doc_id", "mark", "node")
+    reps = cut(_rows_of(sketches(docs).where(F.size("sketch") > 0).select("doc_id", "mark", "prefix", "sketch"), names).select(F.col("node").alias("doc_id"), "prefix", "sketch"))
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        return _rows_of(docs, names.join(wanted.withColumnRenamed("doc_id", "node"), "node", "left_semi")).select(F.col("node").alias("doc_id"), "text")
+
+    tied = cut(nodes.join(near_links(reps, texts_of), "node").select("set_key", "least", "label"))
+    smallest = tied.groupBy("label").agg(F.min("least").alias("component_id"))
+    found = tied.join(smallest, "label").select("set_key", "component_id", F.col("label").cast("string").alias("component"))
+    out = groups.join(found, "set_key", "left").select("doc_id", "mark", "n_shingles", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("component", "set_key").alias("component"))
+    alone = drawn.where("n_shingles = 0").select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("string").alias("component"))
+    return out.unionByName(alone)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``.
 
-    Null and word-less texts have no shingles and stand alone. Rows that repeat an id are the same node;
-    each is returned, with equal results for equal rows. A null id can't be linked by id: such a row
-    takes the component of its equal texts, or null. Equal sets of any number meet through one representative.
+    Null and word-less texts have no shingles and stand alone. Every row counts with its own text: rows that repeat an
+    id may be of different components, each named by the smallest id that any of its rows has, null where none has one.
+    ``kept`` says that a row has that id, so several may. Equal sets of any number meet through one representative.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    # sketches are drawn twice and written once: the first pass keeps only what finds equal sets
-    drawn = cut(sketches(docs).select("doc_id", "n_shingles", "set_key"))
-    some = drawn.where("n_shingles > 0")
-    groups = cut(resolve(some, "set_key", keep="min").select("doc_id", "n_shingles", F.col("keep_id").alias("rep"), "kept"))
-    first = groups.where("kept and doc_id is not null").select("doc_id")
-    reps = cut(sketches(docs).select("doc_id", "prefix", "sketch").where(F.size("sketch") > 0).join(first, "doc_id", "left_semi"))
-    labels = near_links(reps, docs)
-    named = groups.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    out = named.select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
-    alone = drawn.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return _grouped(_marked(docs, id_col, text_col)).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with the kept document of each component only; columns as they are, whatever their names. Rows that share a kept id stay."""
-    kept = cut(near_duplicates(docs).where("kept").select("doc_id").distinct())
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
-    return rows.join(kept, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi").select("row.*")
+    """``docs`` with one row of each component: that of the smallest id (null last), of several texts under it that of the smallest hash.
+
+    Columns stay as they are, whatever their names. Of rows that repeat an id and text, one stays; so of word-less ones.
+    """
+    rows = _grouped(_marked(docs))
+    name = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "mark")
+    first = rows.where("component is not null").groupBy("component").agg(F.min(name).alias("name")).select("name.doc_id", "name.mark")
+    kept = cut(first.unionByName(rows.where("component is null").select("doc_id", "mark").distinct()))
+    named = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of("text")).alias("mark"))
+    key = F.xxhash64("doc_id", "mark")
+    kept = kept.select(key.alias("key"), F.col("doc_id").alias("of"), F.col("mark").alias("with"))
+    both = named.withColumn("key", key).join(kept, "key").where(F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("with")))
+    return both.dropDuplicates(["key", "of", "with"]).select("row.*")
 
 
 def op5_near_dedup(spark, sf_dir: str) -> DataFrame:

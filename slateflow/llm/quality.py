@@ -5,8 +5,8 @@ and each of the overlapping chunks that cover the whole text keeps every filter'
 vector is the mean, the lowest and the highest of its chunks' maxima, and a hidden layer makes one
 probability of it. Repetition shows in low maxima, as few patterns occur in a repetitive chunk.
 
-It is fitted on a bounded sample of labelled rows (``SAMPLE``, by hash). A text of more than ``FIT_CHUNKS`` chunks is
-fitted on that many whole ones, spread evenly over it; scoring reads every chunk of every text.
+It is fitted on a bounded sample of labelled rows (``SAMPLE``, by hash), on the whole text of each; scoring reads every
+chunk of every text.
 """
 
 from __future__ import annotations
@@ -22,8 +22,10 @@ from . import words as W
 
 CHUNK, STEP = 320, 256
 WIDTH, STRIDE, FILTERS, EMBED, HIDDEN = 8, 2, 48, 8, 24
-#: Labelled rows fitted on at most, and chunks of each.
-SAMPLE, FIT_CHUNKS = 4000, 32
+#: Labelled rows fitted on at most.
+SAMPLE = 4000
+#: Chunks that pass the filters at a time.
+AT_ONCE = 256
 STEPS, BATCH, RATE = 450, 64, 0.004
 ACCEPT = 0.3
 HELD_OUT_OF = 5
@@ -39,12 +41,6 @@ def chunks_of(text: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(out, CHUNK)[::STEP]
 
 
-def fitted_chunks(text: np.ndarray) -> np.ndarray:
-    """The chunks of a text that the network is fitted on."""
-    c = chunks_of(text)
-    return c if len(c) <= FIT_CHUNKS else c[np.linspace(0, len(c) - 1, FIT_CHUNKS).astype(int)]
-
-
 class Network:
     """Parameters by name; ``tables`` are the filters applied to each byte at each place, for scoring."""
 
@@ -65,12 +61,16 @@ class Network:
         """(WIDTH, 257, FILTERS): what a byte at a place of the run adds to each filter."""
         return np.stack([self.p["embed"] @ self.p["filters"][j * EMBED : (j + 1) * EMBED] for j in range(WIDTH)]).astype(np.float32)
 
-    def chunk_maxima(self, chunks: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    def filtered(self, chunks: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """(chunks, places, FILTERS): what each filter gives at each place."""
         n = (CHUNK - WIDTH) // STRIDE + 1
         total = np.take(tables[0], chunks[:, : n * STRIDE : STRIDE], axis=0)
         for j in range(1, WIDTH):
             total += np.take(tables[j], chunks[:, j : j + n * STRIDE : STRIDE][:, :n], axis=0)
-        return np.tanh(total.max(axis=1) + self.p["filter_bias"])
+        return total
+
+    def chunk_maxima(self, chunks: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        return np.tanh(self.filtered(chunks, tables).max(axis=1) + self.p["filter_bias"])
 
     def head(self, maxima: np.ndarray) -> float:
         """A document's probability from its chunks' maxima."""
@@ -78,26 +78,27 @@ class Network:
         h = np.maximum(v @ self.p["hidden"] + self.p["hidden_bias"], 0)
         return float(1 / (1 + np.exp(-np.clip(h @ self.p["out"] + self.p["out_bias"][0], -30, 30))))
 
-    def score(self, texts: list[np.ndarray], tables: np.ndarray, at_once: int = 256) -> list[float]:
+    def score(self, texts: list[np.ndarray], tables: np.ndarray, at_once: int = AT_ONCE) -> list[float]:
         out = []
         for text in texts:
             chunks = chunks_of(text)
             out.append(self.head(np.concatenate([self.chunk_maxima(chunks[i : i + at_once], tables) for i in range(0, len(chunks), at_once)])))
         return out
 
-    def step(self, groups: list[np.ndarray], labels: np.ndarray, weights: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
-        """Gradients of the weighted log loss over documents given as groups of chunks."""
+    def step(self, texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
+        """Gradients of the weighted log loss over whole texts; places that aren't a chunk's maximum have none and aren't kept."""
         p = self.p
+        groups = [chunks_of(t) for t in texts]
         chunks = np.concatenate(groups)
         edges = np.cumsum([0, *map(len, groups)])
-        n = (CHUNK - WIDTH) // STRIDE + 1
         tables = self.tables()
-        total = np.take(tables[0], chunks[:, : n * STRIDE : STRIDE], axis=0)
-        for j in range(1, WIDTH):
-            total += np.take(tables[j], chunks[:, j : j + n * STRIDE : STRIDE][:, :n], axis=0)
-        where = total.argmax(axis=1)
-        maxima = np.tanh(np.take_along_axis(total, where[:, None, :], 1)[:, 0] + p["filter_bias"])
-        docs = len(groups)
+        where, maxima = [], []
+        for at in range(0, len(chunks), AT_ONCE):
+            total = self.filtered(chunks[at : at + AT_ONCE], tables)
+            where.append(total.argmax(axis=1))
+            maxima.append(np.take_along_axis(total, where[-1][:, None, :], 1)[:, 0])
+        where, maxima = np.concatenate(where), np.tanh(np.concatenate(maxima) + p["filter_bias"])
+        docs = len(texts)
         mean = np.add.reduceat(maxima, edges[:-1]) / np.diff(edges)[:, None]
         low_at = np.stack([a + maxima[a:b].argmin(0) for a, b in zip(edges, edges[1:])])
         high_at = np.stack([a + maxima[a:b].argmax(0) for a, b in zip(edges, edges[1:])])
@@ -131,11 +132,8 @@ class Network:
 
 
 def fit(texts: list[bytes], labels: list[int], seed: int = 7, steps: int = STEPS) -> Network:
-    return fit_chunks([fitted_chunks(np.frombuffer(t, np.uint8)) for t in texts], labels, seed, steps)
-
-
-def fit_chunks(groups: list[np.ndarray], labels: list[int], seed: int = 7, steps: int = STEPS) -> Network:
-    """A network fitted by Adam to texts given as chunks; without rows, or with one class alone, one that scores that class's share."""
+    """A network fitted by Adam to whole texts; without rows, or with one class alone, one that scores that class's share."""
+    raw = [np.frombuffer(t, np.uint8) for t in texts]
     net = Network(seed)
     y = np.array(labels, np.float32)
     share = float(y.mean()) if len(y) else 0.5
@@ -153,7 +151,7 @@ def fit_chunks(groups: list[np.ndarray], labels: list[int], seed: int = 7, steps
         order = rng.permutation(len(y))
         for at in range(0, min(len(y), (steps - t) * BATCH), BATCH):
             pick = order[at : at + BATCH]
-            g, _loss = net.step([groups[i] for i in pick], y[pick], weights[pick])
+            g, _loss = net.step([raw[i] for i in pick], y[pick], weights[pick])
             t += 1
             rate = RATE * (1 - t / (steps + 1))
             for k, v in g.items():
@@ -167,35 +165,20 @@ def remainder(doc_id) -> int:
     return zlib.crc32(str(doc_id).encode()) % HELD_OUT_OF
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int = SAMPLE) -> list[tuple[np.ndarray, int]]:
-    """Chunks and label of up to ``rows`` labelled texts that aren't held out, in an order set by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int = SAMPLE) -> list[tuple[bytes, int]]:
+    """Text (UTF-8) and label of up to ``rows`` labelled rows that aren't held out, in an order set by a hash of the id.
 
-    Of repeated labels of a document the lowest counts; each row of a document is a text of its own.
+    Of repeated labels of a document the lowest counts; each text of a repeated id is a row, and equal rows are one.
     """
     learn = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(HELD_OUT_OF)) != 0))
-    chosen = learn.groupBy("doc_id").agg(F.min(target).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    # at most ``rows`` rows of two numbers
-    found = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text"))
-
-    def run(batches):
-        for batch in batches:
-            raw, off = W.text_buffer(batch.column(2))
-            parts, tails = [], []
-            for i in range(batch.num_rows):
-                c = fitted_chunks(raw[off[i] : off[i + 1]])
-                # only the last chunk is padded
-                tails.append(int((c[-1] != PAD).sum()))
-                parts.append(np.where(c == PAD, 0, c).astype(np.uint8).tobytes())
-            if parts:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tails, pa.int32()), pa.array(parts, pa.binary())], ["doc_id", "y", "tail", "chunks"])
-
-    def unpacked(row) -> np.ndarray:
-        c = np.frombuffer(row.chunks, np.uint8).reshape(-1, CHUNK).astype(np.int16)
-        c[-1, row.tail :] = PAD
-        return c
-
-    rows_ = found.mapInArrow(run, "doc_id long, y int, tail int, chunks binary").collect()
-    return [(unpacked(r), int(r.y)) for r in sorted(rows_, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, bytes(r.chunks)))]
+    order = F.xxhash64("doc_id")
+    chosen = learn.groupBy("doc_id").agg(F.min(target).alias("y")).orderBy(order, "doc_id").limit(rows)
+    text = F.coalesce("text", F.lit(""))
+    texts = docs.select("doc_id", F.xxhash64(text).alias("mark"), text.cast("binary").alias("text"))
+    # both broadcasts are of at most ``rows`` rows of numbers; the second is what bounds the texts, as an id may be on any number of rows
+    picked = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "mark", "y").distinct().orderBy(order, "doc_id", "mark").limit(rows)
+    found = texts.join(F.broadcast(picked), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).collect()
+    return [(bytes(r.text), int(r.y)) for r in sorted(found, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.mark))]
 
 
 def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
@@ -218,7 +201,7 @@ def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_
 
 def train(docs: DataFrame, labels: DataFrame) -> Network:
     sample = labelled_sample(docs, labels)
-    return fit_chunks([c for c, _ in sample], [y for _, y in sample])
+    return fit([t for t, _ in sample], [y for _, y in sample])
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

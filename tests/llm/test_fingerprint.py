@@ -93,3 +93,18 @@ def test_fingerprints_of_odd_texts(spark):
     rows = [(1, None), (2, ""), (3, "abab" * 5000), (3, "abab" * 5000), (None, "x")]
     got = fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [(g.doc_id, g.n_chars, g.fingerprint) for g in got] == [(i, len(t or ""), as_hex(marks(t or ""))) for i, t in rows]
+
+
+def test_repeated_ids_with_long_texts_add_no_rows(spark):
+    """Copies of the row that opens a range follow the range before it, in slices and batches of their own."""
+    rows = [(i, f"{i}-{k} " + "lorem ipsum " * 58_000 if i % 10 == 0 and k else f"text {i} {k}") for i in range(40) for k in range(4 if i % 10 == 0 else 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for batch in ("1", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            got = fingerprint.compare_with_edits(docs, 4).select("doc_id", "n_chars", "edited_sha256").collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        ordered = sorted(rows, key=lambda x: x, reverse=True)
+        want = [(i, len(t), hashlib.sha256((t[: len(t) - len(t) // 3] + f[: len(t) // 3]).encode()).hexdigest()) for (i, t), (_, f) in zip(ordered, [*ordered[1:], *ordered[:1]])]
+        assert sorted(map(tuple, got)) == sorted(want)

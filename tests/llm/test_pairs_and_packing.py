@@ -75,6 +75,19 @@ def test_near_dedup_edges(spark):
     assert {r.doc_id for r in near_dedup.keep_one_of_each(odd).collect()} == {1, 2}
 
 
+def test_one_id_with_several_texts(spark):
+    """Each text counts under its id, in any order of rows."""
+    r = random.Random(4)
+    a = " ".join(f"w{i}" for i in range(60))
+    b, c = a + " end", " ".join(f"u{r.random()}" for _ in range(50))
+    rows = [(1, a), (2, b), (2, c), (None, b + " more"), (None, "quite another text of six"), (4, c + " x"), (4, c + " x"), (4, "")]
+    want = Counter([(1, 1), (2, 1), (2, 2), (None, 1), (None, None), (4, 2), (4, 2), (4, 4)])
+    for order in (rows, rows[::-1], sorted(rows, key=lambda x: x[1])):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        assert Counter((x.doc_id, x.component_id) for x in near_dedup.near_duplicates(docs).collect()) == want
+        assert Counter(map(tuple, near_dedup.keep_one_of_each(docs).collect())) == Counter([(1, a), (2, c), (None, "quite another text of six"), (4, "")])
+
+
 def test_prefix_is_exact_for_small_sets():
     assert near_dedup.prefix_length(4) == 2 and near_dedup.prefix_length(90) == 23
     assert all(1 <= near_dedup.prefix_length(n) <= min(n, near_dedup.SKETCH) for n in range(1, 2000))

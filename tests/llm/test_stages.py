@@ -56,13 +56,27 @@ def test_exact_dedup_keeps_the_last_row_of_each_text(spark, seed):
     assert exact_dedup.drop_copies(docs.limit(0)).count() == 0
 
 
-def test_near_dedup_keeps_columns(spark):
-    rows = awkward(random.Random(1))
+def test_near_dedup_keeps_one_row_of_each_component(spark):
+    rows = awkward(random.Random(1)) + [(50, "a b c d e f g h i j k l m n o p", "en", "s", 7), (3, "a b c d e f g h i j k l m n o p q", "en", "s", 7)]
     docs = with_clashes(spark, rows)
     out = near_dedup.keep_one_of_each(docs)
     assert out.columns == docs.columns
-    kept = {x.doc_id for x in near_dedup.near_duplicates(docs).where("kept").collect()}
-    assert taken_out(out.collect()) == taken_out([x for x in rows if x[0] in kept])
+    names = sorted({(x[0] is None, x[0] or 0, x[1] or "") for x in rows})
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := words(lower(t))) else set() for *_, t in names]
+    of = list(range(len(names)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                of = [min(of[i], of[j]) if x in (of[i], of[j]) else x for x in of]
+    left = Counter((x.doc_id is None, x.doc_id or 0, x.text or "") for x in out.collect())
+    assert set(left.values()) == {1}
+    by = defaultdict(list)
+    for name, c in zip(names, of):
+        by[c].append(name)
+    for members in by.values():
+        (winner,) = [m for m in members if m in left]
+        assert winner[:2] == members[0][:2]
+    assert len(by) == len(left) < len(names)
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -106,18 +120,69 @@ def test_classifier_stage_is_the_score(spark):
     assert quality.keep_good(docs.limit(0), labels).count() == 0
 
 
-def convolved(net, data):
-    """The network's score of one text, filter by filter and position by position."""
-    return net.score([np.frombuffer(data, np.uint8)], net.tables())[0]
+def convolved(p, data):
+    """A text's score from the parameters ``p``, written out: byte by byte, place by place, filter by filter."""
+    n = max(1, math.ceil(max(len(data) - 64, 1) / 256))
+    padded = list(data) + [256] * (256 * (n - 1) + 320 - len(data))
+    maxima = []
+    for c in range(n):
+        chunk = padded[256 * c : 256 * c + 320]
+        best = [-math.inf] * 48
+        for at in range(0, 320 - 8 + 1, 2):
+            seen = np.concatenate([p["embed"][byte] for byte in chunk[at : at + 8]])
+            for f in range(48):
+                best[f] = max(best[f], float(seen @ p["filters"][:, f]))
+        maxima.append([math.tanh(b + float(p["filter_bias"][f])) for f, b in enumerate(best)])
+    columns = list(zip(*maxima))
+    v = [*(sum(c) / n for c in columns), *map(min, columns), *map(max, columns)]
+    h = [max(0.0, sum(v[i] * float(p["hidden"][i, j]) for i in range(len(v))) + float(p["hidden_bias"][j])) for j in range(24)]
+    z = sum(x * float(w) for x, w in zip(h, p["out"])) + float(p["out_bias"][0])
+    return 1 / (1 + math.exp(-z))
 
 
-def test_scores_do_not_depend_on_company(spark):
-    """A text scores alone what it scores among others, in any batch."""
+def test_scores_equal_a_written_out_convolution(spark):
+    """Of any length, alone or in company, from a network that is fitted and through Spark."""
     r = np.random.default_rng(1)
-    texts = [bytes(r.integers(32, 127, n, dtype=np.uint8)) for n in (0, 1, 63, 320, 321, 5000)]
+    texts = [bytes(r.integers(32, 127, n, dtype=np.uint8)) for n in (0, 1, 63, 320, 321, 2000)]
     net = quality.fit([b"good words here " * 9, b"$$$$ ####" * 20] * 10, [1, 0] * 10, steps=30)
-    together = net.score([np.frombuffer(t, np.uint8) for t in texts], net.tables())
-    assert np.allclose(together, [convolved(net, t) for t in texts], atol=1e-6)
+    want = [convolved(net.p, t) for t in texts]
+    assert len({round(w, 3) for w in want}) > 2
+    assert np.allclose(net.score([np.frombuffer(t, np.uint8) for t in texts], net.tables(), at_once=2), want, atol=1e-5)
+    docs = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert np.allclose([x.score for x in sorted(quality.score_documents(docs, net).collect())], want, atol=1e-5)
+
+
+def test_gradients_equal_differences():
+    """What a step says of each parameter is what moving that parameter does to the loss."""
+    r = np.random.default_rng(3)
+    texts = [r.integers(97, 123, n, dtype=np.uint8) for n in (0, 30, 400, 1500)]
+    y, w = np.array([1, 0, 1, 0], np.float32), np.array([0.5, 1, 1, 2], np.float32)
+    net = quality.Network(2)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    tables = net.tables
+    net.tables = lambda: np.stack([net.p["embed"] @ net.p["filters"][j * 8 : (j + 1) * 8] for j in range(8)])
+    g, _ = net.step(texts, y, w)
+    for name, value in net.p.items():
+        for at in [tuple(r.integers(0, n) for n in value.shape) for _ in range(6)] + ([(100, 3), (256, 1)] if name == "embed" else []):
+            before, losses = value[at], []
+            for d in (1e-5, -1e-5):
+                value[at] = before + d
+                losses.append(net.step(texts, y, w)[1])
+            value[at] = before
+            assert abs((losses[0] - losses[1]) / 2e-5 - float(np.asarray(g[name])[at])) < 1e-4, (name, at)
+    assert tables is not net.tables
+
+
+def test_the_sample_is_bounded_by_rows(spark):
+    """However many rows an id is on; whole texts are taken."""
+    long = "word " * 30_000
+    docs = spark.createDataFrame([(i % 2 + 1, f"text {i}") for i in range(1000)] + [(3, long), (3, long), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 6)] + [(3, 0, 0)], "doc_id long, quality int, toxic int")
+    assert len(quality.labelled_sample(docs, labels, rows=2)) == 2
+    every = quality.labelled_sample(docs, labels)
+    learned = [i for i in (1, 2, 3, 4) if zlib.crc32(str(i).encode()) % 5]
+    assert len(every) == sum({1: 500, 2: 500, 3: 1, 4: 1}[i] for i in learned)
+    assert (long.encode(), 0) in every or 3 not in learned
 
 
 def test_pipeline_equals_plain_python(spark, tmp_path):
