@@ -206,20 +206,27 @@ def _compare_blocks(rows: pa.Table) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in links], pa.int64()), pa.array([p[1] for p in links], pa.int64())], ["a", "b"])
 
 
+#: What names a row: rows that share all three have equal ids and texts.
+NAME = ["known", "id", "mark"]
+
+
+def _named(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    id_ = F.col(id_col).cast("long")
+    return [id_.isNotNull().alias("known"), F.coalesce(id_, F.lit(0)).alias("id"), F.xxhash64(text_of(text_col)).alias("mark")]
+
+
 def _marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, mark (a hash of the text): a row is named by its id and mark, as rows that share both are equal."""
+    """doc_id, text, mark (a hash of the text)."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), F.xxhash64(text_of(text_col)).alias("mark"))
 
 
 def _rows_of(rows: DataFrame, names: DataFrame) -> DataFrame:
     """``rows`` (doc_id, mark, ...) that ``names`` (doc_id, mark, node; each once) lists, with their nodes, equal rows once.
 
-    One key of both sides partitions the join, and its partitioning serves the removal of equal rows.
+    The join's partitioning serves the removal of equal rows.
     """
-    key = F.xxhash64("doc_id", "mark")
-    named = names.select(key.alias("key"), F.col("doc_id").alias("of"), F.col("mark").alias("with"), "node")
-    both = rows.withColumn("key", key).join(named, "key").where(F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("with")))
-    return both.drop("of", "with").dropDuplicates(["key", "node"])
+    named = lambda df: df.withColumns({"known": F.col("doc_id").isNotNull(), "id": F.coalesce("doc_id", F.lit(0))}).drop("doc_id")
+    return named(rows).join(named(names), NAME).dropDuplicates(NAME)
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
@@ -265,11 +272,8 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     name = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "mark")
     first = rows.where("component is not null").groupBy("component").agg(F.min(name).alias("name")).select("name.doc_id", "name.mark")
     kept = cut(first.unionByName(rows.where("component is null").select("doc_id", "mark").distinct()))
-    named = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of("text")).alias("mark"))
-    key = F.xxhash64("doc_id", "mark")
-    kept = kept.select(key.alias("key"), F.col("doc_id").alias("of"), F.col("mark").alias("with"))
-    both = named.withColumn("key", key).join(kept, "key").where(F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("with")))
-    return both.dropDuplicates(["key", "of", "with"]).select("row.*")
+    kept = kept.select(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), "mark")
+    return docs.select(F.struct("*").alias("row"), *_named()).join(kept, NAME).dropDuplicates(NAME).select("row.*")
 
 
 def op5_near_dedup(spark, sf_dir: str) -> DataFrame:
