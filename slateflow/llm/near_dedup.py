@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import cut, text_of
+from .common import cut, stored, text_of
 from .exact_dedup import resolve
 
 SHINGLE_WORDS = 5
@@ -123,22 +123,22 @@ def components(links: DataFrame) -> DataFrame:
 def near_links(reps: DataFrame, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """node, label over representatives (doc_id: the node, prefix, sketch; materialised); ``texts_of`` gives the texts of some (doc_id, text)."""
     listed = reps.select("doc_id", F.explode("sketch").alias("value"))
-    shared = cut(listed.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"))
+    shared = stored(listed.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"))
     by_doc = listed.join(shared, "value").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("shared"))
     # values that nobody else retains fill the prefix first
     keys = reps.select("doc_id", "prefix", F.size("sketch").alias("m")).join(by_doc, "doc_id")
     keys = keys.withColumn("take", F.col("prefix") - (F.col("m") - F.size("shared"))).where("take > 0")
-    index = cut(keys.select("doc_id", F.explode(F.slice("shared", 1, F.col("take"))).alias("s")).select("doc_id", "s.value"))
+    index = stored(keys.select("doc_id", F.explode(F.slice("shared", 1, F.col("take"))).alias("s")).select("doc_id", "s.value"))
     rank = F.struct(F.xxhash64("doc_id", F.pmod("value", F.lit(HUBS))).alias("h"), "doc_id")
-    hubs = cut(index.groupBy("value").agg(F.min(rank).alias("hub"), F.count("*").alias("n")).where("n > 1").select("value", F.col("hub.doc_id").alias("hub")))
-    members = cut(index.join(hubs, "value").select("hub", "doc_id").distinct())
+    hubs = stored(index.groupBy("value").agg(F.min(rank).alias("hub"), F.count("*").alias("n")).where("n > 1").select("value", F.col("hub.doc_id").alias("hub")))
+    members = stored(index.join(hubs, "value").select("hub", "doc_id").distinct())
     stars = members.where("doc_id <> hub").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
     wanted = members.select("doc_id").distinct()
-    sets = cut(full_sets(texts_of(wanted)))
+    sets = stored(full_sets(texts_of(wanted)))
     links = cut(linked(stars, sets))
     labels = components(links)
-    named = cut(members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("hub", "doc_id", F.coalesce("label", "doc_id").alias("label")))
-    open_ = cut(named.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("hub", "n"))
+    named = stored(members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("hub", "doc_id", F.coalesce("label", "doc_id").alias("label")))
+    open_ = stored(named.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("hub", "n"))
     more = links_between(cut(named.join(open_, "hub")), sets)
     return components(cut(links.unionByName(more)))
 
@@ -236,16 +236,16 @@ def _grouped(docs: DataFrame) -> DataFrame:
     stands for it.
     """
     # sketches are drawn twice and written once: the first pass keeps only what finds equal sets
-    drawn = cut(sketches(docs).select("doc_id", "mark", "n_shingles", "set_key"))
-    groups = cut(resolve(drawn.where("n_shingles > 0"), "set_key", keep="min").select("set_key", "doc_id", "mark", "n_shingles", F.col("keep_id").alias("least"), "kept"))
-    nodes = cut(groups.where("kept").select("set_key", "doc_id", "mark", "least", F.monotonically_increasing_id().alias("node")))
+    drawn = stored(sketches(docs).select("doc_id", "mark", "n_shingles", "set_key"))
+    groups = stored(resolve(drawn.where("n_shingles > 0"), "set_key", keep="min").select("set_key", "doc_id", "mark", "n_shingles", F.col("keep_id").alias("least"), "kept"))
+    nodes = stored(groups.where("kept").select("set_key", "doc_id", "mark", "least", F.monotonically_increasing_id().alias("node")))
     names = nodes.select("doc_id", "mark", "node")
-    reps = cut(_rows_of(sketches(docs).where(F.size("sketch") > 0).select("doc_id", "mark", "prefix", "sketch"), names).select(F.col("node").alias("doc_id"), "prefix", "sketch"))
+    reps = stored(_rows_of(sketches(docs).where(F.size("sketch") > 0).select("doc_id", "mark", "prefix", "sketch"), names).select(F.col("node").alias("doc_id"), "prefix", "sketch"))
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         return _rows_of(docs, names.join(wanted.withColumnRenamed("doc_id", "node"), "node", "left_semi")).select(F.col("node").alias("doc_id"), "text")
 
-    tied = cut(nodes.join(near_links(reps, texts_of), "node").select("set_key", "least", "label"))
+    tied = stored(nodes.join(near_links(reps, texts_of), "node").select("set_key", "least", "label"))
     smallest = tied.groupBy("label").agg(F.min("least").alias("component_id"))
     found = tied.join(smallest, "label").select("set_key", "component_id", F.col("label").cast("string").alias("component"))
     out = groups.join(found, "set_key", "left").select("doc_id", "mark", "n_shingles", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("component", "set_key").alias("component"))
