@@ -88,6 +88,21 @@ def rebuild_lines(compared: DataFrame, baseline: DataFrame, recognised: DataFram
     return final, known.where("change <> 'new'").select(*line).unionByName(own)
 
 
+def tagged_lines(compared: DataFrame, baseline: DataFrame, recognised: DataFrame, keys: list[str]) -> DataFrame:
+    """What ``rebuild_lines`` gives, in one pass over the compared boxes: ``compared``'s columns with kind (kept, read or removed), text and bbox of each line."""
+    base = baseline.select(*keys, F.col("box_id").alias("base"), F.struct("text", "bbox").alias("_was"))
+    reads = recognised.groupBy(*keys, "box_id").agg(F.collect_list(F.struct("text", "bbox")).alias("_reads"))
+    rows = compared.join(base, [*keys, "base"], "left").join(reads, [*keys, "box_id"], "left")
+    line = lambda kind, text, bbox: F.struct(F.lit(kind).alias("kind"), text.alias("text"), bbox.alias("bbox"))
+    was = lambda kind: line(kind, F.col("_was.text"), F.col("_was.bbox"))
+    sides = [F.col(c) for c in ("x", "y", "width", "height")]
+    touching = F.filter("_reads", lambda r: (strip(r["text"]) != "") & F.coalesce(meets(bounds(r["bbox"]), *sides), F.lit(False)))
+    kept, new = F.col("change") == "kept", F.col("change") == "new"
+    anew = F.concat(F.transform(F.coalesce(touching, F.array().cast(rows.schema["_reads"].dataType)), lambda r: line("read", r["text"], r["bbox"])), F.array(line("removed", F.lit(""), corners(*sides))))
+    found = F.when(kept, F.array(was("kept"), was("removed"))).when(new, anew).otherwise(F.concat(anew, F.array(was("removed"))))
+    return rows.withColumn("_line", F.explode(found)).select(*compared.columns, "_line.*")
+
+
 def lines_in_reading_order(lines: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Add line_no: by the top, then the left of their polygons, ties as they came."""
     rows = lines.withColumn("_b", bounds(F.col("bbox")))

@@ -9,7 +9,7 @@ from ..functions import geometry as G
 from ..functions import text as T
 from ..operators import color, correction, layout, masks, raster, review, typography
 from ..sources import decks, fonts, pptx
-from . import deck
+from . import deck, rebuild
 from .catalogue import BOXES, boxes, query, read, rgb, _RGB
 
 #: Lines of slides: boxes with a text, some of it blank, and a polygon, some of them empty.
@@ -331,6 +331,51 @@ def rebuilt_lines(spark, sf_dir):
     return rows.select("slide", "box_id", "kind", T.strip(F.col("text")).alias("text"), F.col("b.x").alias("left"), F.col("b.y").alias("top"))
 
 
+_REBUILT = f"""{_BASE}, s AS (SELECT DISTINCT slide FROM b),
+d AS (SELECT slide, n, 'reviewed' AS status, CASE WHEN ord % 4 = 0 THEN 'new-' || box_id ELSE box_id END AS box_id, CASE WHEN ord % 8 = 0 THEN box_id END AS source_box_id,
+    CASE WHEN ord % 10 = 0 THEN 'figure' ELSE 'text' END AS category, greatest(0, least(640 - w, x + ord % 3)) AS x, greatest(0, least(180 - h, y)) AS y, w AS width, h AS height
+  FROM (SELECT *, greatest(1, least(640, width * (ord % 6))) AS w, greatest(1, least(180, height)) AS h FROM e WHERE slide % 4 <> 3)
+  UNION ALL SELECT slide, n, 'ready', box_id, box_id, 'text', greatest(0, least(640 - w, x)), greatest(0, least(180 - h, y)), w, h
+  FROM (SELECT *, greatest(1, least(640, width)) AS w, greatest(1, least(180, height)) AS h FROM e WHERE slide % 4 = 3)),
+v AS (SELECT d.*, q.x AS qx, q.y AS qy, q.width AS qw, q.height AS qh, trim(q.text) AS qtext,
+  CASE WHEN q.box_id IS NULL THEN 'new' WHEN abs(d.x - q.x) <= 1 AND abs(d.y - q.y) <= 1 AND abs(d.width - q.width) <= 1 AND abs(d.height - q.height) <= 1 THEN 'kept' ELSE 'moved' END AS change
+  FROM d LEFT JOIN e q ON q.slide = d.slide AND q.box_id = coalesce(d.source_box_id, d.box_id) WHERE d.category = 'text'),
+g AS (SELECT slide, n, x - 20 + (n - 1) % 5 * 10 AS nx, y - 20 AS ny, 'again ' || (n - 1) % 4 AS text, x, y, width, height FROM v WHERE change <> 'kept'),
+l AS (SELECT slide, n, qtext AS text, qy AS top, qx AS "left" FROM v WHERE change = 'kept'
+  UNION ALL SELECT slide, n, text, ny, nx FROM g WHERE nx + 30 >= x AND nx <= x + width AND ny + 25 >= y AND ny <= y + height),
+r AS (SELECT slide, qx AS x, qy AS y, qw AS width, qh AS height FROM v WHERE change <> 'new' UNION ALL SELECT slide, x, y, width, height FROM v WHERE change <> 'kept'),
+m AS (SELECT slide, {_RECT.format(p=2)} FROM r),
+f AS (SELECT slide, {_PIXELS.format(p=0)} FROM d WHERE category = 'figure')"""
+
+
+@query(
+    f"""WITH {_REBUILT}, le AS (SELECT slide, count(*) AS n, string_agg(text, '|' ORDER BY top, "left", n) AS text FROM l GROUP BY slide), re AS (SELECT slide, count(*) AS n FROM r GROUP BY slide),
+ma AS (SELECT slide, count(*) AS n, sum((r - l + 1) * (b - t + 1)) AS area FROM m WHERE l <= r AND t <= b GROUP BY slide), fi AS (SELECT slide, count(*) AS n FROM f WHERE r0 > l0 AND b0 > t0 GROUP BY slide),
+de AS (SELECT slide, count(*) AS n FROM d WHERE category = 'figure' GROUP BY slide)
+SELECT slide, CASE WHEN slide % 4 <> 3 AND (slide % 2 = 0 OR slide IN (SELECT slide FROM e)) THEN 'reviewed' ELSE 'ready' END AS status,
+  CAST(coalesce(le.n, 0) AS INT) AS n_lines, coalesce(le.text, '') AS text, CAST(coalesce(re.n, 0) AS INT) AS n_removed,
+  CAST(coalesce(ma.n, 0) AS INT) AS n_rectangles, CAST(coalesce(ma.area, 0) AS BIGINT) AS masked, CAST(coalesce(fi.n, 0) AS INT) AS n_crops, CAST(1 + coalesce(de.n, 0) AS INT) AS n_detections
+FROM s LEFT JOIN le USING (slide) LEFT JOIN re USING (slide) LEFT JOIN ma USING (slide) LEFT JOIN fi USING (slide) LEFT JOIN de USING (slide)"""
+)
+def rebuilt_slides(spark, sf_dir):
+    """Slides after edit documents: some were emptied in a first revision, most were edited in a second, the others are as they were."""
+    keys = ["slide"]
+    found = lines(spark, sf_dir)
+    slides = sized(boxes(spark, sf_dir).select("slide").distinct())
+
+    def read(wanted: DataFrame) -> DataFrame:
+        place = [F.col("x") + F.col("ord") % 5 * 10, F.col("y"), F.lit(30.0), F.lit(25.0)]
+        return wanted.select("slide", "box_id", F.concat(F.lit("again "), (F.col("ord") % 4).cast("string")).alias("text"), G.corners(*place).alias("bbox"))
+
+    rows = rebuild.slide_rows(slides, found, keys, ["ord", "tie"])
+    final = edited(review.editor_boxes(found, keys, ["ord", "tie"]).where("slide % 4 <> 3"))
+    final = rebuild.edit_documents(final.withColumn("tie", F.regexp_extract("box_id", r"(\d+)$", 1).cast("int")), keys, ["tie"], F.lit(2))
+    emptied = slides.where("slide % 4 in (0, 2)").select("slide", F.lit(1).cast("long").alias("revision"), F.array().cast(final.schema["boxes"].dataType).alias("boxes"))
+    states = rebuild.apply_edits(rebuild.recompute(rows, keys, read), final.unionByName(emptied), keys, read, rows)
+    area = F.aggregate("text_mask", F.lit(0).cast("long"), lambda a, r: a + (r["right"] - r["left"] + 1).cast("long") * (r["bottom"] - r["top"] + 1))
+    return states.select("slide", "status", F.size("lines").alias("n_lines"), rebuild.joined_text(F.col("lines")).alias("text"), F.size("removed").alias("n_removed"), F.size("text_mask").alias("n_rectangles"), area.alias("masked"), F.size("crops").alias("n_crops"), F.size("detections").alias("n_detections"))
+
+
 @query(
     f"""WITH {_BASE}, {_EDITED}, f AS (SELECT *, row_number() OVER (PARTITION BY slide ORDER BY y, x, ord, width) AS n, {_PIXELS.format(p=0)} FROM d WHERE category = 'figure')
 SELECT slide, CAST(n AS INT) AS number, lpad(CAST(n AS VARCHAR), 3, '0') || '-' || trim(regexp_replace(box_id, '[^A-Za-z0-9._-]+', '-', 'g'), '.-') || '.png' AS file, l0 AS "left", t0 AS top, r0 AS "right", b0 AS bottom FROM f WHERE r0 > l0 AND b0 > t0"""
