@@ -66,6 +66,7 @@ def match_normalize_tokens(spark, sf_dir):
 
 @query("SELECT min(doc_id) AS doc_id, md5(replace(lower(text), 'ß', 'ss')) AS key_md5 FROM documents WHERE text IS NOT NULL GROUP BY replace(lower(text), 'ß', 'ss')")
 def stable_dedupe_casefold(spark, sf_dir):
+    """The first document of each folded text; null texts have no key and go."""
     rows = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.md5(F.replace(F.lower("text"), F.lit("ß"), F.lit("ss"))).alias("key_md5"))
     # the first of each key is a minimum, which is combined before the shuffle
     return rows.groupBy("key_md5").agg(F.min("doc_id").alias("doc_id"))
@@ -258,15 +259,14 @@ def baseline_change(spark, sf_dir):
 
 
 @query(
-    """WITH a AS (SELECT p_partkey AS patch, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part WHERE p_partkey % 2 = 0),
-b AS (SELECT p_partkey AS shape, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part WHERE p_partkey % 3 = 0)
-SELECT p_brand, CAST(k AS INT) AS k, patch, shape FROM a JOIN b USING (p_brand, k)"""
+    """WITH a AS (SELECT c_custkey AS patch, c_nationkey AS nation, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer),
+b AS (SELECT s_suppkey AS shape, s_nationkey AS nation, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM supplier)
+SELECT nation, CAST(k AS INT) AS k, patch, shape FROM a JOIN b USING (nation, k)"""
 )
 def patch_kth_match(spark, sf_dir):
-    part = read(spark, sf_dir, "part")
-    patches = part.where("p_partkey % 2 = 0").select("p_brand", F.col("p_partkey").alias("patch"))
-    shapes = part.where("p_partkey % 3 = 0").select("p_brand", F.col("p_partkey").alias("shape"))
-    return matching.kth_match(patches, shapes, ["p_brand"], "patch", "shape")
+    patches = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("patch"))
+    shapes = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("shape"))
+    return matching.kth_match(patches, shapes, ["nation"], "patch", "shape")
 
 
 _RGB = "SELECT vec_id, label, floor(abs(embedding[1]::DOUBLE) * 1000) % 256 AS r, floor(abs(embedding[2]::DOUBLE) * 1000) % 256 AS g, floor(abs(embedding[3]::DOUBLE) * 1000) % 256 AS b FROM embeddings"
