@@ -93,26 +93,23 @@ def digit_lists(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.array_join(T.digit_list(F.col("text")), ";").alias("digits"))
 
 
-def _scored(spark, sf_dir) -> DataFrame:
-    """Turns (a slide's rows) with the expected texts of their slide: the items of its residue class. Tokens are made once a text."""
-    key = T.match_key(F.col("text"))
-    turns = read(spark, sf_dir, "conversations").select((F.col("conv_id") % 20).alias("deck"), "conv_id", "turn", key.alias("said")).withColumn("a", T.tokens(F.col("said")))
-    wanted = read(spark, sf_dir, "benchmark").select((F.col("item_id") % 20).alias("deck"), "item_id", key.alias("expected")).withColumn("b", T.tokens(F.col("expected")))
-    score = T.overlap(F.col("a"), F.col("b")) + T.containment(F.col("said"), F.col("expected"))
-    return turns.join(wanted, "deck").select("conv_id", "turn", "item_id", score.alias("score"))
-
-
-_SQL_SCORED = f"""c AS (SELECT conv_id % 20 AS deck, conv_id, turn, {sql_key('text')} AS said FROM conversations),
-w AS (SELECT item_id % 20 AS deck, item_id, {sql_key('text')} AS expected FROM benchmark),
-k AS (SELECT conv_id, turn, item_id, said, expected, list_distinct(list_filter(string_split(said, ' '), lambda t: t <> '')) AS a,
-       list_distinct(list_filter(string_split(expected, ' '), lambda t: t <> '')) AS b FROM c JOIN w USING (deck)),
+def _matches(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Every turn, and its matches among all expected texts (items): conv_id, turn, item_id, score above 0; null texts are empty."""
+    key = T.match_key(F.col("text")).alias("key")
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", key)
+    return turns, matching.token_matches(turns, read(spark, sf_dir, "benchmark").select("item_id", key), ["conv_id", "turn"], ["item_id"])
+
+
+_SQL_SCORED = f"""c AS (SELECT conv_id, turn, coalesce({sql_key('text')}, '') AS said FROM conversations), w AS (SELECT item_id, coalesce({sql_key('text')}, '') AS expected FROM benchmark),
+k AS (SELECT conv_id, turn, item_id, said, expected, list_distinct(list_filter(string_split(said, ' '), lambda t: t <> '')) AS a, list_distinct(list_filter(string_split(expected, ' '), lambda t: t <> '')) AS b FROM c, w),
 s AS (SELECT conv_id, turn, item_id, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a, b))::DOUBLE / greatest(len(a), len(b)) END
-       + CASE WHEN said <> '' AND expected <> '' AND (contains(said, expected) OR contains(expected, said)) THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END AS score FROM k)"""
+  + CASE WHEN said <> '' AND expected <> '' AND (contains(said, expected) OR contains(expected, said)) THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END AS score FROM k)"""
 
 
-@query(f"WITH {_SQL_SCORED} SELECT conv_id, turn, item_id, round(score, 9) AS score FROM s")
+@query(f"WITH {_SQL_SCORED} SELECT conv_id, turn, item_id, round(score, 9) AS score FROM s WHERE score > 0")
 def token_overlap_join(spark, sf_dir):
-    return _scored(spark, sf_dir).withColumn("score", F.round("score", 9))
+    """Every turn with every item that it matches at all."""
+    return _matches(spark, sf_dir)[1].withColumn("score", F.round("score", 9))
 
 
 def _all_pairs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -125,10 +122,7 @@ def _all_pairs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 
 @query(
-    f"""WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce({sql_key('text')}, '') AS said FROM conversations), w AS (SELECT item_id, coalesce({sql_key('text')}, '') AS expected FROM benchmark),
-k AS (SELECT conv_id, turn, item_id, said, expected, list_distinct(list_filter(string_split(said, ' '), lambda t: t <> '')) AS a, list_distinct(list_filter(string_split(expected, ' '), lambda t: t <> '')) AS b FROM c, w),
-s AS (SELECT conv_id, turn, item_id, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a, b))::DOUBLE / greatest(len(a), len(b)) END
-  + CASE WHEN said <> '' AND expected <> '' AND (contains(said, expected) OR contains(expected, said)) THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END AS score FROM k),
+    f"""WITH RECURSIVE {_SQL_SCORED},
 o AS (SELECT conv_id, turn, list({{loss: -score, item: item_id}} ORDER BY -score, item_id) FILTER (score > 0) AS l, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM s GROUP BY conv_id, turn),
 r(conv_id, n, turn, best, used) AS (
   SELECT conv_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS STRUCT(loss DOUBLE, item BIGINT)), CAST([] AS BIGINT[]) FROM o GROUP BY conv_id
@@ -138,9 +132,7 @@ r(conv_id, n, turn, best, used) AS (
 SELECT conv_id, turn, best.item AS item_id, round(coalesce(-best.loss, 0.0), 9) AS score, coalesce(-best.loss >= 0.1, FALSE) AS applied FROM r WHERE n > 0"""
 )
 def exclusive_assignment(spark, sf_dir):
-    turns, pairs = _all_pairs(spark, sf_dir)
-    score = T.overlap(F.col("a"), F.col("b")) + T.containment(F.col("said"), F.col("expected"))
-    scored = pairs.select("conv_id", "turn", "item_id", score.alias("score")).where("score > 0")
+    turns, scored = _matches(spark, sf_dir)
     # a turn that nothing matches is reported without a candidate
     unmatched = turns.select("conv_id", "turn", F.lit(None).cast(scored.schema["item_id"].dataType).alias("item_id"), F.lit(0.0).alias("score"))
     out = matching.assign_exclusively(scored.unionByName(unmatched), ["conv_id"], "turn", "item_id", "score", 0.1)

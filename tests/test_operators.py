@@ -144,3 +144,21 @@ def test_every_turn_meets_every_item(spark, tmp_path):
             used[c].add(item)
     got = {(q.conv_id, q.turn): (q.item_id, q.score, q.applied) for q in catalogue.QUERIES["exclusive_assignment"](spark, str(tmp_path)).collect()}
     assert got == want and got[30, 0] == (7, 1.05, True) and got[31, 1] == (None, 0.0, False)
+    got = {(q.conv_id, q.turn, q.item_id): q.score for q in catalogue.QUERIES["token_overlap_join"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx({k: s for k, (_, s) in score.items() if s > 0}, abs=2e-9)
+
+
+def test_token_matches_equal_all_pairs(spark):
+    """Few letters, so that short keys lie inside words and across their borders; astral characters, nulls and empty keys too."""
+    r = random.Random(8)
+    key = lambda: " ".join("".join(r.choice("ab\U0001d11e") for _ in range(r.randint(1, 6))) for _ in range(r.choice([1, 1, 2, 2, 3, 9])))
+    said = [(1, i, key()) for i in range(70)] + [(2, 0, ""), (2, 1, None), (2, 2, "a" * 50_000)]
+    wanted = [(i, key()) for i in range(60)] + [(90, ""), (91, None), (92, "a" * 40_000 + " b"), (93, "a" * 30_000)]
+    a, b = spark.createDataFrame(said, "g long, row long, key string"), spark.createDataFrame(wanted, "item long, key string")
+    shared = lambda x, y: len(set(x.split()) & set(y.split())) / max(len(set(x.split())), len(set(y.split())))
+    want = {(g, i, j): shared(x, y) + 0.05 * (x in y or y in x) for g, i, x in said for j, y in wanted if x and y}
+    df = matching.token_matches(a, b, ["g", "row"], ["item"])
+    got = {(q.g, q.row, q.item): q.score for q in df.collect()}
+    assert got == pytest.approx({k: s for k, s in want.items() if s > 0}) and min(got.values()) > 0
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan and "collect_list" not in plan
