@@ -19,6 +19,8 @@ CJK_BLOCKS = KOREAN_BLOCKS | {
     "CJK Compatibility Ideographs": "f900-faff",
 }
 BULLETS = "-*•·▪◦‣"
+# Shares of the similarity, and its bonus for equal numbers.
+RATIO_SHARE, TOKENS_SHARE, DIGITS_BONUS = 0.7, 0.3, 0.08
 
 
 def _class_of(blocks: dict[str, str]) -> str:
@@ -105,8 +107,8 @@ def sequence_ratio(a: Column, b: Column) -> Column:
 
 def similarity(a: Column, b: Column) -> Column:
     """Similarity of two match keys, 0 to 1."""
-    bonus = F.when((F.size(digit_list(a)) > 0) & (digit_list(a) == digit_list(b)), 0.08).otherwise(0.0) + containment(a, b)
-    mixed = F.least(F.lit(1.0), sequence_ratio(a, b) * 0.7 + overlap(tokens(a), tokens(b)) * 0.3 + bonus)
+    bonus = F.when((F.size(digit_list(a)) > 0) & (digit_list(a) == digit_list(b)), DIGITS_BONUS).otherwise(0.0) + containment(a, b)
+    mixed = F.least(F.lit(1.0), sequence_ratio(a, b) * RATIO_SHARE + overlap(tokens(a), tokens(b)) * TOKENS_SHARE + bonus)
     return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(mixed)
 
 

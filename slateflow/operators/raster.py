@@ -6,6 +6,7 @@ Images are rows (``keys``, width_px, height_px, data: RGB bytes, row by row). A
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import bounds, pixel_bounds
 from ..functions.text import strip
+from .color import DIFFERENT, LIGHTER, STRONG_LEAST, STRONG_SHARE
 from .masks import png
 
+
 #: A line of recognised text.
 LINES = "array<struct<text: string, confidence: double, bbox: array<array<double>>>>"
 
@@ -115,16 +118,34 @@ def inside(polygon: list[list[float]], left: int, top: int, width: int, height:
     return odd
 
 
-def line_pixels(images: DataFrame, backgrounds: DataFrame, lines: DataFrame, keys: list[str], line: str) -> DataFrame:
-    """Pixels (``keys``, ``line``, pixel, r, g, b, br, bg, bb) of each line's polygon, of the slide and of its background.
-
-    Slides whose background is missing or of another size have none, nor have lines without pixels; polygons of less than three points count as their rectangle.
-    """
+def _lines_on_images(images: DataFrame, backgrounds: DataFrame, lines: DataFrame, keys: list[str], line: str) -> DataFrame:
+    """Images with their background of the same size and their lines' windows, for ``_windows``."""
     back = backgrounds.select(*keys, F.col("width_px").alias("_w"), F.col("height_px").alias("_h"), F.col("data").alias("back"))
     rows = images.select(*keys, "width_px", "height_px", "data").join(back, keys).where("width_px = _w and height_px = _h")
     boxed = lines.withColumn("_b", bounds(F.col("bbox"))).where("_b is not null").join(images.select(*keys, "width_px", "height_px"), keys)
     boxed = boxed.withColumn("_at", pixel_bounds(*(F.col(f"_b.{c}") for c in ("x", "y", "width", "height")), F.col("width_px"), F.col("height_px"), truncate=True)).where("_at is not null")
     grouped = boxed.groupBy(*keys).agg(F.collect_list(F.struct(F.col(line).alias("line"), "bbox", "_at.*")).alias("lines"))
+    return rows.join(grouped, keys)
+
+
+def _windows(batch: pa.RecordBatch):
+    """Of each image its lines with their pixels, row by row: r, g, b of the slide and of the background."""
+    for data, behind, width, height, mine in zip(*(batch.column(c).to_pylist() for c in ("data", "back", "width_px", "height_px", "lines"))):
+        both = np.concatenate((_pixels(data, width, height), _pixels(behind, width, height)), axis=2)
+        parts = []
+        for n in mine:
+            part = both[n["top"] : n["bottom"], n["left"] : n["right"]]
+            if len(n["bbox"]) >= 3:
+                part = part[inside(n["bbox"], n["left"], n["top"], part.shape[1], part.shape[0])]
+            parts.append((n["line"], part.reshape(-1, 6)))
+        yield parts
+
+
+def line_pixels(images: DataFrame, backgrounds: DataFrame, lines: DataFrame, keys: list[str], line: str) -> DataFrame:
+    """Pixels (``keys``, ``line``, pixel, r, g, b, br, bg, bb) of each line's polygon, of the slide and of its background.
+
+    Slides whose background is missing or of another size have none, nor have lines without pixels; polygons of less than three points count as their rectangle.
+    """
     kind = lines.schema[line].dataType.simpleString()
     found = f"array<struct<line: {kind}, rgb: array<array<int>>>>"
 
@@ -132,23 +153,47 @@ def line_pixels(images: DataFrame, backgrounds: DataFrame, lines: DataFrame, key
         for batch in batches:
             line_kind = batch.schema.field("lines").type.value_type.field("line").type
             out_kind = pa.list_(pa.struct([("line", line_kind), ("rgb", pa.list_(pa.list_(pa.int32())))]))
-            out = []
-            for data, behind, width, height, mine in zip(*(batch.column(c).to_pylist() for c in ("data", "back", "width_px", "height_px", "lines"))):
-                both = np.concatenate((_pixels(data, width, height), _pixels(behind, width, height)), axis=2)
-                parts = []
-                for n in mine:
-                    part = both[n["top"] : n["bottom"], n["left"] : n["right"]]
-                    if len(n["bbox"]) >= 3:
-                        part = part[inside(n["bbox"], n["left"], n["top"], part.shape[1], part.shape[0])]
-                    parts.append({"line": n["line"], "rgb": part.reshape(-1, 6).tolist()})
-                out.append(parts)
+            out = [[{"line": n, "rgb": part.tolist()} for n, part in parts] for parts in _windows(batch)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(out, out_kind)], [*keys, "found"])
 
-    rows = rows.join(grouped, keys).mapInArrow(run, f"{_kinds(images, keys)}, found {found}").select(*keys, F.explode("found").alias("f"))
+    rows = _lines_on_images(images, backgrounds, lines, keys, line).mapInArrow(run, f"{_kinds(images, keys)}, found {found}").select(*keys, F.explode("found").alias("f"))
     rows = rows.select(*keys, F.col("f.line").alias(line), F.posexplode("f.rgb").alias("pixel", "c"))
     return rows.select(*keys, line, "pixel", *(F.col("c")[i].cast("double").alias(n) for i, n in enumerate(("r", "g", "b", "br", "bg", "bb"))))
 
 
+def line_colors(images: DataFrame, backgrounds: DataFrame, lines: DataFrame, keys: list[str], line: str) -> DataFrame:
+    """``color.estimate_line_colors`` of ``line_pixels``, estimated where the image is: a row a line leaves the task, not a row a pixel."""
+    kind = lines.schema[line].dataType.simpleString()
+    found = f"array<struct<line: {kind}, r: int, g: int, b: int, support: bigint>>"
+
+    def run(batches):
+        for batch in batches:
+            line_kind = batch.schema.field("lines").type.value_type.field("line").type
+            out_kind = pa.list_(pa.struct([("line", line_kind), *((c, pa.int32()) for c in "rgb"), ("support", pa.int64())]))
+            out = [[{"line": n, **estimate} for n, part in parts if (estimate := text_color(part))] for parts in _windows(batch)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(out, out_kind)], [*keys, "found"])
+
+    rows = _lines_on_images(images, backgrounds, lines, keys, line).mapInArrow(run, f"{_kinds(images, keys)}, found {found}").select(*keys, F.explode("found").alias("f"))
+    return rows.select(*keys, F.col("f.line").alias(line), "f.r", "f.g", "f.b", "f.support")
+
+
+def text_color(pixels: np.ndarray) -> dict | None:
+    """Channel medians of a line's strongest text pixels, by the rules of ``color.text_pixels`` and ``color.strongest``; None without a text pixel."""
+    own, back = pixels[:, :3].astype(float), pixels[:, 3:].astype(float)
+    distance = np.sqrt(((own - back) ** 2).sum(axis=1))
+    text = distance >= DIFFERENT
+    own, back, distance = own[text], back[text], distance[text]
+    if not len(own):
+        return None
+    light, under = (c[:, 0] * 0.299 + c[:, 1] * 0.587 + c[:, 2] * 0.114 for c in (own, back))
+    delta = light - under
+    lighter, darker = delta >= LIGHTER, delta <= -LIGHTER
+    side = lighter if distance[lighter].sum() > distance[darker].sum() else darker if darker.any() else lighter if lighter.any() else slice(None)
+    own, distance = own[side], distance[side]
+    strong = own[np.argsort(-distance, kind="stable")[: max(STRONG_LEAST, math.ceil(len(own) * STRONG_SHARE))]]
+    return {**{c: int(v) for c, v in zip("rgb", np.rint(np.median(strong, axis=0)))}, "support": len(strong)}
+
+
 def fill(image: np.ndarray, mask: np.ndarray, radius: float = 3.0) -> np.ndarray:
     """An image whose masked pixels are filled from the rim inwards (fast marching, Telea 2004).
 

@@ -35,7 +35,7 @@ def text_placements(detections: DataFrame, results: DataFrame, lines: DataFrame,
 def color_placements(placements: DataFrame, images: DataFrame, backgrounds: DataFrame) -> DataFrame:
     """Placements with the colours of their texts, estimated from the slides over their backgrounds and snapped to each slide's palette."""
     areas = placements.select(*SLIDE, "ord", corners(*(F.col(c) for c in ("x", "y", "width", "height"))).alias("bbox"))
-    found = color.estimate_line_colors(raster.line_pixels(images, backgrounds, areas, SLIDE, "ord"), [*SLIDE, "ord"], "pixel")
+    found = raster.line_colors(images, backgrounds, areas, SLIDE, "ord")
     rows = placements.join(found, [*SLIDE, "ord"], "left").withColumn("estimated", F.col("r").isNotNull())
     known = rows.select(*SLIDE, "ord", *(F.coalesce(F.col(c), F.col(f"color.{c}")).cast("double").alias(c) for c in "rgb"), F.coalesce("support", F.lit(0)).alias("support"), "estimated")
     snapped = color.normalize_colors(known, SLIDE, "ord").select(*SLIDE, "ord", F.struct(*(F.col(c).cast("int").alias(c) for c in "rgb")).alias("color"))

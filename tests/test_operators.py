@@ -4,12 +4,13 @@ import math
 import random
 import re
 from collections import defaultdict
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
 from slateflow.functions import geometry, text
-from slateflow.operators import color, layout, matching, typography
+from slateflow.operators import correction, color, layout, matching, typography
 from slateflow.plans import catalogue
 
 
@@ -162,3 +163,43 @@ def test_token_matches_equal_all_pairs(spark):
     assert got == pytest.approx({k: s for k, s in want.items() if s > 0}) and min(got.values()) > 0
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Cross" not in plan and "collect_list" not in plan
+
+
+def noisy(r, text):
+    """A text as it is read: characters lost, doubled or mistaken now and then."""
+    return "".join(r.choice(["", c + c, "o"]) if r.random() < 0.04 else c for c in text)
+
+
+def test_bounded_repair_equals_all_pairs(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("etaoinshrdlu0123가나") for _ in range(r.randint(1, 9)))
+    said, wanted = [], []
+    for slide in range(12):
+        texts = [" ".join(word() for _ in range(r.choice([1, 3, 12, 60]))) for _ in range(r.randint(0, 7))]
+        wanted += [(slide, i, t) for i, t in enumerate([*texts, *texts[:1], ""])]
+        said += [(slide, i, noisy(r, t)) for i, t in enumerate([*r.sample(texts, len(texts)), *texts[:1], "", word()])]
+    said += [(50, 0, "no texts here"), (50, 1, None)]
+    a = spark.createDataFrame(said, "slide long, ord long, _key string").selectExpr("slide", "ord", "coalesce(_key, '') as _key")
+    b = spark.createDataFrame(wanted, "slide long, item long, _key string")
+    pairs = a.join(b.withColumnRenamed("_key", "_w"), "slide").select("slide", "ord", "item", text.similarity(F.col("_key"), F.col("_w")).alias("score")).where("score > 0")
+    pairs = pairs.unionByName(a.selectExpr("slide", "ord", "cast(null as long) as item", "0.0D as score"))
+    rows = lambda df: sorted((q.slide, q.ord, q.item, q.score, q.applied) for q in df.collect())
+    want = rows(matching.assign_exclusively(pairs, ["slide"], "ord", "item", "score", 0.5))
+    assert rows(correction.assign_similar(a, b, ["slide"], "ord", "item", 0.5)) == want and len(want) == len(said)
+
+
+def test_bounds_spare_ratios():
+    """A long slide read with mistakes: a tenth of the ratios of all pairs and fewer, the same choice."""
+    r = random.Random(9)
+    letters = "etaoinshrdlucmfwypvbgkjqxz"
+    wanted = [" ".join("".join(r.choice(r.choice([letters, letters[:9]])) for _ in range(r.randint(2, 9))) for _ in range(r.randint(2, 30))) for _ in range(40)]
+    said = [noisy(r, t) for t in r.sample(wanted, 40)]
+    shared = lambda x, y: len(set(x.split()) & set(y.split())) / max(len(set(x.split())), len(set(y.split())))
+    known = [[[shared(x, y) * 0.3, 0.05 * (x in y or y in x)] for y in wanted] for x in said]
+    found, ratios = correction.choose(said, wanted, known, 0.5)
+    used = set()
+    for x, (at, score, applied), extra in zip(said, found, known):
+        all_scores = [(-(1.0 if x == y else min(1.0, SequenceMatcher(None, x, y).ratio() * 0.7 + e[0] + e[1])), j) for j, (y, e) in enumerate(zip(wanted, extra)) if j not in used]
+        assert (-score, at) == min(all_scores) and applied
+        used.add(at)
+    assert ratios <= len(said) * len(wanted) // 10

@@ -50,6 +50,31 @@ def test_recognition_by_a_given_runner(spark):
     assert got.lines[0].bbox[0] == [11.0, 21.0] and got.lines[1].bbox[2] == [28.0, 36.0]
 
 
+def test_line_colors_equal_the_pixels_way(spark):
+    """Lighter, darker and mixed lines, lines that are their background, ties at the strongest pixels' border, slides without a background."""
+    r = np.random.default_rng(3)
+    fronts, backs, lines = [], [], []
+    for slide in range(12):
+        back = r.integers(0, 256, (30, 40, 3), dtype=np.uint8) if slide % 3 else np.full((30, 40, 3), 90, np.uint8)
+        front = back.copy()
+        front[5:25, 5:35] = np.clip(back[5:25, 5:35].astype(int) + r.choice([-60, -20, 0, 15, 21, 60], (20, 30, 1)), 0, 255)
+        fronts.append((slide, 40, 30, bytearray(front.tobytes())))
+        if slide != 7:
+            backs.append((slide, 40, 30, bytearray(back.tobytes())))
+        for line in range(6):
+            x, y, w, h = (float(v) for v in (r.integers(0, 30), r.integers(0, 22), r.integers(1, 12), r.integers(1, 9)))
+            polygon = [[x, y], [x + w, y + 1], [x + w, y + h], [x, y + h]]
+            lines.append((slide, line, polygon[: 4 - 2 * (line == 3)]))
+    lines += [(0, 6, [[0.0, 0.0], [3.0, 0.0], [3.0, 3.0], [0.0, 3.0]]), (0, 7, [])]
+    a, b = spark.createDataFrame(fronts, IMAGE), spark.createDataFrame(backs, IMAGE)
+    c = spark.createDataFrame(lines, "slide long, line int, bbox array<array<double>>")
+    got = raster.line_colors(a, b, c, ["slide"], "line")
+    want = color.estimate_line_colors(raster.line_pixels(a, b, c, ["slide"], "line"), ["slide", "line"], "pixel")
+    rows = lambda df: sorted(tuple(q) for q in df.select("slide", "line", "r", "g", "b", "support").collect())
+    assert rows(got) == rows(want) and len(rows(got)) > 40
+    assert "posexplode" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_colors_of_text(spark):
     """Lines of two near blues over white; what lies outside a line's polygon doesn't count."""
     back = np.full((60, 120, 3), 255, np.uint8)
