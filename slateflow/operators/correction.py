@@ -60,6 +60,9 @@ def assign_similar(said: DataFrame, wanted: DataFrame, keys: list[str], order: s
     costly ratio only of candidates that can still win by a bound. Columns: ``keys``, order, candidate, score, applied.
     """
     parts = lambda *own: (*own, F.col("_key").alias("key"), tokens(F.col("_key")).alias("t"), digit_list(F.col("_key")).alias("d"))
+    # a number asked for isn't made smaller by the bytes: ratios cost far more than their texts weigh; the grouping and the join keep it
+    parallel = int(said.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    said, wanted = (df.repartition(parallel, *keys) for df in (said, wanted))
     rows = said.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*parts(F.col(order).alias("id"))))).alias("rows"))
     items = wanted.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*parts(F.col(candidate).alias("id"))))).alias("items"))
     digits = lambda a, b: F.when((F.size(a["d"]) > 0) & (a["d"] == b["d"]), DIGITS_BONUS).otherwise(0.0)
