@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as T
-from ..operators import color, correction, layout, masks, raster, review, typography
+from ..operators import color, correction, layout, masks, raster, review, tiles, typography
 from ..sources import decks, fonts, pptx
 from . import deck, rebuild
 from .catalogue import BOXES, boxes, query, read, rgb, _RGB
@@ -266,6 +266,20 @@ def mask_digest(spark, sf_dir):
 # ---- reviews
 
 
+@query(
+    f"""WITH {_LINES}, q AS (SELECT slide, ord AS box, x + ord % 7 * 20 - 60 AS x, y - 5 AS y, width + 10 AS width, height + 10 AS height FROM b)
+SELECT t.slide, t.ord AS line, q.box, t.x, t.y, q.x AS box_x, q.y AS box_y FROM t JOIN q ON q.slide = t.slide
+WHERE has_bbox AND t.x <= q.x + q.width AND q.x <= t.x + t.width AND t.y <= q.y + q.height AND q.y <= t.y + t.height"""
+)
+def lines_in_boxes(spark, sf_dir):
+    """Every line of a slide with every box of that slide it touches, whichever box it was read in."""
+    found = lines(spark, sf_dir).select("slide", F.col("ord").alias("line"), G.bounds(F.col("bbox")).alias("of_line"))
+    moved = F.struct((F.col("x") + F.col("ord") % 7 * 20 - 60).alias("x"), (F.col("y") - 5).alias("y"), (F.col("width") + 10).alias("width"), (F.col("height") + 10).alias("height"))
+    placed = boxes(spark, sf_dir).select("slide", F.col("ord").alias("box"), moved.alias("of_box"))
+    pairs = tiles.touching(found, placed, ["slide"], F.col("of_line"), F.col("of_box"))
+    return pairs.select("slide", "line", "box", F.col("of_line.x").alias("x"), F.col("of_line.y").alias("y"), F.col("of_box.x").alias("box_x"), F.col("of_box.y").alias("box_y"))
+
+
 _BASE = f"""{_LINES}, e AS (SELECT *, 'line-' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS box_id
   FROM (SELECT *, row_number() OVER (PARTITION BY slide ORDER BY ord, width) AS n FROM t WHERE has_bbox AND trim(text) <> ''))"""
 
