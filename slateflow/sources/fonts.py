@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,16 +105,20 @@ def fit_size(em_width: Column, em_height: Column, n_lines: Column, cjk: Column,
     Between lines stand 0.3 of the font's pixels, 0.5 if there is any CJK character.
     """
     high = F.greatest(F.lit(most), height / F.greatest(F.lit(1), n_lines) * 1.8 / dpi * 72.0)
-    gap = F.when(cjk, 0.5).otherwise(0.3)
-
-    def halve(s, _):
-        probe = (s["low"] + s["high"]) / 2
-        px = F.greatest(F.lit(1.0), F.bround(probe * dpi / 72.0))
-        fits = (em_width * px <= width) & (n_lines * em_height * px + (n_lines - 1) * gap * px <= height)
-        return F.struct(F.when(fits, probe).otherwise(s["low"]).alias("low"), F.when(fits, s["high"]).otherwise(probe).alias("high"), F.when(fits, probe).otherwise(s["best"]).alias("best"))
-
-    start = F.struct(F.lit(least).alias("low"), high.cast("double").alias("high"), F.lit(least).alias("best"))
-    return F.round(F.aggregate(F.sequence(F.lit(1), F.lit(16)), start, halve)["best"], 2)
+    gap = (n_lines - 1) * F.when(cjk, 0.5).otherwise(0.3)
+
+    def best(em_width: pd.Series, lines: pd.Series, gaps: pd.Series, width: pd.Series, height: pd.Series, high: pd.Series) -> pd.Series:
+        w, ls, gs, right, bottom, top = (c.to_numpy(np.float64) for c in (em_width, lines, gaps, width, height, high))
+        low, found = np.full(len(w), least), np.full(len(w), least)
+        for _ in range(16):
+            probe = (low + top) / 2
+            px = np.maximum(1.0, np.rint(probe * dpi / 72.0))
+            fits = (w * px <= right) & (ls * px + gs * px <= bottom)
+            low, top, found = np.where(fits, probe, low), np.where(fits, top, probe), np.where(fits, probe, found)
+        return pd.Series(found)
+
+    sides = (em_width, n_lines * em_height, gap, width, height, high)
+    return F.round(F.pandas_udf(best, "double")(*(c.cast("double") for c in sides)), 2)
 
 
 def fit_texts(texts: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
