@@ -27,21 +27,26 @@ def split_rows(boxes: DataFrame, keys: list[str], order: str) -> DataFrame:
     opens no row of its own, it falls to the rows whose separators its centre has passed.
     """
     whole = Window.partitionBy(*keys)
-    b = boxes.withColumn("_top", F.min("y").over(whole)).withColumn("_end", F.max(F.col("y") + F.col("height")).over(whole))
-    b = b.withColumn("_n", F.bround(F.col("_end") - F.col("_top"))).withColumn("_mid", F.col("y") + F.col("height") / 2)
+    # scan lines rise with y, so that one sort by y serves the top, the reach and, as it begins with the keys, all that is over whole groups
+    by_y = whole.orderBy("y")
+    b = boxes.withColumn("_top", F.min("y").over(by_y.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    b = b.withColumn("_end", F.max(F.col("y") + F.col("height")).over(whole))
+    b = b.withColumn("_n", F.bround(F.col("_end") - F.col("_top")))
     lo, hi = F.ceil(F.col("y") - F.col("_top")), F.least(F.col("_n"), F.floor(F.col("y") + F.col("height") - F.col("_top")))
     b = b.withColumn("_lo", lo.cast("double")).withColumn("_hi", hi.cast("double"))
+    # of boxes with the same first line whichever comes first opens the gap, so that their order changes nothing
     seen = F.when(F.col("_lo") <= F.col("_hi"), F.col("_hi"))
-    before = F.max(seen).over(whole.orderBy("_lo", "_hi", order).rowsBetween(Window.unboundedPreceding, -1))
-    b = b.withColumn("_reach", before)
+    b = b.withColumn("_reach", F.max(seen).over(by_y.rowsBetween(Window.unboundedPreceding, -1)))
     gap = (F.col("_lo") <= F.col("_hi")) & (F.col("_lo") > F.col("_reach") + 1)
     b = b.withColumn("_sep", F.when(gap, (F.col("_top") * 2 + F.col("_reach") + F.col("_lo")) / 2))
-    b = b.withColumn("_seps", F.collect_list("_sep").over(whole))
-    few = (F.count("*").over(whole) <= 1) | (F.col("_end") - F.col("_top") < 5)
-    mid = F.col("_mid")
-    passed = F.when(few, 0).otherwise(F.size(F.filter("_seps", lambda s: s < mid)))
-    b = b.withColumn("_passed", passed)
-    return b.withColumn("row_no", F.dense_rank().over(whole.orderBy("_passed"))).select(*boxes.columns, "row_no")
+    # a group has as many bands as centres have passed separators, and separators are at most its scan lines
+    b = b.withColumn("_seps", F.collect_list("_sep").over(whole)).withColumn("_count", F.count("*").over(whole))
+    few = (F.col("_count") <= 1) | (F.col("_end") - F.col("_top") < 5)
+    mid = F.col("y") + F.col("height") / 2
+    b = b.withColumn("_passed", F.when(few, 0).otherwise(F.size(F.filter("_seps", lambda s: s < mid))))
+    b = b.withColumn("_bands", F.collect_set("_passed").over(whole))
+    passed = F.col("_passed")
+    return b.select(*boxes.columns, F.size(F.filter("_bands", lambda p: p <= passed)).alias("row_no"))
 
 
 def cluster_lines(boxes: DataFrame, keys: list[str], order: str | list[str]) -> DataFrame:

@@ -274,3 +274,11 @@ def test_geometry_edges(spark):
 def test_first_snapshot_stays(spark):
     old, new = spark.createDataFrame([(1, "a")], "slide int, v string"), spark.createDataFrame([(1, "b"), (2, "c")], "slide int, v string")
     assert sorted(map(tuple, review.first_snapshot(old, new, ["slide"]).collect())) == [(1, "a"), (2, "c")]
+
+
+def test_rows_are_split_in_one_sort(spark):
+    """A task holds its rows once, whatever windows look at them."""
+    r = random.Random(11)
+    boxes = spark.createDataFrame([(i % 7, i, 0.0, float(r.randint(0, 160)), 30.0, float(r.randint(10, 18))) for i in range(200)], "slide long, ord long, x double, y double, width double, height double")
+    plan = layout.split_rows(boxes, ["slide"], "ord")._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert len(re.findall(r"\bSort \[", plan)) == 1
