@@ -74,29 +74,53 @@ def with_content(slides: DataFrame, rectangles: DataFrame, keys: list[str]) -> D
     return slides.join(rectangles.select(*keys).distinct(), keys, "left_semi")
 
 
+def _png(rows: np.ndarray, color: bool) -> bytes:
+    """The PNG of rows of bytes that each begin with their filter."""
+    height, width = rows.shape[0], (rows.shape[1] - 1) // (3 if color else 1)
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    header = struct.pack(">IIBBBBB", width, height, 8, 2 if color else 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(rows, 6)) + chunk(b"IEND", b"")
+
+
 def png(pixels: np.ndarray) -> bytes:
     """A grey or RGB image as PNG."""
-    height, width = pixels.shape[:2]
-    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    rows = np.concatenate((np.zeros((height, 1), np.uint8), pixels.reshape(height, -1)), axis=1)
-    header = struct.pack(">IIBBBBB", width, height, 8, 2 if pixels.ndim == 3 else 0, 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(rows.tobytes(), 6)) + chunk(b"IEND", b"")
+    height = pixels.shape[0]
+    return _png(np.concatenate((np.zeros((height, 1), np.uint8), pixels.reshape(height, -1)), axis=1), pixels.ndim == 3)
+
+
+def mask_png(width: int, height: int, boxes: list[tuple[int, int, int, int]]) -> bytes:
+    """White where a rectangle (left, top, right, bottom, edges included) is, painted where the file's rows are to lie."""
+    rows = np.zeros((height, width + 1), np.uint8)
+    for left, top, right, bottom in boxes:
+        rows[top : bottom + 1, left + 1 : right + 2] = 255
+    return _png(rows, False)
 
 
 def mask_images(rectangles: DataFrame, keys: list[str]) -> DataFrame:
-    """The mask of each slide as a PNG, white where a rectangle is; a slide's rectangles are what one row holds."""
-    box = F.struct("left", "top", "right", "bottom")
-    slides = rectangles.groupBy(*keys, "width_px", "height_px").agg(F.collect_list(box).alias("boxes"))
+    """The mask of each slide as a PNG, white where a rectangle is; a slide's rectangles are what one row holds.
+
+    Slides of the same size and rectangles lie together, and a mask that many of them have is drawn once in each task that has some:
+    ranges of a hash and the keys spread it, however many slides have it.
+    """
+    sides = ("left", "top", "right", "bottom")
+    slides = rectangles.groupBy(*keys, "width_px", "height_px").agg(F.array_sort(F.collect_set(F.struct(*sides))).alias("boxes"))
+    same = F.xxhash64("width_px", "height_px", "boxes")
+    # as many tasks as the shuffle has: rows are few bytes, and drawing them is what takes time
+    width = int(rectangles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slides = slides.withColumn("_same", same).repartitionByRange(width, "_same", *keys).sortWithinPartitions("_same")
     kinds = ", ".join(f"`{k}` {rectangles.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches):
+        last = image = None
         for batch in batches:
-            out = []
-            for width, height, boxes in zip(*(batch.column(c).to_pylist() for c in ("width_px", "height_px", "boxes"))):
-                mask = np.zeros((height, width), np.uint8)
-                for b in boxes:
-                    mask[b["top"] : b["bottom"] + 1, b["left"] : b["right"] + 1] = 255
-                out.append(png(mask))
+            out, lists = [], batch.column("boxes")
+            at, flat = lists.offsets.to_pylist(), lists.values
+            places = list(zip(*(flat.field(c).to_pylist() for c in sides)))
+            for width, height, a, b in zip(batch.column("width_px").to_pylist(), batch.column("height_px").to_pylist(), at, at[1:]):
+                now = (width, height, places[a:b])
+                if now != last:
+                    last, image = now, mask_png(*now)
+                out.append(image)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(out, pa.binary())], [*keys, "mask"])
 
     return slides.mapInArrow(run, f"{kinds}, mask binary")

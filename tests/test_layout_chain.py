@@ -282,3 +282,18 @@ def test_rows_are_split_in_one_sort(spark):
     boxes = spark.createDataFrame([(i % 7, i, 0.0, float(r.randint(0, 160)), 30.0, float(r.randint(10, 18))) for i in range(200)], "slide long, ord long, x double, y double, width double, height double")
     plan = layout.split_rows(boxes, ["slide"], "ord")._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
     assert len(re.findall(r"\bSort \[", plan)) == 1
+
+
+def test_equal_masks_lie_together(spark):
+    """Masks of many slides against painting each; equal ones come to the same tasks, in ranges that the keys divide."""
+    r = random.Random(4)
+    kinds = [[(r.randint(0, 30), r.randint(0, 10), r.randint(30, 39), r.randint(10, 19)) for _ in range(r.randint(1, 3))] for _ in range(5)]
+    rows = [(s, 40, 20, *b) for s in range(300) for b in r.sample(kinds[min(4, s % 9)], len(kinds[min(4, s % 9)]))]
+    rows += [(0, 40, 20, *kinds[0][0]), (999, 41, 20, *kinds[0][0])]
+    table = spark.createDataFrame(rows, "slide int, width_px int, height_px int, left int, top int, right int, bottom int")
+    out = masks.mask_images(table, ["slide"])
+    want = {}
+    for s, w, h, left, top, right, bottom in rows:
+        want.setdefault(s, np.zeros((h, w), np.uint8))[top : bottom + 1, left : right + 1] = 255
+    assert {q.slide: bytes(q.mask) for q in out.collect()} == {s: masks.png(m) for s, m in want.items()}
+    assert "rangepartitioning(_same" in out._jdf.queryExecution().toString()
