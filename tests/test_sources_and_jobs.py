@@ -167,3 +167,11 @@ def test_slides_are_looked_up_and_zipped(spark):
         decks.zip_slides(slides, specs.where("slide_no = 1"), ["deck", "slide_no"]).collect()
     with pytest.raises(Exception, match="no raster image"):
         spark.range(1).select(decks.raster_path(F.lit("x.pdf"))).collect()
+
+
+def test_files_go_on_in_small_batches():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(950))], ["k"])
+    cut = list(pptx.small([batch, batch.slice(0, 0), batch.slice(0, 3)]))
+    assert max(b.num_rows for b in cut) <= pptx.FILES and [v for b in cut for v in b.column(0).to_pylist()] == [*range(950), 0, 1, 2]
