@@ -15,9 +15,11 @@ def _tile(value: Column, side: float) -> Column:
 
 def _laid(rows: DataFrame, box: Column, side: float) -> DataFrame:
     """A row for each tile that a rectangle touches, edges included."""
-    rows = rows.withColumn("_b", box).where("_b.width >= 0 and _b.height >= 0 and not isnan(_b.x + _b.y + _b.width + _b.height)")
-    span = lambda at, size: F.sequence(_tile(F.col(at), side), _tile(F.col(at) + F.col(size), side))
-    return rows.withColumn("_tx", F.explode(span("_b.x", "_b.width"))).withColumn("_ty", F.explode(span("_b.y", "_b.height")))
+    # a filter would be pushed below the box and work it out once for each of its terms; where there is no span, the tile is null and meets nothing
+    rows = rows.withColumn("_b", box)
+    valid = F.expr("_b.width >= 0 and _b.height >= 0 and not isnan(_b.x + _b.y + _b.width + _b.height)")
+    span = lambda at, size: F.when(valid, F.sequence(_tile(F.col(at), side), _tile(F.col(at) + F.col(size), side)))
+    return rows.withColumn("_tx", F.explode_outer(span("_b.x", "_b.width"))).withColumn("_ty", F.explode_outer(span("_b.y", "_b.height")))
 
 
 def touching(left: DataFrame, right: DataFrame, keys: list[str], left_box: Column, right_box: Column, side: float = TILE) -> DataFrame:

@@ -56,3 +56,15 @@ def test_query_is_registered():
     from slateflow.plans import layout_queries  # noqa: F401
 
     assert "lines_in_boxes" in catalogue.QUERIES and "lines_in_boxes" in catalogue.ORACLE_SQL
+
+
+def test_boxes_are_worked_out_once(spark):
+    """No filter below the tiles repeats what a box is made of."""
+    from slateflow.functions import geometry as G
+
+    table = spark.createDataFrame([(1, 1, [[0.0, 0.0], [70.0, 9.0]]), (1, 2, [])], "slide int, a int, poly array<array<double>>")
+    left = table.select("slide", "a", G.bounds(F.col("poly")).alias("of_a"))
+    right = table.select("slide", F.col("a").alias("b"), G.bounds(F.col("poly")).alias("of_b"))
+    out = tiles.touching(left, right, ["slide"], F.col("of_a"), F.col("of_b"))
+    assert [(q.slide, q.a, q.b) for q in out.collect()] == [(1, 1, 1)]
+    assert not any("Filter" in step and "transform(" in step for step in out._jdf.queryExecution().toString().split("== Optimized Logical Plan ==")[1].split("\n"))
