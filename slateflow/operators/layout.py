@@ -31,7 +31,7 @@ def split_rows(boxes: DataFrame, keys: list[str], order: str) -> DataFrame:
     by_y = whole.orderBy("y")
     b = boxes.withColumn("_top", F.min("y").over(by_y.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     b = b.withColumn("_end", F.max(F.col("y") + F.col("height")).over(whole))
-    b = b.withColumn("_n", F.bround(F.col("_end") - F.col("_top")))
+    b = b.withColumn("_n", F.rint(F.col("_end") - F.col("_top")))
     lo, hi = F.ceil(F.col("y") - F.col("_top")), F.least(F.col("_n"), F.floor(F.col("y") + F.col("height") - F.col("_top")))
     b = b.withColumn("_lo", lo.cast("double")).withColumn("_hi", hi.cast("double"))
     # of boxes with the same first line whichever comes first opens the gap, so that their order changes nothing
