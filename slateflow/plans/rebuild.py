@@ -23,6 +23,8 @@ _LINES = "array<struct<line_no:int,box_id:string,text:string,bbox:array<array<do
 _RECTANGLES = "array<struct<left:int,top:int,right:int,bottom:int>>"
 _CROPS = "array<struct<number:int,box_id:string,left:int,top:int,right:int,bottom:int,file:string>>"
 _DETECTIONS = "array<struct<box_id:string,category:string,x:double,y:double,width:double,height:double,confidence:double>>"
+#: Columns of an edited box.
+FIELDS = ("box_id", "x", "y", "width", "height", "category", "source", "source_box_id")
 #: What follows from a slide's size, baseline and edit.
 DERIVED = {"lines": _LINES, "removed": _LINES, "text_mask": _RECTANGLES, "figure_mask": _RECTANGLES, "crops": _CROPS, "detections": _DETECTIONS}
 #: Reads the boxes it is given (the columns of ``review.boxes_to_read``) and returns keys, box_id, text, bbox.
@@ -31,8 +33,7 @@ Reader = Callable[[DataFrame], DataFrame]
 
 def edit_documents(boxes: DataFrame, keys: list[str], order: list[str], revision: Column) -> DataFrame:
     """``keys``, revision, boxes of edited boxes in rows."""
-    fields = ("box_id", "x", "y", "width", "height", "category", "source", "source_box_id")
-    rows = boxes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, F.struct(*fields).alias("box")))).alias("rows"))
+    rows = boxes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, F.struct(*FIELDS).alias("box")))).alias("rows"))
     return rows.select(*keys, revision.cast("long").alias("revision"), F.transform("rows", lambda r: r["box"]).cast(_BOXES).alias("boxes"))
 
 

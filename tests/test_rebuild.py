@@ -91,3 +91,25 @@ def test_tagged_lines_are_the_rebuilt_lines(spark):
     both = lambda df: sorted(map(tuple, df.select(*KEYS, "box_id", "text", "bbox").collect()))
     assert both(tagged.where("kind = 'removed'")) == both(removed) and both(tagged.where("kind <> 'removed'")) == both(final)
     assert {x.kind for x in tagged.collect()} == {"kept", "read", "removed"}
+
+
+def test_lines_in_rows_are_the_rebuilt_lines(spark):
+    """Where a slide is one row, a box of an id that another has too, of unknown sources and without any."""
+    r = random.Random(8)
+    slides, lines = tables(spark)
+    rows = rebuild.slide_rows(slides, lines, KEYS, ["ord"]).drop("boxes", "revision")
+    base = rows.select(*KEYS, F.explode("baseline").alias("b")).select(*KEYS, "b.*")
+    documents = [document(r, f"d{d}", n, 1) for d in range(3) for n in range(1, 6)]
+    documents = [(d, n, v, [*boxes, *boxes[:1], ("own", 5.0, 25.0, 0.0, 9.0, "chart", "", "")]) for d, n, v, boxes in documents]
+    edits = spark.createDataFrame(documents, EDITS).select(*KEYS, F.transform("boxes", lambda b, i: b.withField("ord", i)).alias("boxes"))
+    edited = review.sanitize_boxes(edits.select(*KEYS, F.explode("boxes").alias("b")).select(*KEYS, "b.*"))
+    changes = review.compare_with_baseline(edited, base, KEYS)
+    final, removed = review.rebuild_lines(changes, base, read(review.boxes_to_read(changes)).distinct(), KEYS)
+    compared = review.compare_in_rows(rows.join(edits, KEYS))
+    boxes = review.compared_boxes(compared, KEYS)
+    columns = [*KEYS, "ord", "box_id", "x", "y", "width", "height", "change", "base"]
+    by_row = lambda df: sorted(map(str, df.select(*columns).collect()))
+    assert by_row(boxes) == by_row(changes) and {x.change for x in boxes.collect()} == {"kept", "moved", "new"}
+    tagged = review.lines_in_rows(compared, read(review.boxes_to_read(boxes)).distinct(), KEYS).select(*KEYS, F.explode("tagged").alias("l")).select(*KEYS, "l.*")
+    both = lambda df: sorted(map(tuple, df.select(*KEYS, "box_id", "text", "bbox").collect()))
+    assert both(tagged.where("kind = 'removed'")) == both(removed) and both(tagged.where("kind <> 'removed'")) == both(final)
