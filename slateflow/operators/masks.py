@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import bounds, pixel_bounds
@@ -16,15 +16,22 @@ from ..functions.geometry import bounds, pixel_bounds
 PADDING = 2
 
 
+def inclusive(x: Column, y: Column, width: Column, height: Column, width_px: Column, height_px: Column, padding: int = PADDING) -> Column:
+    """left, top, right, bottom of a rectangle with both edges painted: rounded, padded and clipped to the last row and column of its slide; not all have pixels."""
+    near = lambda c: F.bround(c.cast("double")).cast("int")
+    right, bottom = F.least(width_px.cast("int") - 1, near(x + width) + padding), F.least(height_px.cast("int") - 1, near(y + height) + padding)
+    return F.struct(F.greatest(F.lit(0), near(x) - padding).alias("left"), F.greatest(F.lit(0), near(y) - padding).alias("top"), right.alias("right"), bottom.alias("bottom"))
+
+
+def within(r: Column, width_px: Column, height_px: Column) -> Column:
+    """left, top, right, bottom as of ``pixel_bounds``, up to the last row and column of the slide."""
+    return F.struct(r["left"].alias("left"), r["top"].alias("top"), F.least(r["right"], width_px.cast("int") - 1).alias("right"), F.least(r["bottom"], height_px.cast("int") - 1).alias("bottom"))
+
+
 def _inclusive(rows: DataFrame, keys: list[str], padding: int) -> DataFrame:
-    """left, top, right, bottom of rectangles with both edges painted: rounded, padded and clipped to the slide's size, which is outside it."""
     d = lambda c: F.col(c).cast("double")
-    left, top = F.greatest(F.lit(0), F.bround(d("x")).cast("int") - padding), F.greatest(F.lit(0), F.bround(d("y")).cast("int") - padding)
-    right = F.least(F.col("width_px").cast("int"), F.bround(d("x") + d("width")).cast("int") + padding)
-    bottom = F.least(F.col("height_px").cast("int"), F.bround(d("y") + d("height")).cast("int") + padding)
-    rows = rows.select(*keys, "width_px", "height_px", left.alias("left"), top.alias("top"), right.alias("right"), bottom.alias("bottom"))
-    # the last row and column that there are
-    rows = rows.withColumn("right", F.least("right", F.col("width_px").cast("int") - 1)).withColumn("bottom", F.least("bottom", F.col("height_px").cast("int") - 1))
+    found = inclusive(*(d(c) for c in ("x", "y", "width", "height")), F.col("width_px"), F.col("height_px"), padding)
+    rows = rows.select(*keys, "width_px", "height_px", found.alias("_r")).select(*keys, "width_px", "height_px", "_r.*")
     return rows.where("left <= right and top <= bottom")
 
 

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geometry import bounds
+from ..functions.geometry import pixel_bounds
 from ..functions.text import strip
 from ..operators import masks, review
 
@@ -53,60 +53,62 @@ def recompute(rows: DataFrame, keys: list[str], read: Reader) -> DataFrame:
     Kept boxes keep their lines, new and moved ones take what is read in them; lines stand in reading order. Masks cover
     what goes from the image, crops are the figure boxes, and the detections are one text box over the slide and the figures.
     """
-    core = rows.select(*keys, "width_px", "height_px", "baseline", "revision", "boxes")
+    core = rows.select(*keys, "width_px", "height_px", "baseline", "revision", F.col("boxes").alias("_boxes"))
     own = F.transform("baseline", lambda b: F.struct(b["box_id"].alias("box_id"), *(b[c].alias(c) for c in ("x", "y", "width", "height")), F.lit(review.TEXT).alias("category"), F.lit("base").alias("source"), b["box_id"].alias("source_box_id"))).cast(_BOXES)
-    size = [F.col("width_px").alias("slide_width"), F.col("height_px").alias("slide_height")]
-    edited = core.select(*keys, *size, F.posexplode(F.coalesce("boxes", own)).alias("ord", "b")).select(*keys, "slide_width", "slide_height", "ord", "b.*")
-    edited = review.clamp_boxes(review.sanitize_boxes(edited))
-    base = core.select(*keys, F.explode("baseline").alias("b")).select(*keys, "b.*")
-    changes = review.compare_with_baseline(edited, base, keys)
-    tagged = review.tagged_lines(changes, base, read(review.boxes_to_read(changes)), keys)
-    wide = lambda df: df.withColumnRenamed("slide_width", "width_px").withColumnRenamed("slide_height", "height_px")
-
-    at = bounds(F.col("bbox"))
-    placed = tagged.select(*keys, "kind", F.struct(at["y"].alias("y"), at["x"].alias("x"), "ord", "box_id", "text", "bbox").alias("line"))
-    of = lambda removed: F.sort_array(F.collect_list(F.when((F.col("kind") == "removed") == F.lit(removed), F.col("line"))))
-    numbered = lambda lines: F.transform(lines, lambda r, i: F.struct((i + 1).alias("line_no"), r["box_id"].alias("box_id"), r["text"].alias("text"), r["bbox"].alias("bbox"))).cast(_LINES)
-    lines = placed.groupBy(*keys).agg(of(False).alias("a"), of(True).alias("b")).select(*keys, numbered("a").alias("lines"), numbered("b").alias("removed"))
-
-    def rectangles(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("left", "top", "right", "bottom"))).alias(name))
-
-    text_mask = rectangles(masks.line_rectangles(wide(tagged.where("kind = 'removed'")), keys), "text_mask")
-    figures = edited.where(F.col("category") == review.FIGURE)
-    figure_mask = rectangles(masks.figure_rectangles(wide(figures), keys), "figure_mask")
-    crops = review.figure_crops(figures, keys, ["ord"]).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("number", "box_id", "left", "top", "right", "bottom", "file"))).alias("crops"))
-    found = review.as_detections(figures, [*keys, "ord"], review.FIGURE)
-    found = found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ord", "box_id", "category", "x", "y", "width", "height", "confidence"))).alias("figures"))
-
-    whole = core
-    for part in (lines, text_mask, figure_mask, crops, found):
-        whole = whole.join(part, keys, "left")
-    d = lambda c: F.col(c).cast("double")
-    slide = F.struct(F.lit("manual-editor-text").alias("box_id"), F.lit(review.TEXT).alias("category"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), d("width_px").alias("width"), d("height_px").alias("height"), F.lit(1.0).alias("confidence"))
-    fields = ("box_id", "category", "x", "y", "width", "height", "confidence")
-    others = F.coalesce(F.transform("figures", lambda r: F.struct(*(r[c].alias(c) for c in fields))).cast(_DETECTIONS), F.array().cast(_DETECTIONS))
-    whole = whole.withColumn("detections", F.concat(F.array(slide).cast(_DETECTIONS), others))
+    size = F.col("width_px"), F.col("height_px")
+    # all that follows from a slide is worked out in its row, and joined with what is read in its boxes alone
+    slides = core.withColumn("boxes", F.transform(F.coalesce("_boxes", own), lambda b, i: F.struct(i.alias("ord"), *(b[c].alias(c) for c in FIELDS))))
+    slides = review.compare_in_rows(slides, size).drop("boxes")
+    boxes = review.compared_boxes(slides.select(*keys, size[0].alias("slide_width"), size[1].alias("slide_height"), "compared"), [*keys, "slide_width", "slide_height"])
+    whole = review.lines_in_rows(slides, read(review.boxes_to_read(boxes)), keys)
+
+    def ordered(removed: bool) -> Column:
+        lines = F.filter("tagged", lambda t: (t["kind"] == "removed") == F.lit(removed))
+        return F.sort_array(F.transform(lines, lambda t: F.struct(t["at"]["y"].alias("y"), t["at"]["x"].alias("x"), *(t[c].alias(c) for c in ("ord", "box_id", "text", "bbox")))))
+
+    numbered = lambda lines: F.transform(lines, lambda r, i: F.struct((i + 1).alias("line_no"), r["box_id"].alias("box_id"), r["text"].alias("text"), r["bbox"].alias("bbox")))
+    covered = F.transform(F.filter("tagged", lambda t: t["kind"] == "removed"), lambda t: masks.inclusive(*(t["at"][c] for c in ("x", "y", "width", "height")), *size))
+    whole = whole.withColumn("text_mask", F.sort_array(F.filter(covered, lambda r: (r["left"] <= r["right"]) & (r["top"] <= r["bottom"]))))
+    whole = whole.withColumn("lines", numbered(ordered(False))).withColumn("removed", numbered(ordered(True))).drop("tagged")
+
+    whole = whole.withColumn("_figures", F.filter("compared", lambda b: b["category"] == review.FIGURE)).drop("compared")
+    pixels = lambda b: pixel_bounds(b["x"], b["y"], b["width"], b["height"], *size)
+    filled = F.transform(F.filter(F.transform("_figures", pixels), lambda r: r.isNotNull()), lambda r: masks.within(r, *size))
+    in_order = F.sort_array(F.transform("_figures", lambda b: F.struct(b["y"].alias("y"), b["x"].alias("x"), b["ord"].alias("ord"), b["box_id"].alias("box_id"), pixels(b).alias("at"))))
+    crop = lambda b, i: F.struct((i + 1).alias("number"), b["box_id"].alias("box_id"), *(b["at"][c].alias(c) for c in ("left", "top", "right", "bottom")), review.crop_file(i + 1, b["box_id"]).alias("file"))
+    crops = F.filter(F.transform(in_order, crop), lambda c: c["left"].isNotNull())
+    d = lambda c: c.cast("double")
+    slide = F.struct(F.lit("manual-editor-text").alias("box_id"), F.lit(review.TEXT).alias("category"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), d(size[0]).alias("width"), d(size[1]).alias("height"), F.lit(1.0).alias("confidence"))
+    others = F.transform("_figures", lambda b: F.struct(b["box_id"].alias("box_id"), F.lit(review.FIGURE).alias("category"), *(b[c].alias(c) for c in ("x", "y", "width", "height")), F.lit(1.0).alias("confidence")))
+    whole = whole.withColumn("figure_mask", F.sort_array(filled)).withColumn("crops", crops)
+    whole = whole.withColumn("detections", F.concat(F.array(slide).cast(_DETECTIONS), F.coalesce(others.cast(_DETECTIONS), F.array().cast(_DETECTIONS))))
     derived = [F.coalesce(F.col(c).cast(kind), F.array().cast(kind)).alias(c) for c, kind in DERIVED.items()]
     status = F.when(F.col("revision").isNull(), "ready").otherwise("reviewed").alias("status")
-    return whole.select(*core.columns, *derived, (F.size("text_mask") + F.size("figure_mask") > 0).alias("to_fill"), status).withColumn("to_fill", F.coalesce("to_fill", F.lit(False)))
+    return whole.select(*keys, "width_px", "height_px", "baseline", "revision", F.col("_boxes").alias("boxes"), *derived, F.coalesce(F.size("text_mask") + F.size("figure_mask") > 0, F.lit(False)).alias("to_fill"), status)
+
+
+def _latest(edits: DataFrame, keys: list[str]) -> DataFrame:
+    return edits.where("revision is not null").groupBy(*keys).agg(F.max(F.struct("revision", F.col("boxes").cast(_BOXES).alias("boxes"))).alias("edit"))
 
 
 def newer_edits(states: DataFrame, edits: DataFrame, keys: list[str]) -> DataFrame:
     """The latest document of each slide that is newer than the one its state has; documents of unknown slides go."""
-    latest = edits.where("revision is not null").groupBy(*keys).agg(F.max(F.struct("revision", F.col("boxes").cast(_BOXES).alias("boxes"))).alias("edit"))
-    rows = latest.join(states.select(*keys, F.col("revision").alias("_held")), keys)
+    rows = _latest(edits, keys).join(states.select(*keys, F.col("revision").alias("_held")), keys)
     return rows.where("_held is null or edit.revision > _held").select(*keys, "edit")
 
 
-def apply_edits(states: DataFrame, edits: DataFrame, keys: list[str], read: Reader, rows: DataFrame | None = None) -> DataFrame:
-    """States after edit documents (``keys``, revision, boxes): what a full run over the latest documents gives.
+def with_edits(rows: DataFrame, edits: DataFrame, keys: list[str]) -> DataFrame:
+    """What ``recompute`` takes of all slides, with the latest documents where they are newer: for states that aren't stored yet, so that each is worked out once."""
+    newer = F.col("edit").isNotNull() & (F.col("revision").isNull() | (F.col("edit.revision") > F.col("revision")))
+    boxes = F.when(newer, F.coalesce("edit.boxes", F.array().cast(_BOXES))).otherwise(F.col("boxes"))
+    found = rows.join(_latest(edits, keys), keys, "left")
+    return found.select(*keys, "width_px", "height_px", "baseline", F.when(newer, F.col("edit.revision")).otherwise(F.col("revision")).alias("revision"), boxes.alias("boxes"))
 
-    ``rows``: what ``states`` were recomputed from, if they aren't stored, so that only what goes on is worked out twice.
-    """
-    rows = states if rows is None else rows
-    newer = newer_edits(rows, edits, keys)
-    changed = rows.select(*keys, "width_px", "height_px", "baseline").join(newer, keys)
+
+def apply_edits(states: DataFrame, edits: DataFrame, keys: list[str], read: Reader) -> DataFrame:
+    """Stored states after edit documents (``keys``, revision, boxes): what a full run over the latest documents gives."""
+    newer = newer_edits(states, edits, keys)
+    changed = states.select(*keys, "width_px", "height_px", "baseline").join(newer, keys)
     changed = changed.select(*keys, "width_px", "height_px", "baseline", "edit.revision", F.coalesce("edit.boxes", F.array().cast(_BOXES)).alias("boxes"))
     return states.join(newer.select(*keys), keys, "left_anti").unionByName(recompute(changed, keys, read))
 

@@ -113,3 +113,23 @@ def test_lines_in_rows_are_the_rebuilt_lines(spark):
     tagged = review.lines_in_rows(compared, read(review.boxes_to_read(boxes)).distinct(), KEYS).select(*KEYS, F.explode("tagged").alias("l")).select(*KEYS, "l.*")
     both = lambda df: sorted(map(tuple, df.select(*KEYS, "box_id", "text", "bbox").collect()))
     assert both(tagged.where("kind = 'removed'")) == both(removed) and both(tagged.where("kind <> 'removed'")) == both(final)
+
+
+def test_slides_are_shuffled_once(spark):
+    """Rows that lie by slide are rebuilt where they lie, the boxes that are read again too."""
+    slides, lines = tables(spark)
+    rows = rebuild.slide_rows(slides, lines, KEYS, ["ord"]).repartition(3, *KEYS)
+    plan = rebuild.recompute(rows, KEYS, read)._jdf.queryExecution().executedPlan().toString()
+    without = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 2 * without.count("Exchange")
+
+
+def test_edits_of_rows_that_are_not_stored(spark):
+    r = random.Random(4)
+    slides, lines = tables(spark)
+    rows = rebuild.slide_rows(slides, lines, KEYS, ["ord"])
+    first = spark.createDataFrame([document(r, f"d{d}", n, 5) for d in range(2) for n in range(1, 4)], EDITS)
+    later = spark.createDataFrame([document(r, "d0", 1, 4), document(r, "d0", 2, 6), ("d1", 1, 7, None), ("d2", 1, None, []), ("nobody", 1, 9, [])], EDITS)
+    edited = rebuild.with_edits(rows, first, KEYS)
+    want = rebuild.apply_edits(rebuild.recompute(edited, KEYS, read), later, KEYS, read)
+    assert everything(rebuild.recompute(rebuild.with_edits(edited, later, KEYS), KEYS, read)) == everything(want)
