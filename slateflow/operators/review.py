@@ -29,6 +29,19 @@ def editor_boxes(lines: DataFrame, keys: list[str], order: list[str]) -> DataFra
     return rows.select(*lines.columns, box_id.alias("box_id"), "_box.*", F.lit(TEXT).alias("category"), F.lit("base").alias("source"), box_id.alias("source_box_id"))
 
 
+def editor_boxes_in_rows(lines: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``keys`` and lines: ``editor_boxes`` where a slide is one row, in order, each with the columns of ``order``, box_id, rectangle, text and bbox."""
+    rows = lines.where(has_text(F.col("text")) & (F.size("bbox") > 0))
+    rows = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, "text", "bbox"))).alias("lines"))
+
+    def with_box(r: Column, i: Column) -> Column:
+        return F.struct(*(r[c].alias(c) for c in order), F.concat(F.lit("line-"), padded(i + 1, 3)).alias("box_id"), bounds(r["bbox"]).alias("at"), r["text"].alias("text"), r["bbox"].alias("bbox"))
+
+    rows = rows.withColumn("lines", F.transform("lines", with_box))
+    flat = lambda r: F.struct(*(r[c].alias(c) for c in (*order, "box_id")), *(r["at"][c].alias(c) for c in _SIDES), r["text"].alias("text"), r["bbox"].alias("bbox"))
+    return rows.withColumn("lines", F.transform("lines", flat))
+
+
 def _sanitized(of: Callable[[str], Column]) -> dict[str, Column]:
     least = lambda c: F.greatest(F.lit(1.0), of(c).cast("double"))
     return {

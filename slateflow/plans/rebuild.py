@@ -39,11 +39,11 @@ def edit_documents(boxes: DataFrame, keys: list[str], order: list[str], revision
 
 def slide_rows(slides: DataFrame, lines: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """What ``recompute`` takes of slides (``keys``, width_px, height_px) that nobody has edited, from their recognised lines (text, bbox)."""
-    base = review.editor_boxes(lines, keys, order)
-    fields = ("box_id", "x", "y", "width", "height", "text", "bbox")
-    found = base.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("box_id", F.struct(*fields).alias("line")))).alias("rows"))
+    found = review.editor_boxes_in_rows(lines, keys, order)
     rows = slides.select(*keys, F.col("width_px").cast("int"), F.col("height_px").cast("int")).join(found, keys, "left")
-    baseline = F.coalesce(F.transform("rows", lambda r: r["line"]).cast(_BASELINE), F.array().cast(_BASELINE))
+    fields = ("box_id", "x", "y", "width", "height", "text", "bbox")
+    named = F.sort_array(F.transform("lines", lambda r: F.struct(*(r[c].alias(c) for c in fields))))
+    baseline = F.coalesce(named.cast(_BASELINE), F.array().cast(_BASELINE))
     return rows.select(*keys, "width_px", "height_px", baseline.alias("baseline"), F.lit(None).cast("long").alias("revision"), F.lit(None).cast(_BOXES).alias("boxes"))
 
 
