@@ -12,7 +12,7 @@ GRAMS = (3, 1)
 ENTRIES, CELLS, LENGTH = 1_000_000, 1_000_000, 1 << 20
 
 
-def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All whole numbers from each start up to its stop, and which range each is of."""
     size = np.maximum(stop - start, 0)
     owner = np.repeat(np.arange(len(size)), size)
@@ -57,13 +57,13 @@ def _runs(ga, gb, a_from, a_to, b_from, b_to, owner, n):
 
     ``b_from`` and ``b_to`` are by owner, which rectangles with all of a text share.
     """
-    bpos, bown = _ranges(b_from, b_to)
+    bpos, bown = ranges(b_from, b_to)
     has = gb[bpos] >= 0
     bpos, key = bpos[has], bown[has] * n + gb[bpos[has]]
     bpos = bpos[np.argsort(key, kind="stable")]
     counts = np.bincount(key, minlength=len(b_from) * n)
     first = np.cumsum(counts) - counts
-    apos, rect = _ranges(a_from, a_to)
+    apos, rect = ranges(a_from, a_to)
     has = ga[apos] >= 0
     apos, rect = apos[has], rect[has]
     key = owner[rect] * n + ga[apos]
@@ -71,7 +71,7 @@ def _runs(ga, gb, a_from, a_to, b_from, b_to, owner, n):
     apos, rect, key = apos[has], rect[has], key[has]
     if len(a_from) > 1 and counts[key].sum() > ENTRIES:
         return None
-    found, cell = _ranges(first[key], first[key] + counts[key])
+    found, cell = ranges(first[key], first[key] + counts[key])
     i, j, rect = apos[cell], bpos[found], rect[cell]
     own = owner[rect]
     before = (i > a_from[rect]) & (j > b_from[own])

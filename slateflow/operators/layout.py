@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.blocks import ranges
 from ..functions.geometry import across, bounds, fallback_font_size
-from ..functions.text import join_words, language, starts_bullet, strip
+from ..functions.text import has_text, join_words, language, starts_bullet, strip
 
 
 def rectangle() -> list[Column]:
@@ -64,7 +66,9 @@ def cluster_lines(boxes: DataFrame, keys: list[str], order: str | list[str]) ->
 
 def line_segments(lines: DataFrame, text: str = "text", polygon: str = "bbox") -> DataFrame:
     """Recognised lines with stripped text and the rectangle of their polygon; lines without text or polygon go."""
-    rows = lines.withColumn("_text", strip(F.col(text))).withColumn("_box", bounds(F.col(polygon))).where("_text <> '' and _box is not null")
+    # filtered before they are worked out, as a filter on the results works them out a second time
+    some = lines.where(has_text(F.col(text)) & (F.size(polygon) > 0))
+    rows = some.withColumn("_text", strip(F.col(text))).withColumn("_box", bounds(F.col(polygon)))
     return rows.select(*(c for c in lines.columns if c not in (text, polygon)), F.col("_text").alias("text"), "_box.*")
 
 
@@ -90,8 +94,10 @@ def merge_paragraphs(rows: DataFrame, keys: list[str], order: str | list[str]) -
 
     def run(batches):
         for batch in batches:
-            flat = [batch.column(f"_{c}").to_pylist() for c in ("x", "y", "width", "height", "bullet")]
-            numbers = pa.array([paragraph_numbers(*group) for group in zip(*flat)], pa.list_(pa.int32()))
+            lists = [batch.column(f"_{c}") for c in ("x", "y", "width", "height", "bullet")]
+            ends = np.concatenate(([0], np.cumsum(lists[0].value_lengths().to_numpy()))).astype(np.int32)
+            found = paragraph_numbers_of(np.diff(ends), *(c.flatten().to_numpy(zero_copy_only=False) for c in lists))
+            numbers = pa.ListArray.from_arrays(pa.array(ends), pa.array(found, pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), numbers], [*kept, "numbers"])
 
     found = grouped.mapInArrow(run, schema)
@@ -118,6 +124,48 @@ def paragraph_numbers(x: list[float], y: list[float], width: list[float], height
     return out
 
 
+def paragraph_numbers_of(sizes, x, y, width, height, bullet) -> np.ndarray:
+    """``paragraph_numbers`` of many detections that lie end to end, ``sizes`` rows each: their first rows at once, then their second ones, and so on."""
+    start = np.cumsum(sizes) - sizes
+    out = np.ones(len(x), np.int64)
+    # a detection's paragraphs lie from its start on, as it has no more of them than rows: the last row of each, and its left and right
+    last, left, right = np.zeros(len(x), np.int64), np.zeros(len(x)), np.zeros(len(x))
+    count = np.zeros(len(sizes), np.int64)
+    for turn in range(max(sizes, default=0)):
+        who = np.flatnonzero(sizes > turn)
+        row = start[who] + turn
+        at, owner = ranges(start[who], start[who] + count[who])
+        score = _continue(last[at], left[at], right[at], row[owner], x, y, width, height, bullet)
+        best = np.full(len(who), -np.inf)
+        np.maximum.at(best, owner, score)
+        # of equally good paragraphs the first
+        place = start[who] + count[who]
+        joins = np.flatnonzero((score == best[owner]) & (score > -np.inf))[::-1]
+        place[owner[joins]] = at[joins]
+        new = best == -np.inf
+        count[who] += new
+        out[row], last[place] = place - start[who] + 1, row
+        left[place] = np.where(new, x[row], np.minimum(left[place], x[row]))
+        right[place] = np.where(new, x[row] + width[row], np.maximum(right[place], x[row] + width[row]))
+    return out
+
+
+def _continue(last, left, right, row, x, y, width, height, bullet) -> np.ndarray:
+    """``continues`` of many paragraphs and rows; -inf where a row can't continue a paragraph."""
+    lx, ly, lw, lh = x[last], y[last], width[last], height[last]
+    x, y, w, h = x[row], y[row], width[row], height[row]
+    low, limit, gap = np.minimum(lh, h), np.maximum(GAP, lh * GAP_SHARE), y - (ly + lh)
+    shared = np.maximum(0.0, np.minimum(lx + lw, x + w) - np.maximum(lx, x))
+    unlike = np.maximum(lh, h) / np.maximum(1.0, low) > HEIGHTS
+    near = (-low * BACK <= gap) & (gap <= limit)
+    beside = (shared < np.maximum(1.0, np.minimum(lw, w)) * SHARED) & (np.abs(lx - x) > lh * ASIDE)
+    with_extent = np.maximum(0.0, np.minimum(right, x + w) - np.maximum(left, x))
+    aside = np.minimum(np.abs(lx - x), np.abs(left - x)) / np.maximum(lh * ASIDE, 1.0)
+    widths = np.minimum(right - left, w) / np.maximum(np.maximum(right - left, w), 1.0)
+    score = np.maximum(shared, with_extent) / np.maximum(1.0, w) * 3.0 + (1.0 - np.minimum(np.maximum(0.0, gap) / limit, 1.0)) + (1.0 - np.minimum(aside, 1.0)) + widths * 0.5
+    return np.where(bullet[row].astype(bool) | unlike | ~near | beside, -np.inf, score)
+
+
 #: Limits of a paragraph: how much heights may differ, how far rows may lie apart or over each other, and how far to the side.
 HEIGHTS, GAP, GAP_SHARE, BACK, SHARED, ASIDE = 1.22, 12.0, 0.20, 0.35, 0.35, 2.0
 
@@ -204,10 +252,12 @@ def place(detections: DataFrame, results: DataFrame, lines: DataFrame, keys: lis
     Of ``results`` (``keys``, text) detections without one go; blank texts give no placement. Font sizes are those for fonts that aren't at hand.
     """
     found = detections.join(results.select(*keys, F.col("text").alias("_text")), keys)
-    paragraphs = typeset(lines, keys, order)
-    own = found.select(*keys).join(paragraphs, keys)
-    blocks = found.join(paragraphs.select(*keys).distinct(), keys, "left_anti").select(*keys, F.lit(0).alias("number"), strip(F.col("_text")).alias("text"), "x", "y", "width", "height", F.lit(0).alias("n_lines"))
-    rows = own.unionByName(blocks.where("text <> ''"))
+    part = ["number", "text", "x", "y", "width", "height", "n_lines"]
+    paragraphs = typeset(lines, keys, order).select(*keys, F.struct(*part).alias("_part"))
+    block = F.struct(F.lit(0).alias("number"), strip(F.col("_text")).alias("text"), "x", "y", "width", "height", F.lit(0).alias("n_lines"))
+    # one join, so that paragraphs are worked out once: a detection that meets none is a block
+    rows = found.join(paragraphs, keys, "left").where(F.col("_part").isNotNull() | has_text(F.col("_text")))
+    rows = rows.select(*keys, F.coalesce("_part", block).alias("_part")).select(*keys, "_part.*")
     return rows.select("*", fallback_font_size(F.col("height")).alias("font_size_pt"), language(F.col("text")).alias("language"), (F.col("number") == 0).alias("word_wrap"))
 
 

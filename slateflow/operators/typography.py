@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from ..functions.text import clean
 BODY_RATIO, LABEL_RATIO = 1.15, 1.20
 #: Tokens of a family at most.
 MOST_TOKENS = 6
+#: Distinct sizes up to which a family's boundaries are all worked out at once.
+SMALL_FAMILY = 32
 
 
 def family_label(font: Column, text: Column, line_count: Column) -> Column:
@@ -73,6 +76,19 @@ def partition_sizes(sizes: list[float], counts: list[int], ratio: float) -> list
     token = half_points(middle)
     amount = upto[None, :] - upto[:, None]
     first_run = np.where(amount[0] >= 2, 0.0, -np.inf)
+    # what a boundary at a between the runs (h, a) and (a, b) adds: small families have all of them at once, large ones those of one a
+    def edges(at: np.ndarray) -> np.ndarray:
+        low, a, high = np.arange(at[-1])[:, None, None], at[None, :, None], np.arange(at[0] + 1, m + 1)[None, None, :]
+        ma, mb = middle[low, a], middle[a, high]
+        allowed = (low < a) & (amount[a, high] >= 2) & (mb / np.maximum(ma, 0.01) >= ratio) & (token[low, a] != token[a, high])
+        spread = np.maximum((s[a - 1] - s[low]) + (s[high - 1] - s[a]), 0.5)
+        na, nb = amount[low, a], amount[a, high]
+        edge = mb / np.maximum(ma, 0.01) + s[a] / np.maximum(s[a - 1], 0.01) * 0.1 + (s[a] - s[a - 1]) / spread * 0.35 + np.minimum(na, nb) / np.maximum(np.maximum(na, nb), 1) * 0.05
+        return np.where(allowed, edge, -np.inf)
+
+    places = np.arange(1, m)
+    blocks = [] if m == 1 else [places] if m <= SMALL_FAMILY else np.split(places, len(places))
+    known = [edges(at) for at in blocks] if m <= SMALL_FAMILY else None
     # score[a, b]: of the best division of the sizes before b whose last run is (a, b)
     score = np.full((m + 1, m + 1), -np.inf)
     score[0] = first_run
@@ -80,21 +96,14 @@ def partition_sizes(sizes: list[float], counts: list[int], ratio: float) -> list
     best = [half_points(np.array([middle[0, m]]))[0]]
     for _ in range(1, min(MOST_TOKENS, int(upto[-1]) // 2)):
         longer, back = np.full_like(score, -np.inf), np.zeros(score.shape, np.int64)
-        for a in range(1, m):
-            low = np.flatnonzero(score[:a, a] > -np.inf)
-            high = np.flatnonzero(amount[a] >= 2)
-            if not len(low) or not len(high):
-                continue
-            ma, mb = middle[low, a][:, None], middle[a, high][None, :]
-            allowed = (mb / np.maximum(ma, 0.01) >= ratio) & (token[low, a][:, None] != token[a, high][None, :])
-            spread = np.maximum((s[a - 1] - s[low])[:, None] + (s[high - 1] - s[a])[None, :], 0.5)
-            na, nb = amount[low, a][:, None], amount[a, high][None, :]
-            edge = mb / np.maximum(ma, 0.01) + s[a] / max(s[a - 1], 0.01) * 0.1 + (s[a] - s[a - 1]) / spread * 0.35 + np.minimum(na, nb) / np.maximum(na, nb) * 0.05
-            total = np.where(allowed, score[low, a][:, None] + edge, -np.inf)
+        for n_block, at in enumerate(blocks):
+            total = score[: at[-1], at][:, :, None] + (known[n_block] if known else edges(at))
             top = total.argmax(0)
-            longer[a, high], back[a, high] = total[top, np.arange(len(high))], low[top]
+            longer[at, at[0] + 1 :], back[at, at[0] + 1 :] = np.take_along_axis(total, top[None], 0)[0], top
         steps.append(back)
         score = longer
+        if score.max() == -np.inf:
+            break
         if score[:, m].max() == -np.inf:
             continue
         a, b, runs = int(score[:, m].argmax()), m, []
@@ -121,19 +130,53 @@ def font_tokens(rows: DataFrame, keys: list[str], size: str, ratio: Column | flo
     return groups.mapInArrow(run, f"{kinds}, tokens array<double>")
 
 
+def _with_families(placements: DataFrame) -> DataFrame:
+    """Add _family; null for blank texts."""
+    lines = F.size(F.split(F.col("text"), r"\R"))
+    return placements.withColumn("_family", F.when(clean(F.col("text")) != "", family_label(F.col("font_name"), F.col("text"), lines)))
+
+
+def _snapped(families: pd.Series, sizes: pd.Series) -> pd.Series:
+    out = []
+    for names, values in zip(families, sizes):
+        found = np.full(len(values), np.nan)
+        for family in {name for name in names if name is not None}:
+            mine = names == family
+            distinct, counts = np.unique(values[mine & (values > 0)], return_counts=True)
+            tokens = np.array(partition_sizes(distinct, counts, BODY_RATIO if family.endswith(":body") else LABEL_RATIO))
+            if len(tokens):
+                # as in nearest_token a text without a size takes the smallest
+                found[mine] = tokens[np.abs(tokens - values[mine][:, None]).argmin(1)]
+        out.append([None if np.isnan(v) else v for v in found])
+    return pd.Series(out)
+
+
+def gather_fonts(placements: DataFrame, deck: str) -> DataFrame:
+    """``normalize_fonts`` of decks that fit into a row: each deck's placements are gathered once and worked out there. Rows stay together by deck."""
+    columns = placements.columns
+    gathered = _with_families(placements).groupBy(deck).agg(F.collect_list(F.struct(*(c for c in columns if c != deck), "_family")).alias("_p"))
+    sizes = F.pandas_udf(_snapped, "array<double>")(F.col("_p._family"), F.col("_p.font_size_pt").cast("array<double>"))
+    rows = gathered.withColumn("_sizes", sizes).select(deck, F.explode(F.arrays_zip("_p", "_sizes")).alias("r")).select(deck, "r._p.*", F.col("r._sizes").alias("_size"))
+    return rows.select(*(c.alias(n) for n, c in _replaced(columns, F.col("_size")).items()))
+
+
+def _replaced(columns: list[str], snapped: Column) -> dict[str, Column]:
+    """The columns of placements with their sizes replaced where there is a token."""
+    out = {c: F.col(c) for c in columns} | {"font_size_pt": F.coalesce(snapped, F.col("font_size_pt"))}
+    if "auto_fit" in columns:
+        out["auto_fit"] = F.when(snapped.isNotNull(), False).otherwise(F.col("auto_fit"))
+    return out
+
+
 def normalize_fonts(placements: DataFrame, deck: str) -> DataFrame:
     """Placements (font_name, font_size_pt, text) with their sizes replaced by the nearest token of their family in the deck.
 
     Body families take tiers 1.15 apart, labels 1.20. Blank texts keep their size; where a size is replaced, auto_fit, if there is one, ends.
     """
-    lines = F.size(F.split(F.col("text"), r"\R"))
-    rows = placements.withColumn("_blank", clean(F.col("text")) == "").withColumn("_family", family_label(F.col("font_name"), F.col("text"), lines))
+    rows = _with_families(placements)
     tier = F.when(F.col("_family").endswith(":body"), BODY_RATIO).otherwise(LABEL_RATIO)
-    tokens = font_tokens(rows.where("not _blank"), [deck, "_family"], "font_size_pt", tier)
+    tokens = font_tokens(rows.where("_family is not null"), [deck, "_family"], "font_size_pt", tier)
     # a deck has a handful of families
-    found = rows.join(tokens.withColumnRenamed(deck, "_deck").withColumnRenamed("_family", "_f"), (F.col(deck) == F.col("_deck")) & (F.col("_family") == F.col("_f")) & ~F.col("_blank"), "left")
+    found = rows.join(tokens.withColumnRenamed(deck, "_deck").withColumnRenamed("_family", "_f"), (F.col(deck) == F.col("_deck")) & (F.col("_family") == F.col("_f")), "left")
     snapped = nearest_token(F.col("font_size_pt"), F.col("tokens"))
-    out = {"font_size_pt": F.coalesce(snapped, F.col("font_size_pt"))}
-    if "auto_fit" in placements.columns:
-        out["auto_fit"] = F.when(snapped.isNotNull(), False).otherwise(F.col("auto_fit"))
-    return found.select(*(out[c].alias(c) if c in out else F.col(c) for c in placements.columns))
+    return found.select(*(c.alias(n) for n, c in _replaced(placements.columns, snapped).items()))

@@ -47,16 +47,19 @@ def build_decks(slides: DataFrame, placements: DataFrame, images: DataFrame | No
 
     ``images`` (deck, slide_no, ord, box_id, rectangle, image) lie under the texts.
     """
-    rows = typography.normalize_fonts(placements, "deck")
     sized = slides.select(*SLIDE, F.col("width_px").alias("slide_width"), F.col("height_px").alias("slide_height"))
     # the first slide sets the scale even if it has no text
     shape = typography.scale_to_first(sized.select(*SLIDE, "slide_width", "slide_height", *(F.lit(1.0).alias(c) for c in ("x", "y", "font_size"))), "deck", "slide_no")
-    factor = shape.select(*SLIDE, *(F.col(c).alias(f"_{c}") for c in ("x", "y", "font_size")))
+    factor = shape.select(*SLIDE, *(F.col(c).alias(f"_{c}") for c in ("x", "y", "font_size")), F.lit(True).alias("_known"))
 
     def scaled(df: DataFrame) -> DataFrame:
         by = {"x": "_x", "width": "_x", "y": "_y", "height": "_y", "font_size_pt": "_font_size"}
-        return df.join(factor, SLIDE).select(*((F.col(c) * F.col(by[c])).alias(c) if c in by else F.col(c) for c in df.columns))
+        return df.select(*((F.col(c) * F.col(by[c])).alias(c) if c in by else F.col(c) for c in df.columns if c not in factor.columns or c in SLIDE))
 
+    # placements meet their slides where they are numbered, by slide, and then lie by deck until its file is written; texts off the slides count for the fonts
+    rows = scaled(typography.gather_fonts(placements.join(factor, SLIDE, "left"), "deck").where("_known"))
     if images is None:
         images = rows.where("false").select(*SLIDE, "ord", "box_id", "x", "y", "width", "height", F.lit(None).cast("binary").alias("image"))
-    return pptx.render(slides, scaled(rows), scaled(images), ["deck"], settings.dpi)
+    else:
+        images = scaled(images.join(factor, SLIDE))
+    return pptx.render(slides, rows, images, ["deck"], settings.dpi)

@@ -297,3 +297,37 @@ def test_equal_masks_lie_together(spark):
         want.setdefault(s, np.zeros((h, w), np.uint8))[top : bottom + 1, left : right + 1] = 255
     assert {q.slide: bytes(q.mask) for q in out.collect()} == {s: masks.png(m) for s, m in want.items()}
     assert "rangepartitioning(_same" in out._jdf.queryExecution().toString()
+
+
+def test_paragraphs_of_many_detections():
+    """All detections of a batch at once, against one row after another."""
+    r = random.Random(3)
+    found = []
+    for _ in range(300):
+        rows = sorted((float(r.randrange(0, 200, 5)), float(r.randrange(0, 100, 5)), float(r.randrange(80)), float(r.randrange(8, 14)), r.random() < 0.15) for _ in range(r.choice([0, 1, 2, 5, 20, 60])))
+        found.append([(x, y, w, h, b) for y, x, w, h, b in rows])
+    columns = [np.array(c) for c in zip(*(row for rows in found for row in rows))]
+    want = [n for rows in found if rows for n in layout.paragraph_numbers(*zip(*rows))]
+    assert layout.paragraph_numbers_of(np.array([len(rows) for rows in found]), *columns).tolist() == want
+    assert layout.paragraph_numbers_of(np.array([], np.int64), *(np.zeros(0),) * 5).tolist() == []
+
+
+def test_placing_works_paragraphs_out_once(spark):
+    """Detections with paragraphs and without, from one pass over the lines; a blank result gives no block."""
+    lines = spark.createDataFrame([("a", 0, " one ", box(0, 0, 50, 20)), ("a", 1, "two", box(0, 90, 50, 110)), ("b", 0, " ", box(0, 0, 9, 9)), ("c", 0, "x", []), ("x", 0, "stray", box(0, 0, 50, 20))], LINES)
+    boxes = spark.createDataFrame([(s, 1.0, 2.0, 60.0, 30.0) for s in "abcde"], "slide string, x double, y double, width double, height double")
+    results = spark.createDataFrame([("a", "r"), ("b", " block "), ("c", "\n"), ("d", None), ("x", "r")], "slide string, text string")
+    out = layout.place(boxes, results, layout.line_segments(lines), ["slide"], "ord")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = sorted((r.slide, r.number, r.text, r.x, r.height, r.n_lines, r.word_wrap) for r in out.collect())
+    assert got == [("a", 1, "one", 0.0, 20.0, 1, False), ("a", 2, "two", 0.0, 20.0, 1, False), ("b", 0, "block", 1.0, 30.0, 0, True)]
+
+
+def test_gathered_fonts(spark):
+    """A deck's fonts worked out in its row are those of the joins."""
+    r = random.Random(7)
+    texts = ["a", " ", "b\nc", "a text of some length, so a body", None]
+    rows = [(d, i, r.choice(["F", "G", None]), r.choice(texts), r.choice([None, 0.0, 10.0, 10.4, 12.0, 14.5, 20.0, 31.0]), True) for d in "abc" for i in range(60)]
+    placements = spark.createDataFrame(rows, "deck string, ord int, font_name string, text string, font_size_pt double, auto_fit boolean")
+    got, want = (sorted(map(str, f(placements, "deck").select(*placements.columns).collect())) for f in (typography.gather_fonts, typography.normalize_fonts))
+    assert got == want
