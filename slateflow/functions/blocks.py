@@ -75,7 +75,8 @@ def _runs(ga, gb, a_from, a_to, b_from, b_to, owner, n):
     i, j, rect = apos[cell], bpos[found], rect[cell]
     own = owner[rect]
     before = (i > a_from[rect]) & (j > b_from[own])
-    before[before] = ga[i[before] - 1] == gb[j[before] - 1]
+    # grams that aren't in the vocabulary are equal to none
+    before[before] = (ga[i[before] - 1] == gb[j[before] - 1]) & (gb[j[before] - 1] >= 0)
     i, j, rect, own = (x[~before] for x in (i, j, rect, own))
     length = np.ones(len(i), np.int64)
     going = np.arange(len(i))

@@ -39,3 +39,15 @@ def test_large_pairs_and_ratios(monkeypatch):
     a, b = pd.Series([said[i] for i in at]), pd.Series([wanted[i] for i in to])
     assert text._ratios(a, b).tolist() == [SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)]
     assert text._ratios(a[:0], b[:0]).tolist() == []
+
+
+@pytest.mark.parametrize("grams", [blocks.GRAMS, (2, 1)])
+def test_runs_behind_unknown_and_frequent_characters(monkeypatch, grams):
+    """A run begins where a character that no wanted text has stands before it, and in the wanted text one too frequent to begin a block."""
+    r = random.Random(5)
+    monkeypatch.setattr(blocks, "GRAMS", grams)
+    letters = [chr(0x4E00 + k) for k in range(110)]
+    wanted = ["".join(r.choice(["e", r.choice(letters)]) for _ in range(230)) for _ in range(6)]
+    said = ["".join(r.choice(["X", "e", r.choice(letters), r.choice(letters)]) for _ in range(120)) for _ in range(6)]
+    at, to = np.repeat(np.arange(6), 6), np.tile(np.arange(6), 6)
+    assert blocks.matched(said, wanted, at, to).tolist() == [counted(said[a], wanted[b]) for a, b in zip(at, to)]
