@@ -51,3 +51,21 @@ def test_runs_behind_unknown_and_frequent_characters(monkeypatch, grams):
     said = ["".join(r.choice(["X", "e", r.choice(letters), r.choice(letters)]) for _ in range(120)) for _ in range(6)]
     at, to = np.repeat(np.arange(6), 6), np.tile(np.arange(6), 6)
     assert blocks.matched(said, wanted, at, to).tolist() == [counted(said[a], wanted[b]) for a, b in zip(at, to)]
+
+
+@pytest.mark.parametrize("table", [blocks.TABLE, 0])
+def test_pairs_in_any_order(monkeypatch, table):
+    """All pairs of texts, some of them, and pairs that come twice, with tables of grams or one pair at a time."""
+    r = random.Random(3)
+    monkeypatch.setattr(blocks, "TABLE", table)
+    said, wanted, at, to = pairs(r, "abcdefgh ")
+    for some in (r.sample(range(len(at)), len(at)), r.sample(range(len(at)), 4), [3, 9, 3, 9, 3], range(1, len(at))):
+        a, b = at[list(some)], to[list(some)]
+        assert blocks.matched(said, wanted, a, b).tolist() == [counted(said[x], wanted[y]) for x, y in zip(a, b)]
+
+
+def test_grams_are_looked_up_once_for_all_texts(monkeypatch):
+    """Where every text meets every other one, no pair's texts are read through for that pair alone."""
+    said, wanted, at, to = pairs(random.Random(4), "abcdefgh ")
+    monkeypatch.setattr(blocks, "_met", None)
+    assert blocks.matched(said, wanted, at, to).tolist() == [counted(said[a], wanted[b]) for a, b in zip(at, to)]
