@@ -72,7 +72,12 @@ def partition_sizes(sizes: list[float], counts: list[int], ratio: float) -> list
     m = len(s)
     if not m:
         return []
-    middle, upto = _weighted_medians(s, n), np.concatenate(([0], np.cumsum(n)))
+    upto = np.concatenate(([0], np.cumsum(n)))
+    if s[-1] / max(s[0], 0.01) < ratio:
+        # no two medians lie far enough apart
+        low, high = s[np.searchsorted(upto, [(upto[-1] - 1) // 2, upto[-1] // 2], "right") - 1]
+        return [float(half_points((low + high) / 2))]
+    middle = _weighted_medians(s, n)
     token = half_points(middle)
     amount = upto[None, :] - upto[:, None]
     first_run = np.where(amount[0] >= 2, 0.0, -np.inf)

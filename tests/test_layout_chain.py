@@ -331,3 +331,10 @@ def test_gathered_fonts(spark):
     placements = spark.createDataFrame(rows, "deck string, ord int, font_name string, text string, font_size_pt double, auto_fit boolean")
     got, want = (sorted(map(str, f(placements, "deck").select(*placements.columns).collect())) for f in (typography.gather_fonts, typography.normalize_fonts))
     assert got == want
+
+
+def test_close_sizes_have_one_token(monkeypatch):
+    """Families whose sizes lie closer than two tiers are settled by their median alone."""
+    monkeypatch.setattr(typography, "_weighted_medians", None)
+    for sizes, counts, want in (([10.0], [1], 10.0), ([11.3, 10.0, 10.8], [5, 2, 1], 11.5), ([10.0, 11.0], [3, 3], 10.5)):
+        assert typography.partition_sizes(sizes, counts, 1.2) == [want]
